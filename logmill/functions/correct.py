@@ -16,7 +16,6 @@ from .patterns import (
     DEFAULT_WORDS,
     DIGIT,
     PATH_DELIMITERS,
-    SPACES,
     TOKEN_DELIMITERS,
     WILDCARD,
     chars,
@@ -25,8 +24,8 @@ from .patterns import (
 )
 from .text import normalize_ws
 
-_PATH = chars(PATH_DELIMITERS) + SPACES
-_TOKEN = chars(TOKEN_DELIMITERS) + SPACES
+_PATH = chars(PATH_DELIMITERS) + " "
+_TOKEN = chars(TOKEN_DELIMITERS) + " "
 
 
 def _chain(separators: str) -> tuple[str, str]:

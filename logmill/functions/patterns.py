@@ -35,8 +35,12 @@ VOCABULARY_STOP_WORDS = tuple(
     )
 )
 
-# Unicode white space, for use inside a character class.
-SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Unicode white space, for use inside a character class.  The Latin-1 ones are listed singly, which Java
+# turns into a bit set; the others sit behind one range check.
+SPACES = (
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+)
 DIGIT = r"\p{Nd}"
 
 _REGEX_SPECIAL = "\\^$.|?*+()[]{}&-"

@@ -2,6 +2,7 @@
 
 The tokenisers yield words without blanks, so a token list has an exact text form: the tokens joined by
 one space.  The text form stays inside whole-stage codegen; arrays are cut from it only where needed.
+White space is squeezed first, so that all later patterns deal with the plain space only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .patterns import (
     chars,
 )
 
-_DELIMS = chars(MATCH_DELIMITERS) + SPACES
+_DELIMS = chars(MATCH_DELIMITERS) + " "
 # A run of non-delimiters that holds a wildcard; the look-behind starts it at run starts only.
 _WILD_RUN = rf"(?<![^{_DELIMS}])[^{_DELIMS}]*<\*>[^{_DELIMS}]*"
 
@@ -52,9 +53,9 @@ def match_text(col: Column) -> Column:
     Every delimiter splits; ``= | ( ) ;`` stay as tokens, other delimiters vanish; a piece that holds a
     wildcard becomes the wildcard, and neighbouring wildcards merge.
     """
-    text = F.regexp_replace(col, _WILD_RUN, WILDCARD)
+    text = F.regexp_replace(normalize_ws(col), _WILD_RUN, WILDCARD)
     text = F.regexp_replace(text, f"[{chars(MATCH_KEPT)}]", r" $0 ")
-    text = F.regexp_replace(text, f"[{chars(MATCH_DELIMITERS, without=MATCH_KEPT)}{SPACES}]+", " ")
+    text = F.regexp_replace(text, f"[{chars(MATCH_DELIMITERS, without=MATCH_KEPT)} ]+", " ")
     return _joined(text)
 
 
@@ -70,8 +71,8 @@ def match_tokens(col: Column) -> Column:
 def similarity_text(col: Column) -> Column:
     """Like :func:`match_text`, but runs of delimiters form one piece and ``;`` vanishes too."""
     kept = chars(SIMILARITY_KEPT)
-    dropped = chars(MATCH_DELIMITERS, without=SIMILARITY_KEPT) + SPACES
-    text = F.regexp_replace(col, _WILD_RUN, WILDCARD)
+    dropped = chars(MATCH_DELIMITERS, without=SIMILARITY_KEPT) + " "
+    text = F.regexp_replace(normalize_ws(col), _WILD_RUN, WILDCARD)
     text = F.regexp_replace(text, f"(?<=[{kept}])[{dropped}]+|[{dropped}]++(?=[{kept}])", "")
     text = F.regexp_replace(text, f"[{kept}]+", r" $0 ")
     text = F.regexp_replace(text, f"[{dropped}]+", " ")
@@ -119,11 +120,10 @@ def finer_tokens(tokens: Column) -> Column:
 
 def clean(col: Column) -> Column:
     """Blank out punctuation and drop the words that hold a digit."""
-    text = F.regexp_replace(col, rf"[{chars(CLEANED_CHARACTERS)}]|\.?!", " ")
-    text = F.regexp_replace(
-        text, rf"(?<![^{SPACES}])[^{SPACES}{DIGIT}]*+{DIGIT}[^{SPACES}]*", " "
-    )
-    return normalize_ws(text)
+    text = F.replace(col, F.lit(".!"), F.lit(" "))
+    text = normalize_ws(F.regexp_replace(text, f"[{chars(CLEANED_CHARACTERS)}!]", " "))
+    text = F.regexp_replace(text, rf"(?<![^ ])[^ {DIGIT}]*+{DIGIT}[^ ]*+ ?", "")
+    return F.rtrim(text)
 
 
 def char_signature(col: Column) -> Column:
