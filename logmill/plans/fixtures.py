@@ -114,3 +114,76 @@ def doc_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(words, lambda w, i: F.when(i % 3 == 2, F.lit(WILDCARD)).otherwise(w)), " "
         ).alias("EventTemplate"),
     )
+
+
+def doc_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines whose words take the shapes that the correction rules look for."""
+    shapes = [
+        lambda w: w,
+        lambda w: F.lit(WILDCARD),
+        lambda w: F.lit("#<*>#"),
+        lambda w: F.lit('"<*>"'),
+        lambda w: F.concat(w, F.lit("=<*>:<*>")),
+        lambda w: F.concat(F.lit("/"), w, F.lit("/x")),
+        lambda w: F.when(F.length(w) % 2 == 0, "True").otherwise("null"),
+        lambda w: F.concat(F.length(w).cast("string"), F.lit(".<*>,<*>")),
+        lambda w: F.concat(F.lit("ab<*>"), w),
+        lambda w: F.lit("#<*>"),
+        lambda w: F.lit("<*>"),
+    ]
+
+    def shaped(w, i):
+        word = F.when(F.lit(False), w)
+        for n, shape in enumerate(shapes):
+            word = word.when((i + F.length(w)) % len(shapes) == n, shape(w))
+        return word
+
+    return doc_lines(spark, sf_dir).select(
+        "doc_id",
+        "pos",
+        F.array_join(F.transform(F.split("Content", " "), shaped), " ").alias("Content"),
+    )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line and template of the fixtures as src, id, s."""
+    log, orders = event_log(spark, sf_dir), order_log(spark, sf_dir)
+    doc_id = F.concat_ws(":", "doc_id", "pos")
+    parts = [
+        log.select(F.lit("event"), F.col("LineId").cast("string"), "Content"),
+        log.select(F.lit("event_template"), F.col("LineId").cast("string"), "EventTemplate"),
+        orders.select(F.lit("order"), F.col("LineId").cast("string"), "Content"),
+        doc_lines(spark, sf_dir).select(F.lit("doc"), doc_id, "Content"),
+        doc_mixed(spark, sf_dir).select(F.lit("mixed"), doc_id, "Content"),
+    ]
+    result = parts[0].toDF("src", "id", "s")
+    for part in parts[1:]:
+        result = result.unionByName(part.toDF("src", "id", "s"))
+    return result
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a line and a template: LineId, src, log, template."""
+    log, orders = event_log(spark, sf_dir), order_log(spark, sf_dir)
+    columns = ["LineId", F.col("Content").alias("log"), F.col("EventTemplate").alias("template")]
+    return log.select(F.lit("event").alias("src"), *columns).unionByName(
+        orders.select(F.lit("order").alias("src"), *columns)
+    )
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth and prediction per line."""
+    truth = event_log(spark, sf_dir).select(
+        "LineId", "Component", F.col("EventTemplate").alias("gt")
+    )
+    pred = event_pred(spark, sf_dir).select("LineId", F.col("EventTemplate").alias("pred"))
+    return truth.join(pred, "LineId")
+
+
+def doc_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines with the source of their document as label."""
+    return (
+        table(spark, sf_dir, "documents")
+        .select(F.col("source").alias("label"), F.explode(F.split("text", "\n")).alias("log"))
+        .where(F.trim("log") != "")
+    )
