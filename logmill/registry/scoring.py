@@ -121,9 +121,6 @@ def parsing_accuracy_loose(spark, sf_dir):
     )
 
 
-_SIZES = '{} AS identified_templates, {} AS ground_templates,'
-
-
 @query(
     "template_accuracy",
     sql.on_events(
@@ -210,7 +207,13 @@ def evaluate_all(spark, sf_dir):
     return _rounded(scores, "FGA", "FTA")
 
 
-@query("evaluate_order_lines")
+@query(
+    "evaluate_order_lines",
+    # the status letter stays, so the one true template falls apart and nothing is right
+    """SELECT count(DISTINCT o_orderstatus) AS identified_templates, 1 AS ground_templates, 0.0 AS "GA", 0.0 AS "PA",
+      0.0 AS "FGA", 0.0 AS "FTA", NULL::DOUBLE AS "uPA", 0.0 AS "PTA", 0.0 AS "RTA"
+    FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
 def evaluate_order_lines(spark, sf_dir):
     """All metrics of the order lines against their own corrected texts."""
     from ..functions.correct import correct_template_parse
