@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .binding import let
 from .patterns import WILDCARD, WILDCARD_RX
-from .text import normalize_ws, tagger_pieces
+from .text import normalize_ws, tagger_pieces, words
 
 # Captured groups travel through one replacement, cut apart again at SEP; MARK tells a match from no match.
 _MARK, _SEP = "\u0002", "\u0001"
+#: Java matches a regex by recursion over its parts; templates with more wildcards are scanned instead.
+MANY_WILDCARDS = 200
 # Lines holding these take the slower group-by-group way.
 _AMBIGUOUS = "[\u0001\u0002\n]"
 
@@ -51,12 +53,6 @@ def template_regex_token(template: Column) -> Column:
     return _anchored(_wild_as(body, r"(\S+?)"))
 
 
-def _segment_regex(template: Column) -> Column:
-    """The white-space form with the constant parts captured too."""
-    body = F.replace(escape_regex(template), F.lit(" "), F.lit(r"\s+"))
-    return F.concat(F.lit("^("), _wild_as(body, ")(.*?)("), F.lit(")$"))
-
-
 def _line_mode(regex: Column) -> Column:
     """Only a line feed ends a line for ``.`` and ``$``."""
     return F.concat(F.lit("(?d)"), regex)
@@ -73,7 +69,15 @@ def matches_template(log: Column, template: Column) -> Column:
 
 def is_abstract(x: Column, y: Column) -> Column:
     """Is template ``x`` more general than the template or message ``y``?  False for a null ``y``."""
-    return F.coalesce(matches(y, template_regex_token(x)), F.lit(False))
+    regex = F.replace(template_regex_token(x), F.lit(r"(\S+?)"), F.lit(r"\S+?"))
+    word_by_word = let(
+        lambda a, b: (F.size(a) == F.size(b))
+        & F.forall(F.zip_with(a, b, lambda v, w: matches(w, template_regex_token(v))), lambda ok: ok),
+        words(x),
+        words(y),
+    )
+    covered = F.when(wildcard_count(x) > MANY_WILDCARDS, word_by_word).otherwise(matches(y, regex))
+    return F.coalesce(covered, F.lit(False))
 
 
 def group_references(n_groups: Column) -> Column:
@@ -118,9 +122,66 @@ def captures(
     )
 
 
+def _scan(text: Column, template: Column) -> Column:
+    """Captures of the lazy regex, found part by part.
+
+    The lazy match takes the earliest place of every constant part, and the end of the line for the last.
+    """
+
+    def step(acc: Column, part: Column) -> Column:
+        pos = acc["pos"]
+        at = F.when(part == "", pos).otherwise(F.call_function("locate", part, text, pos))
+        found = (pos > 0) & (at > 0)
+        return F.when(
+            found,
+            F.struct(
+                (at + F.length(part)).alias("pos"),
+                F.concat(acc["caps"], F.array(F.substring(text, pos, at - pos))).alias("caps"),
+            ),
+        ).otherwise(F.struct(F.lit(0).alias("pos"), acc["caps"].alias("caps")))
+
+    def scanned(parts: Column) -> Column:
+        first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+        start = F.when(F.startswith(text, first), F.length(first) + 1).otherwise(F.lit(0))
+        inner = F.slice(parts, F.lit(2), F.size(parts) - 2)
+        end = F.length(text) - F.length(last) + 1
+        state = F.aggregate(
+            inner,
+            F.struct(start.alias("pos"), F.array().cast("array<string>").alias("caps")),
+            step,
+        )
+        return let(
+            lambda acc: F.when(
+                (acc["pos"] > 0) & F.endswith(text, last) & (acc["pos"] <= end),
+                F.concat(acc["caps"], F.array(F.substring(text, acc["pos"], end - acc["pos"]))),
+            ),
+            state,
+        )
+
+    return let(scanned, F.split(template, WILDCARD_RX))
+
+
+def template_captures(
+    log: Column,
+    template: Column,
+    regex: Column | None = None,
+    n: Column | None = None,
+    references: Column | None = None,
+) -> Column:
+    """Values at the wildcards of a template; NULL without a match or without wildcards.
+
+    The lazy regex, its number of groups and its references may be computed once per template.
+    """
+    n = wildcard_count(template) if n is None else n
+    regex = template_regex_lazy(template) if regex is None else regex
+    return F.when(n > MANY_WILDCARDS, _scan(log, template)).otherwise(
+        captures(log, regex, n, references)
+    )
+
+
 def extract_params(log: Column, template: Column) -> Column:
     """Parameter values of a line under a template, as true substrings; NULL without a match."""
-    return captures(log, template_regex_lazy(template), wildcard_count(template))
+    return template_captures(log, template)
 
 
 def drop_empty_wildcards(template: Column, params: Column) -> Column:
@@ -151,11 +212,26 @@ def align_nulls(log: Column, template: Column) -> Column:
 
 
 def _segments(log: Column, template: Column) -> Column:
-    """A line cut into constant, parameter, constant, …; NULL where the template does not match."""
-    n_groups = 2 * wildcard_count(template) + 1
-    return F.when(
-        F.contains(template, F.lit(WILDCARD)), captures(log, _segment_regex(template), n_groups)
-    ).otherwise(F.array(log))
+    """A line cut into constant, parameter, constant, …; NULL where the template does not match.
+
+    Both texts have single spaces only, so the constants are the template's own.
+    """
+    parts = F.split(template, WILDCARD_RX)
+    cut = let(
+        lambda params: F.when(
+            params.isNotNull(),
+            F.concat(
+                F.flatten(
+                    F.zip_with(
+                        F.slice(parts, F.lit(1), F.size(params)), params, lambda c, p: F.array(c, p)
+                    )
+                ),
+                F.slice(parts, F.lit(-1), F.lit(1)),
+            ),
+        ),
+        template_captures(log, template),
+    )
+    return F.when(F.contains(template, F.lit(WILDCARD)), cut).otherwise(F.array(log))
 
 
 def align_tags(log: Column, template: Column) -> Column:

@@ -1,7 +1,8 @@
 """Template correction as one parameterised chain of regex replacements.
 
 The rules work on whole tokens.  Look-around marks the token borders, so no token arrays are built and the
-whole chain stays in codegen.
+whole chain stays in codegen.  Repeated groups are possessive: Java then loops over them instead of recursing,
+so that texts of any length are safe.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _TOKEN = chars(TOKEN_DELIMITERS) + " "
 def _chain(separators: str) -> tuple[str, str]:
     """Merge of wildcards that stand next to each other or one of ``separators`` apart."""
     between = f"[{chars(separators)}]?" if len(separators) > 1 else quote(separators)
-    return rf"<\*>(?:{between}<\*>)+", WILDCARD
+    return rf"<\*>(?:{between}<\*>)++", WILDCARD
 
 
 def _framed(left: str, right: str) -> tuple[str, str]:

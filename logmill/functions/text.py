@@ -44,7 +44,7 @@ def is_valid_template(col: Column) -> Column:
 
 
 def _joined(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"<\*>(?: +<\*>)+", WILDCARD))
+    return F.trim(F.regexp_replace(text, r"<\*>(?: +<\*>)++", WILDCARD))
 
 
 def match_text(col: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.align import (
-    captures,
     drop_empty_wildcards,
     group_references,
+    template_captures,
     template_regex_lazy,
     wildcard_count,
 )
@@ -48,7 +48,9 @@ def normalized_side(df: DataFrame, key: str = "LineId", by: Sequence[str] = ())
     aligned = let(
         lambda t, params: drop_empty_wildcards(t, params),
         F.col("_t.template"),
-        captures(F.col("Content"), F.col("_t.regex"), F.col("_t.n"), F.col("_t.refs")),
+        template_captures(
+            F.col("Content"), F.col("_t.template"), F.col("_t.regex"), F.col("_t.n"), F.col("_t.refs")
+        ),
     )
     return side.select(*by, key, aligned.alias("EventTemplate"))
 
