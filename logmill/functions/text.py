@@ -90,10 +90,9 @@ def tagger_pieces(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(piece), F.lit(1))
 
 
-def tagger_tokens(col: Column) -> Column:
-    """Tagger tokens as ``array<struct<token, space_before>>``."""
+def _as_tokens(pieces: Column) -> Column:
     return F.transform(
-        tagger_pieces(col),
+        pieces,
         lambda p: F.struct(
             F.ltrim(p).alias("token"),
             F.startswith(p, F.lit(" ")).alias("space_before"),
@@ -101,6 +100,22 @@ def tagger_tokens(col: Column) -> Column:
     )
 
 
+def tagger_tokens(col: Column) -> Column:
+    """Tagger tokens as ``array<struct<token, space_before>>``."""
+    return _as_tokens(tagger_pieces(col))
+
+
+def fine_pieces(col: Column) -> Column:
+    """Runs of letters and digits, and single signs; a leading space marks one that follows a space."""
+    piece = rf"( ?(?:[\p{{L}}{DIGIT}]+|[^\p{{L}}{DIGIT} ]))"
+    return F.regexp_extract_all(col, F.lit(piece), F.lit(1))
+
+
+def fine_tokens(col: Column) -> Column:
+    """The tokens of :func:`tagger_tokens` cut by :func:`finer_tokens`, straight from the text."""
+    return _as_tokens(fine_pieces(col))
+
+
 def finer_tokens(tokens: Column) -> Column:
     """Cut tagger tokens (with any further fields) into runs of letters and digits, and single signs."""
 

@@ -47,24 +47,27 @@ def topk_tokens(
     Ties go to the smaller word.  Texts without vocabulary words get an empty array.
     """
     n = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    texts = df.groupBy(column).agg(F.sum(n).alias("_lines"))
+    # stored and numbered, so that the word rows carry a number instead of the whole text
+    texts = materialize(df.groupBy(column).agg(F.sum(n).alias("_lines"))).withColumn(
+        "_id", F.monotonically_increasing_id()
+    )
     counts = vocabulary(texts, column, "_lines")
     placed = texts.select(
-        column, F.explode(F.array_distinct(_vocabulary_words(F.col(column)))).alias("token")
+        "_id", F.explode(F.array_distinct(_vocabulary_words(F.col(column)))).alias("token")
     )
     ranked = (
         placed.join(counts, "token")
-        .groupBy(column)
+        .groupBy("_id")
         # a list of one row's own words, not of a group of rows
         .agg(F.collect_list(F.struct((-F.col("n")).alias("n"), "token")).alias("_words"))
         .select(
-            column,
+            "_id",
             F.array_sort(
                 F.transform(F.slice(F.array_sort("_words"), 1, k), lambda w: w["token"])
             ).alias("tokens"),
         )
     )
-    return texts.select(column).join(ranked, column, "left").select(
+    return texts.select(column, "_id").join(ranked, "_id", "left").select(
         column, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
     )
 

@@ -19,6 +19,24 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread_if_small(df: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:
+    """Spread a small scan over all cores.
+
+    A small file is one task, however costly the text work on its rows.  Scans above ``max_bytes`` have
+    enough splits of their own and stay as they are.
+    """
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    if size > max_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def spread_if_few_tasks(df: DataFrame) -> DataFrame:
+    """Give a stored DataFrame as many partitions as there are cores, if it has fewer."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checked_join(
     big: DataFrame,
     lookup: DataFrame,

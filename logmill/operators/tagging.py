@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -12,7 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.align import align_tags, tags_to_template
 from ..functions.binding import let
 from ..functions.correct import correct_template_parse
-from ..functions.text import finer_tokens, is_valid_template, normalize_ws, tagger_tokens
+from ..functions.text import (
+    fine_pieces,
+    fine_tokens,
+    finer_tokens,
+    is_valid_template,
+    normalize_ws,
+)
 from ..session import materialize
 
 #: Number of feature slots; a model is one weight per slot.
@@ -53,37 +60,41 @@ def _shape(word: Column) -> Column:
     return F.regexp_replace(s, r"[\p{L}&&[^A]]+", "a")
 
 
-def token_features(tokens: Column) -> Column:
-    """Feature slots of every token: its text, shape and neighbours."""
-    texts = F.transform(tokens, lambda t: t["token"])
-    return let(_slots, tokens, texts, F.transform(texts, _shape))
-
-
-def _slots(tokens: Column, texts: Column, shapes: Column) -> Column:
+def _per_token(
+    tokens: Column, shapes: Column, body: Callable[[Column, list[Column]], Column]
+) -> Column:
+    """``body(token, slots)`` for every token; its slots stand for its text, its shape and its neighbours."""
     edge = F.lit("|")
 
-    def slots(t: Column, i: Column) -> Column:
+    def slots(t: Column, i: Column, texts: Column, shapes: Column) -> list[Column]:
         shape = F.element_at(shapes, i + 1)
-        before, after = F.get(texts, i - 1), F.get(texts, i + 1)
+        before = F.coalesce(F.get(texts, i - 1), edge)
+        after = F.coalesce(F.get(texts, i + 1), edge)
         glued = F.when(t["space_before"], "_").otherwise("+")
-        named = {
-            "w": t["token"],
-            "s": shape,
-            "d": F.rlike(t["token"], F.lit(r"\p{Nd}")).cast("string"),
-            "p": F.concat(glued, F.coalesce(before, edge)),
-            "n": F.coalesce(after, edge),
-            "ps": F.concat(F.coalesce(F.get(shapes, i - 1), edge), F.lit(">"), shape),
-            "ns": F.concat(shape, F.lit("<"), F.coalesce(F.get(shapes, i + 1), edge)),
-            "pn": F.concat(F.coalesce(before, edge), F.lit("_"), F.coalesce(after, edge)),
+        features = {
+            "w": [t["token"]],
+            "s": [shape],
+            "p": [glued, before],
+            "n": [after],
+            "ps": [F.coalesce(F.get(shapes, i - 1), edge), shape],
+            "ns": [shape, F.coalesce(F.get(shapes, i + 1), edge)],
+            "pn": [before, after],
         }
-        return F.array(
-            *(
-                F.pmod(F.xxhash64(F.lit(k), v), F.lit(SLOTS)).cast("int")
-                for k, v in named.items()
-            )
+        return [F.pmod(F.xxhash64(F.lit(k), *v), F.lit(SLOTS)) for k, v in features.items()]
+
+    def with_texts(tk: Column, sh: Column) -> Column:
+        return let(
+            lambda tx: F.transform(tk, lambda t, i: body(t, slots(t, i, tx, sh))),
+            F.transform(tk, lambda t: t["token"]),
         )
 
-    return F.transform(tokens, slots)
+    return let(with_texts, tokens, shapes)
+
+
+def token_features(tokens: Column) -> Column:
+    """Feature slots of every token."""
+    shapes = F.transform(tokens, lambda t: _shape(t["token"]))
+    return _per_token(tokens, shapes, lambda t, slots: F.array(*(s.cast("int") for s in slots)))
 
 
 def fit_tagger(
@@ -112,7 +123,7 @@ def fit_tagger(
     slots = CountVectorizer(
         inputCol="slots", outputCol="features", binary=True, vocabSize=SLOTS
     ).fit(tokens)
-    fitted = LogisticRegression(maxIter=60, regParam=reg, standardization=False).fit(
+    fitted = LogisticRegression(maxIter=40, regParam=reg, standardization=False).fit(
         slots.transform(tokens)
     )
     weights = [0.0] * SLOTS
@@ -125,18 +136,16 @@ def tag_lines(df: DataFrame, model: TaggerModel, column: str = "Content") -> Dat
     """Add ``tokens`` with predicted tags.  Whole lines are tagged; nothing is shuffled."""
     weights = model.weight_array()
 
-    def tagged(t: Column, slots: Column) -> Column:
-        score = F.aggregate(
-            slots, F.lit(model.intercept), lambda acc, s: acc + F.element_at(weights, s + 1)
-        )
+    def tagged(t: Column, slots: list[Column]) -> Column:
+        score = F.lit(model.intercept)
+        for slot in slots:
+            score = score + F.element_at(weights, (slot + 1).cast("int"))
         return F.struct(t["token"], t["space_before"], (score > 0).cast("int").alias("tag"))
 
-    return (
-        df.withColumn("_raw", finer_tokens(tagger_tokens(normalize_ws(F.col(column)))))
-        .withColumn("_slots", token_features(F.col("_raw")))
-        .withColumn("tokens", F.zip_with("_raw", "_slots", tagged))
-        .drop("_raw", "_slots")
-    )
+    # the shape of the whole line, cut the same way, gives the shapes of its tokens
+    line = normalize_ws(F.col(column))
+    shapes = F.transform(fine_pieces(_shape(line)), lambda p: F.ltrim(p))
+    return df.withColumn("tokens", _per_token(fine_tokens(line), shapes, tagged))
 
 
 def induce_templates(df: DataFrame, model: TaggerModel, column: str = "Content") -> DataFrame:

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import WILDCARD
+from ..operators.scale import spread_if_small
+
+#: Tables whose rows become log lines, with much text work per row.
+TEXT_TABLES = ("events", "orders", "documents")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_if_small(df) if name in TEXT_TABLES else df
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
