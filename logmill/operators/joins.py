@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.align import is_abstract
 from ..functions.patterns import WILDCARD
 from ..functions.text import words
-from .scale import checked_join, is_small
+from .scale import checked_join, is_small, lookup_join
 
 
 def drop_null_truth(df: DataFrame, column: str = "EventTemplate") -> DataFrame:
@@ -33,13 +33,13 @@ def pair_truth_prediction(
 def seen_rows(df: DataFrame, templates: DataFrame, column: str = "gt") -> DataFrame:
     """Rows whose template is in the one-column set ``templates``."""
     known = templates.select(F.col(templates.columns[0]).alias(column)).distinct()
-    return df.join(known, column, "left_semi")
+    return lookup_join(df, known, [column], "left_semi")
 
 
 def unseen_rows(df: DataFrame, templates: DataFrame, column: str = "gt") -> DataFrame:
     """Rows whose template is not in the one-column set ``templates``."""
     known = templates.select(F.col(templates.columns[0]).alias(column)).distinct()
-    return df.join(known, column, "left_anti")
+    return lookup_join(df, known, [column], "left_anti")
 
 
 def apply_corrections(log: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def apply_corrections(log: DataFrame, mapping: DataFrame) -> DataFrame:
     new = mapping.select(
         "EventId", F.col("new_id").alias("_id"), F.col("new_template").alias("_template")
     )
-    return log.join(new, "EventId", "left").select(
+    return lookup_join(log, new, ["EventId"]).select(
         *[c for c in log.columns if c not in ("EventId", "EventTemplate")],
         F.coalesce("_id", "EventId").alias("EventId"),
         F.coalesce("_template", "EventTemplate").alias("EventTemplate"),

@@ -81,20 +81,23 @@ def with_sequence(df: DataFrame, order: Sequence[Column], name: str, start: int
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     offsets = running_offsets(sizes, ["_part"]).select("_part", "_offset")
-    return placed.join(offsets, "_part").select(
+    # one row per partition
+    return placed.join(F.broadcast(offsets), "_part").select(
         *df.columns, (F.col("_offset") + F.col("_place") + start).alias(name)
     )
 
 
-def over_distinct(df: DataFrame, columns: Sequence[str], **new: Column) -> DataFrame:
-    """Add columns computed once per distinct value of ``columns`` and joined back.
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table of lines with a table derived from few distinct values.
 
-    The distinct values of template columns are few, so the join back becomes a broadcast at run time;
-    where they are many it stays a shuffle join whose hot keys are split by adaptive execution.
+    The lookup is stored first, so that its true size decides: small ones are broadcast and the lines stay
+    where they are.  A large one is shuffled, and adaptive execution splits the hot keys of the lines.
     """
-    values = df.select(*columns).distinct().select(*columns, *(c.alias(n) for n, c in new.items()))
-    keys = [f"_key{i}" for i in range(len(columns))]
-    for key, column in zip(keys, columns):
-        values = values.withColumnRenamed(column, key)
-    condition = [df[c].eqNullSafe(values[k]) for c, k in zip(columns, keys)]
-    return df.join(values, condition, "left").drop(*keys)
+    stored = materialize(lookup)
+    return big.join(F.broadcast(stored) if is_small(stored) else stored, list(keys), how)
+
+
+def over_distinct(df: DataFrame, column: str, **new: Column) -> DataFrame:
+    """Add columns computed once per distinct value of ``column``, which must not be null."""
+    values = df.select(column).distinct()
+    return lookup_join(df, values.select(column, *(c.alias(n) for n, c in new.items())), [column])

@@ -44,7 +44,7 @@ def normalized_side(df: DataFrame, key: str = "LineId", by: Sequence[str] = ())
             group_references(wildcard_count(t)).alias("refs"),
         )
 
-    side = over_distinct(side, ["EventTemplate"], _t=let(prepared, fixed))
+    side = over_distinct(side, "EventTemplate", _t=let(prepared, fixed))
     aligned = let(
         lambda t, params: drop_empty_wildcards(t, params),
         F.col("_t.template"),

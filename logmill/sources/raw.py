@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..catalog.formats import LOG_FORMATS, LineFormat, compile_format
 from ..functions.align import captures, matches
-from ..operators.scale import running_offsets
+from ..operators.scale import is_small, running_offsets
+from ..session import materialize
+
+#: More file splits than this are joined by shuffle; 100 TB in splits of 128 MB are 0.8 million.
+MAX_SPLITS = 2_000_000
 
 # Characters that count as white space at the ends of a line.
 _BLANKS = (
@@ -81,14 +85,15 @@ def number_in_file_order(df: DataFrame, name: str) -> DataFrame:
     """Number the rows of a text scan 1..n in file order, without shuffling the lines.
 
     Ids rise inside a split, so a line's number is its distance from the first id of its split plus the
-    sizes of all splits before it.  Only one row per split is aggregated and joined back.
+    sizes of all splits before it.  Only one row per split is aggregated, stored and joined back.
     """
     marked = df.withColumn("_id", F.monotonically_increasing_id())
     splits = marked.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first")
     )
-    offsets = running_offsets(splits, ["_file", "_block"]).drop("n")
-    numbered = marked.join(offsets, ["_file", "_block"])
+    offsets = materialize(running_offsets(splits, ["_file", "_block"]).drop("n"))
+    few = is_small(offsets, MAX_SPLITS)
+    numbered = marked.join(F.broadcast(offsets) if few else offsets, ["_file", "_block"])
     return numbered.select(
         (F.col("_offset") + F.col("_id") - F.col("_first") + 1).alias(name),
         *[c for c in df.columns],
