@@ -22,6 +22,7 @@ from .patterns import (
     chars,
     quote,
     whole_token,
+    wild_piece,
 )
 from .text import normalize_ws
 
@@ -70,7 +71,7 @@ def correct_template(
     text = normalize_ws(col)
     if paths:
         text = F.regexp_replace(text, whole_token(f"(?:/[^/{_PATH}]+)++", _PATH), WILDCARD)
-    variables = [rf"{DIGIT}++", rf"[^/{_TOKEN}]*<\*>[^/{_TOKEN}]*"]
+    variables = [f"{DIGIT}++", wild_piece(f"/{_TOKEN}")]
     constants = sorted({c.lower() for c in constants})
     if constants:
         flag = "iu" if ignore_case else ""

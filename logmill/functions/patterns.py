@@ -59,3 +59,12 @@ def chars(text: str, *, without: str = "") -> str:
 def whole_token(body: str, delimiters: str) -> str:
     """A regex for ``body`` where it fills a whole piece between ``delimiters`` (a class body)."""
     return f"(?<![^{delimiters}])(?:{body})(?![^{delimiters}])"
+
+
+def wild_piece(excluded: str) -> str:
+    """A regex for a run of characters outside ``excluded`` (a class body) that holds a wildcard.
+
+    It never goes back over a run, so long words without a wildcard cost one pass.
+    """
+    run = f"[^{excluded}<]*+"
+    return rf"{run}(?:<(?!\*>){run})*+<\*>[^{excluded}]*+"

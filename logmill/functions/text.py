@@ -20,11 +20,12 @@ from .patterns import (
     TAGGER_DELIMITERS,
     WILDCARD,
     chars,
+    wild_piece,
 )
 
 _DELIMS = chars(MATCH_DELIMITERS) + " "
 # A run of non-delimiters that holds a wildcard; the look-behind starts it at run starts only.
-_WILD_RUN = rf"(?<![^{_DELIMS}])[^{_DELIMS}]*<\*>[^{_DELIMS}]*"
+_WILD_RUN = f"(?<![^{_DELIMS}]){wild_piece(_DELIMS)}"
 
 
 def normalize_ws(col: Column) -> Column:

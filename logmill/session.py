@@ -27,12 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests), a local folder is made and set for this session.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logmill-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="logmill-"))
+    return configured or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
