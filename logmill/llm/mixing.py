@@ -10,7 +10,7 @@ from .common import attach, numbered, running_total, stored, whole_text, words
 WEIGHTS = (3, 1, 2)
 SEED = 20
 HASH_BITS = 40
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 1_000
 
 
 def cycled_weights(index: Column, weights: tuple[int, ...] = WEIGHTS) -> Column:
