@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, order_minhash, packing, pii, sharding, simhash, token_counts
+from . import language, mixing, order_minhash, packing, pii, quality, secret_scan, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -28,6 +28,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op5_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.assess(documents(spark, sf_dir), labels.where("quality = 1").select("doc_id"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language.predict(docs, language.fit(docs))
@@ -38,6 +43,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -46,7 +55,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = (op1_order_minhash, op2_personal_data, op3_simhash, op4_token_counts, op6_language, op7_sharding, op9_packing, op10_mixing)
+_QUERIES = (
+    op1_order_minhash,
+    op2_personal_data,
+    op3_simhash,
+    op4_token_counts,
+    op5_quality_ratio,
+    op6_language,
+    op7_sharding,
+    op8_secret_ownership,
+    op9_packing,
+    op10_mixing,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
