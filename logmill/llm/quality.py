@@ -16,7 +16,7 @@ from .common import SPACES, attach, stored, whole_text, words
 
 BUCKETS = 1 << 14
 #: Documents whose mean log ratio lies below are not kept.
-THRESHOLD = -0.5
+THRESHOLD = -0.2
 UNIT = 1_000_000
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
