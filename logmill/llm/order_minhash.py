@@ -131,7 +131,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     source = rows.alias("s")
     # not an equi-key, so that the exchange of the texts is the same as in the join below
-    right_text = (F.xxhash64("s.text") - F.col("w.next_hash")) == 0
+    right_text = F.xxhash64("s.text").bitwiseXOR(F.col("w.next_hash")) == 0
     starts = (
         source.join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.next_id")) & right_text)
         .select(F.col("w.doc_id").alias("doc_id"), F.substring("s.text", F.lit(1), F.col("w.quarter")).alias("start"))
