@@ -307,7 +307,8 @@ def test_quality(spark, docs):
 
 def test_quality_weights(spark):
     """Weights and scores against sums over Python dictionaries of the same buckets."""
-    texts = {k: " ".join(random.Random(k).choice("ab cd ef gh ij".split()) for _ in range(40)) for k in range(20)}
+    rng = random.Random(6)
+    texts = {k: " ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(40)) for k in range(20)}
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     n = 64
     grams = {r.doc_id: r.b for r in frame.select("doc_id", quality.buckets(quality.word_hashes(F.col("text")), n).alias("b")).collect()}
@@ -320,7 +321,7 @@ def test_quality_weights(spark):
     for row in quality.assess(frame, trusted, threshold=0.0, n=n).collect():
         total = sum(weight[b] for b in grams[row.doc_id])
         assert row.score == pytest.approx(total / 79 / 1e6, abs=2e-6)
-        if abs(total) > 100:
+        if abs(total) > 100 and not row.base_failed:
             assert row.kept == (total >= 0)
 
 
