@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from .binding import let
 from .patterns import WILDCARD, WILDCARD_RX
-from .text import normalize_ws, tagger_pieces, words
+from .text import normalize_ws, tagger_pieces
 
 # Captured groups travel through one replacement, cut apart again at SEP; MARK tells a match from no match.
 _MARK, _SEP = "\u0002", "\u0001"
-#: Java matches a regex by recursion over its parts; templates with more wildcards are scanned instead.
-MANY_WILDCARDS = 200
 # Lines holding these take the slower group-by-group way.
 _AMBIGUOUS = "[\u0001\u0002\n]"
 
@@ -62,22 +60,97 @@ def matches(text: Column, regex: Column) -> Column:
     return F.rlike(text, _line_mode(regex))
 
 
+def template_parts(template: Column) -> Column:
+    """The constant parts around the wildcards."""
+    return F.split(template, WILDCARD_RX)
+
+
+def _filled(text: Column, parts: Column, least: int = 0) -> Column:
+    """Values between the constant ``parts``, NULL where they do not cover ``text``; ``parts`` must be bound.
+
+    Each value is the shortest of at least ``least`` characters without a line feed; the text may end with one
+    more.  No value needs to grow again: where a match exists, the earliest place of a part leaves the most room
+    for the rest, and a part that holds a line feed has only one place.  So the cost is one search per part.
+    """
+    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    size = F.length(text)
+
+    def one_line(start: Column, end: Column) -> Column:
+        return ~F.contains(F.substring(text, start, end - start), F.lit("\n"))
+
+    def step(acc: Column, part: Column) -> Column:
+        pos = acc["pos"]
+        at = F.when(part == "", F.least(pos + least, size + 1)).otherwise(
+            F.call_function("locate", part, text, pos + least)
+        )
+        found = (pos > 0) & (at >= pos + least) & one_line(pos, at)
+        return F.when(
+            found,
+            F.struct(
+                (at + F.length(part)).alias("pos"),
+                F.concat(acc["caps"], F.array(F.substring(text, pos, at - pos))).alias("caps"),
+            ),
+        ).otherwise(F.struct(F.lit(0).alias("pos"), acc["caps"].alias("caps")))
+
+    def closed(acc: Column, end: Column) -> Column:
+        """All values, if the last part stands at ``end``."""
+        pos = acc["pos"]
+        fits = (pos > 0) & (end >= pos + least) & (F.substring(text, end, F.length(last)) == last)
+        return F.when(
+            fits & one_line(pos, end), F.concat(acc["caps"], F.array(F.substring(text, pos, end - pos)))
+        )
+
+    start = F.when(F.startswith(text, first), F.length(first) + 1).otherwise(F.lit(0))
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    state = F.aggregate(
+        inner, F.struct(start.alias("pos"), F.array().cast("array<string>").alias("caps")), step
+    )
+    end = size - F.length(last) + 1
+    several = let(
+        lambda acc: F.coalesce(F.when(F.endswith(text, F.lit("\n")), closed(acc, end - 1)), closed(acc, end)),
+        state,
+    )
+    whole = F.when((text == first) | (text == F.concat(first, F.lit("\n"))), F.array().cast("array<string>"))
+    return F.when(F.size(parts) == 1, whole).otherwise(several)
+
+
 def matches_template(log: Column, template: Column) -> Column:
     """Does the template, with lazy wildcards, cover the log line?"""
-    return matches(log, template_regex_lazy(template))
+    covered = let(lambda text, parts: _filled(text, parts).isNotNull(), log, template_parts(template))
+    return F.when(log.isNotNull() & template.isNotNull(), covered)
 
 
 def is_abstract(x: Column, y: Column) -> Column:
-    """Is template ``x`` more general than the template or message ``y``?  False for a null ``y``."""
-    regex = F.replace(template_regex_token(x), F.lit(r"(\S+?)"), F.lit(r"\S+?"))
-    word_by_word = let(
-        lambda a, b: (F.size(a) == F.size(b))
-        & F.forall(F.zip_with(a, b, lambda v, w: matches(w, template_regex_token(v))), lambda ok: ok),
-        words(x),
-        words(y),
-    )
-    covered = F.when(wildcard_count(x) > MANY_WILDCARDS, word_by_word).otherwise(matches(y, regex))
-    return F.coalesce(covered, F.lit(False))
+    """Is template ``x`` more general than the template or message ``y``?  False for a null ``y``.
+
+    A wildcard stands for characters of one word, a blank for white space; so both are compared word by word
+    and gap by gap.
+    """
+
+    def covers(v: Column, w: Column) -> Column:
+        return F.when(
+            F.contains(v, F.lit(WILDCARD)),
+            let(lambda text, parts: _filled(text, parts, 1).isNotNull(), w, template_parts(v)),
+        ).otherwise(v == w)
+
+    def wide_enough(v: Column, w: Column) -> Column:
+        exact = F.concat(F.lit("^"), F.replace(v, F.lit(" "), F.lit(r"\s+")), F.lit("$"))
+        return F.when(F.trim(v) == "", F.length(w) >= F.length(v)).otherwise(F.rlike(w, exact))
+
+    def fits(text: Column) -> Column:
+        return let(
+            lambda a, b, gaps_a, gaps_b: (F.size(a) == F.size(b))
+            & F.forall(F.zip_with(gaps_a, gaps_b, wide_enough), lambda ok: ok)
+            & F.forall(F.zip_with(a, b, covers), lambda ok: ok),
+            F.split(x, r"\s+"),
+            F.split(text, r"\s+"),
+            F.regexp_extract_all(x, F.lit(r"\s+"), F.lit(0)),
+            F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0)),
+        )
+
+    shorter = F.substring(y, F.lit(1), F.length(y) - 1)
+    whole = fits(y) | (F.endswith(y, F.lit("\n")) & fits(shorter))
+    return F.coalesce(whole, F.lit(False))
 
 
 def group_references(n_groups: Column) -> Column:
@@ -122,61 +195,13 @@ def captures(
     )
 
 
-def _scan(text: Column, template: Column) -> Column:
-    """Captures of the lazy regex, found part by part.
-
-    The lazy match takes the earliest place of every constant part, and the end of the line for the last.
-    """
-
-    def step(acc: Column, part: Column) -> Column:
-        pos = acc["pos"]
-        at = F.when(part == "", pos).otherwise(F.call_function("locate", part, text, pos))
-        found = (pos > 0) & (at > 0)
-        return F.when(
-            found,
-            F.struct(
-                (at + F.length(part)).alias("pos"),
-                F.concat(acc["caps"], F.array(F.substring(text, pos, at - pos))).alias("caps"),
-            ),
-        ).otherwise(F.struct(F.lit(0).alias("pos"), acc["caps"].alias("caps")))
-
-    def scanned(parts: Column) -> Column:
-        first, last = F.element_at(parts, 1), F.element_at(parts, -1)
-        start = F.when(F.startswith(text, first), F.length(first) + 1).otherwise(F.lit(0))
-        inner = F.slice(parts, F.lit(2), F.size(parts) - 2)
-        end = F.length(text) - F.length(last) + 1
-        state = F.aggregate(
-            inner,
-            F.struct(start.alias("pos"), F.array().cast("array<string>").alias("caps")),
-            step,
-        )
-        return let(
-            lambda acc: F.when(
-                (acc["pos"] > 0) & F.endswith(text, last) & (acc["pos"] <= end),
-                F.concat(acc["caps"], F.array(F.substring(text, acc["pos"], end - acc["pos"]))),
-            ),
-            state,
-        )
-
-    return let(scanned, F.split(template, WILDCARD_RX))
-
-
-def template_captures(
-    log: Column,
-    template: Column,
-    regex: Column | None = None,
-    n: Column | None = None,
-    references: Column | None = None,
-) -> Column:
+def template_captures(log: Column, template: Column, parts: Column | None = None) -> Column:
     """Values at the wildcards of a template; NULL without a match or without wildcards.
 
-    The lazy regex, its number of groups and its references may be computed once per template.
+    The constant parts may be computed once per template.
     """
-    n = wildcard_count(template) if n is None else n
-    regex = template_regex_lazy(template) if regex is None else regex
-    return F.when(n > MANY_WILDCARDS, _scan(log, template)).otherwise(
-        captures(log, regex, n, references)
-    )
+    parts = template_parts(template) if parts is None else parts
+    return let(lambda text, p: F.when(F.size(p) > 1, _filled(text, p)), log, parts)
 
 
 def extract_params(log: Column, template: Column) -> Column:
@@ -240,26 +265,28 @@ def align_tags(log: Column, template: Column) -> Column:
     NULL where the label does not match its line, so that callers can drop and count such rows.
     """
 
-    def tagged(segments: Column, segment: Column, i: Column) -> Column:
-        before = F.array_join(F.slice(segments, F.lit(1), i), "")
-        is_param = i % 2 == 1
+    def tagged(kept: Column, segment: Column, i: Column) -> Column:
+        # an empty segment has no token and does not change what stands before the next
+        before = F.coalesce(F.get(kept, i - 1)["text"], F.lit(""))
         text = F.when(
-            is_param, F.concat(F.when(F.endswith(before, F.lit(" ")), " ").otherwise(""), segment)
-        ).otherwise(F.rtrim(segment))
+            segment["param"], F.concat(F.when(F.endswith(before, F.lit(" ")), " ").otherwise(""), segment["text"])
+        ).otherwise(F.rtrim(segment["text"]))
         return F.transform(
             tagger_pieces(text),
             lambda p: F.struct(
                 F.ltrim(p).alias("token"),
                 F.startswith(p, F.lit(" ")).alias("space_before"),
-                is_param.cast("int").alias("tag"),
+                segment["param"].cast("int").alias("tag"),
             ),
         )
 
+    def filled(segments: Column) -> Column:
+        marked = F.transform(segments, lambda s, i: F.struct(s.alias("text"), (i % 2 == 1).alias("param")))
+        return F.filter(marked, lambda s: s["text"] != "")
+
     return let(
-        lambda segments: F.flatten(
-            F.transform(segments, lambda segment, i: tagged(segments, segment, i))
-        ),
-        let(_segments, normalize_ws(log), normalize_ws(template)),
+        lambda kept: F.flatten(F.transform(kept, lambda segment, i: tagged(kept, segment, i))),
+        filled(let(_segments, normalize_ws(log), normalize_ws(template))),
     )
 
 

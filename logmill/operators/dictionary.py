@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.align import MANY_WILDCARDS, escape_regex, extract_params
+from ..functions.align import extract_params
 from ..functions.binding import let
 from ..functions.distance import lcs_similarity
-from ..functions.patterns import WILDCARD
+from ..functions.patterns import WILDCARD, WILDCARD_RX
 from ..functions.text import is_valid_template, match_text, normalize_ws, split_text, words
 from ..session import materialize
 from .scale import checked_join, is_small, with_sequence
@@ -58,24 +58,12 @@ def remove_templates(dictionary: DataFrame, templates: DataFrame) -> DataFrame:
     return dictionary.join(gone, "text", "left_anti").select("template_id", "template", "text")
 
 
-def _line_regex(text: Column, strict: bool) -> Column:
-    """Regex over a line's tokens, each followed by a space.
+def _covers(line: Column, parts: Column, strict: bool) -> Column:
+    """Do a template's ``parts`` (its text with a space at both ends, cut at the wildcards) cover a line?
 
     A wildcard runs to a place where a token starts.  Strict: only the first occurrence of the token after a
-    wildcard is tried, hence the atomic group.
-    """
-    group = "?>" if strict else "?:"
-    body = escape_regex(F.concat(text, F.lit(" ")))
-    body = F.regexp_replace(body, r"<\\\*> (?!$)([^ ]+ )", rf"({group}.*?(?<![^ ])$1)")
-    body = F.regexp_replace(body, r"<\\\*> $", ".*")
-    return F.concat(F.lit("(?s)^"), body, F.lit("$"))
-
-
-def _line_scan(line: Column, text: Column, strict: bool) -> Column:
-    """The same decision, found part by part; for templates with very many wildcards.
-
-    Neither form needs to go back: strict has one place to try, and otherwise the earliest place of every
-    part leaves the most room for the rest.
+    wildcard is tried.  Relaxed: the earliest place of every part leaves the most room for the rest.  Neither goes
+    back, so the cost is one search per part.
     """
     line = F.concat(F.lit(" "), line)
     size = F.length(line)
@@ -92,27 +80,25 @@ def _line_scan(line: Column, text: Column, strict: bool) -> Column:
             fits = F.lit(True)
         return F.when((pos > 0) & (at > 0) & fits, at + F.length(part) - 1).otherwise(F.lit(0))
 
-    def scanned(parts: Column) -> Column:
-        first, last = F.element_at(parts, 1), F.element_at(parts, -1)
-        start = F.when(F.startswith(line, first), F.length(first)).otherwise(F.lit(0))
-        inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
-        pos = F.aggregate(inner, start, step)
-        if strict:
-            ends = let(lambda p: step(p, last) == size, pos)
-        else:
-            ends = let(
-                lambda p: (p > 0) & F.endswith(line, last) & (p <= size - F.length(last) + 1), pos
-            )
-        return F.when(last == " ", pos > 0).otherwise(ends)
-
-    return let(scanned, F.split(F.concat(F.lit(" "), text, F.lit(" ")), r"<\*>"))
+    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    start = F.when(F.startswith(line, first), F.length(first)).otherwise(F.lit(0))
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    pos = F.aggregate(inner, start, step)
+    if strict:
+        ends = let(lambda p: step(p, last) == size, pos)
+    else:
+        ends = let(
+            lambda p: (p > 0) & F.endswith(line, last) & (p <= size - F.length(last) + 1), pos
+        )
+    several = F.when(last == " ", pos > 0).otherwise(ends)
+    return F.when(F.size(parts) == 1, line == first).otherwise(several)
 
 
 def index_dictionary(dictionary: DataFrame, strict: bool = True) -> DataFrame:
     """Add the match columns and store the result.
 
     ``anchor`` is the static token of a template that the fewest templates share: only lines that hold it
-    are candidates.  ``head`` and ``tail`` are the fixed ends of a line, checked before the regex.
+    are candidates.  ``head`` and ``tail`` are the fixed ends of a line, checked first.
     """
     tokens = split_text(F.col("text"))
     base = dictionary.withColumn("_tokens", tokens).select(
@@ -147,7 +133,7 @@ def index_dictionary(dictionary: DataFrame, strict: bool = True) -> DataFrame:
         F.coalesce("anchor", F.lit("")).alias("anchor"),
         F.element_at(parts, 1).alias("head"),
         F.element_at(parts, -1).alias("tail"),
-        _line_regex(F.col("text"), strict).alias("regex"),
+        F.split(F.concat(F.lit(" "), "text", F.lit(" ")), WILDCARD_RX).alias("parts"),
         F.lit(strict).alias("strict"),
         rank.cast(_RANK).alias("rank"),
     )
@@ -177,18 +163,16 @@ def best_templates(contents: DataFrame, index: DataFrame, column: str = "Content
     )
     small = is_small(index)
     lookup = index.select(
-        "anchor", "text", "n_static", "n_wild", "head", "tail", "regex", "strict", "rank"
+        "anchor", "text", "n_static", "n_wild", "head", "tail", "parts", "strict", "rank"
+    )
+    covered = F.when(F.col("strict"), _covers(F.col("_line"), F.col("parts"), True)).otherwise(
+        _covers(F.col("_line"), F.col("parts"), False)
     )
-    scanned = F.when(
-        F.col("strict"), _line_scan(F.col("_line"), F.col("text"), True)
-    ).otherwise(_line_scan(F.col("_line"), F.col("text"), False))
     covers = (
         (F.col("n_static") <= F.col("_n"))
         & F.startswith("_line", "head")
         & F.endswith("_line", "tail")
-        & F.when(F.col("n_wild") > MANY_WILDCARDS, scanned).otherwise(
-            F.rlike("_line", F.col("regex"))
-        )
+        & covered
     )
     hits = checked_join(keyed, lookup, ["anchor"], covers, salt_by=F.col(column), small=small)
     best = hits.groupBy(column).agg(F.min("rank").alias("rank"))

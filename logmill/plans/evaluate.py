@@ -7,13 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.align import (
-    drop_empty_wildcards,
-    group_references,
-    template_captures,
-    template_regex_lazy,
-    wildcard_count,
-)
+from ..functions.align import drop_empty_wildcards, template_captures, template_parts
 from ..functions.binding import let
 from ..functions.correct import correct_template_metric
 from ..operators.joins import drop_null_truth, pair_truth_prediction
@@ -28,8 +22,8 @@ def case_fold(df: DataFrame, *columns: str) -> DataFrame:
 def normalized_side(df: DataFrame, key: str = "LineId", by: Sequence[str] = ()) -> DataFrame:
     """Lower-case one side, correct its templates, and drop the wildcards that match nothing.
 
-    Templates are corrected, and turned into regexes, once per distinct template; each line then needs one
-    regex pass.
+    Templates are corrected, and cut at their wildcards, once per distinct template; each line is then searched
+    once for the parts.
     """
     side = case_fold(
         df.select(*by, key, "Content", "EventTemplate"), "Content", "EventTemplate"
@@ -37,20 +31,13 @@ def normalized_side(df: DataFrame, key: str = "LineId", by: Sequence[str] = ())
     fixed = correct_template_metric(F.col("EventTemplate"))
 
     def prepared(t: Column) -> Column:
-        return F.struct(
-            t.alias("template"),
-            template_regex_lazy(t).alias("regex"),
-            wildcard_count(t).alias("n"),
-            group_references(wildcard_count(t)).alias("refs"),
-        )
+        return F.struct(t.alias("template"), template_parts(t).alias("parts"))
 
     side = over_distinct(side, "EventTemplate", _t=let(prepared, fixed))
     aligned = let(
         lambda t, params: drop_empty_wildcards(t, params),
         F.col("_t.template"),
-        template_captures(
-            F.col("Content"), F.col("_t.template"), F.col("_t.regex"), F.col("_t.n"), F.col("_t.refs")
-        ),
+        template_captures(F.col("Content"), F.col("_t.template"), F.col("_t.parts")),
     )
     return side.select(*by, key, aligned.alias("EventTemplate"))
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -76,12 +77,6 @@ def test_relaxed(spark):
     check(spark, False, relaxed_match)
 
 
-def test_scan_agrees_with_regex(spark, monkeypatch):
-    monkeypatch.setattr(D, "MANY_WILDCARDS", 0)
-    check(spark, True, strict_match)
-    check(spark, False, relaxed_match)
-
-
 def test_salted_join_agrees(spark, monkeypatch):
     monkeypatch.setattr(D, "is_small", lambda df: False)
     check(spark, True, strict_match)
@@ -114,34 +109,62 @@ def test_long_lines(spark):
     assert len(by_first["x"].params[0].split()) == 20000
 
 
+def lazy_regex(template):
+    return re.compile("^" + "(.*?)".join(re.escape(p) for p in template.split(W)) + "$")
+
+
 def lazy_captures(log, template):
-    regex = "^" + "(.*?)".join(re.escape(p) for p in template.split(W)) + "$"
-    found = re.search(regex, log)
+    found = lazy_regex(template).search(log)
     return list(found.groups()) if found and found.groups() else None
 
 
-def test_captures(spark, monkeypatch):
+def test_captures(spark):
     rng = random.Random(3)
     rows = []
     for i in range(1500):
-        template = "".join(rng.choice(["a", "b", " ", ".", W, "$", "\\"]) for _ in range(rng.randint(1, 8)))
-        log = "".join(rng.choice("ab .$\\x\x01\x02") for _ in range(rng.randint(0, 10)))
+        template = "".join(rng.choice(["a", "b", " ", ".", W, "$", "\\", "\n"]) for _ in range(rng.randint(1, 8)))
+        log = "".join(rng.choice("ab .$\\x\x01\x02\n") for _ in range(rng.randint(0, 10)))
         filled = "".join(
-            p + rng.choice(["", "a", "b b", "x.\x01"]) for p in template.split(W)
+            p + rng.choice(["", "a", "b b", "x.\x01", "\n"]) for p in template.split(W)
         )
         rows += [(log, template), (filled, template)]
     df = spark.createDataFrame(rows, ["log", "template"])
-    for many in (200, 0):
-        monkeypatch.setattr(align, "MANY_WILDCARDS", many)
-        got = df.select("log", "template", align.extract_params(F.col("log"), F.col("template")).alias("p"))
-        for row in got.collect():
-            assert row.p == lazy_captures(row.log, row.template), row
+    own = align.extract_params(F.col("log"), F.col("template")).alias("p")
+    covered = align.matches_template(F.col("log"), F.col("template")).alias("m")
+    for row in df.select("log", "template", own, covered).collect():
+        assert row.p == lazy_captures(row.log, row.template), row
+        assert row.m == bool(lazy_regex(row.template).search(row.log)), row
 
 
-def test_abstraction_of_long_templates(spark, monkeypatch):
+def test_abstraction(spark):
+    rng = random.Random(4)
     rows = [("a <*> c", "a b c"), ("a <*>", "a b c"), ("a <*>:<*> c", "a x:y c"), ("a", None), ("<*> b", "a  b")]
+    rows += [
+        tuple("".join(rng.choice(kinds) for _ in range(rng.randint(0, 7))) for kinds in (["a", ":", " ", "\t", W], ["a", "b", ":", " ", "\n", W]))
+        for _ in range(3000)
+    ]
     df = spark.createDataFrame(rows, "x string, y string")
-    for many in (200, -1):
-        monkeypatch.setattr(align, "MANY_WILDCARDS", many)
-        got = [r[0] for r in df.select(align.is_abstract(F.col("x"), F.col("y"))).collect()]
-        assert got == [True, False, True, False, True]
+    for row in df.select("x", "y", align.is_abstract(F.col("x"), F.col("y")).alias("m")).collect():
+        body = re.escape(row.x).replace(re.escape(W), r"\S+?").replace("\\ ", r"\s+")
+        assert row.m == (row.y is not None and bool(re.search(f"^{body}$", row.y, re.ASCII))), row
+
+
+def test_one_answer_for_any_number_of_wildcards(spark):
+    rows = []
+    for n in (0, 199, 201, 5000):
+        template = " ".join(["k <*>"] * n + ["end"])
+        line = " ".join(["k v"] * n + ["end"])
+        rows += [(n, template, line, True), (n, template, line.replace("v", "v\nw"), n == 0), (n, template, line + "x", False)]
+    df = spark.createDataFrame(rows, "n int, template string, log string, expected boolean")
+    params = align.extract_params(F.col("log"), F.col("template"))
+    for row in df.select("n", "expected", align.matches_template(F.col("log"), F.col("template")).alias("m"), params.alias("p")).collect():
+        assert row.m == row.expected
+        assert row.p == (["v"] * row.n if row.expected and row.n else None)
+
+
+def test_long_lines_without_a_match_are_quick(spark):
+    line = " ".join(["a"] * 5000)
+    df = spark.createDataFrame([(line, " ".join(["<*> a"] * 40) + " zz")], "log string, template string")
+    start = time.perf_counter()
+    assert not df.select(align.matches_template(F.col("log"), F.col("template"))).first()[0]
+    assert time.perf_counter() - start < 5
