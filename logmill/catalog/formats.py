@@ -42,6 +42,8 @@ class LineFormat:
     regex: str
     n_groups: int
     headers: tuple[Header, ...]
+    #: A pattern for the same lines that never goes back; None where the format is too free for one.
+    guard: str | None
 
     @property
     def names(self) -> list[str]:
@@ -65,7 +67,59 @@ def compile_format(log_format: str) -> LineFormat:
             elif other == ")":
                 open_groups.pop()
             regex += escaped or other
-    return LineFormat(regex + "$", n_groups, tuple(headers))
+    return LineFormat(regex + "$", n_groups, tuple(headers), linear_guard(log_format))
+
+
+_HEADER = "<>"
+
+
+def _items(log_format: str) -> list[str] | None:
+    """Headers, blanks, literal characters and optional parts (``(?:…)?``); None if there is other regex syntax."""
+    items, inside = [], None
+    for name, escaped, blanks, other in re.findall(r"<([^<>]+)>|(\\.)|( +)|(.)", log_format):
+        if other == "(" and inside is None:
+            inside = ""
+        elif other == ")" and inside is not None:
+            items.append(f"(?:{inside})")
+            inside = None
+        elif other == "?" and items and items[-1].startswith("(?:"):
+            items[-1] += "?"
+        elif other and other in "()[]{}*+?|^$.":
+            return None
+        elif inside is not None:
+            inside += ".*?" if name else r"\s+" if blanks else escaped or other
+        else:
+            items.append(_HEADER if name else " " if blanks else escaped or other)
+    groups = [item for item in items if item.startswith("(?:")]
+    return None if inside is not None or any(not g.endswith("?") for g in groups) else items
+
+
+def linear_guard(log_format: str) -> str | None:
+    """A pattern that decides in linear time whether a format's lazy regex matches a line without line feeds.
+
+    Headers may hold anything, so the earliest place and the shortest form of the glue behind a header leave the
+    most room for the rest: each header with its glue is one atomic group, and a blank next to a header is one
+    blank.  An optional part right behind a header is left out, for the header can hold it; elsewhere one is kept if
+    only the last header follows.  None where the format is too free for this.
+    """
+    items = _items(log_format)
+    if items is None:
+        return None
+    items = [x for k, x in enumerate(items) if not (x.startswith("(?:") and k and items[k - 1] == _HEADER)]
+    last = len(items) - 1 - items[::-1].index(_HEADER) if _HEADER in items else None
+    if last is None or any(x.startswith("(?:") and items[k:].count(_HEADER) != 1 for k, x in enumerate(items)):
+        return None
+    pattern, is_open = "^", False
+    for k, item in enumerate(items):
+        if item == _HEADER:
+            pattern += ")" * is_open + (".*?" if k == last else "(?>.*?")
+            is_open = k != last
+        elif item == " ":
+            beside = (k and items[k - 1] == _HEADER) or items[k + 1 : k + 2] == [_HEADER]
+            pattern += r"\s" if beside else r"\s+"
+        else:
+            pattern += item
+    return pattern + "$"
 
 
 def format_catalog(spark: SparkSession) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.formats import LOG_FORMATS, LineFormat, compile_format
 from ..functions.align import captures, matches
-from ..operators.scale import is_small, running_offsets
+from ..operators.scale import is_small, running_offsets, with_sequence
 from ..session import materialize
 
 #: More file splits than this are joined by shuffle; 100 TB in splits of 128 MB are 0.8 million.
@@ -35,7 +35,12 @@ def _stripped(line: Column) -> Column:
 
 
 def _is_match(line: Column, fmt: LineFormat) -> Column:
-    return matches(_stripped(line), F.lit(fmt.regex))
+    """Decided without going back where the format allows it; a line feed is the one thing a header cannot hold."""
+    line = _stripped(line)
+    exact = matches(line, F.lit(fmt.regex))
+    if fmt.guard is None:
+        return exact
+    return F.when(F.contains(line, F.lit("\n")), exact).otherwise(matches(line, F.lit(fmt.guard)))
 
 
 def _headers(groups: Column, fmt: LineFormat) -> list[Column]:
@@ -51,7 +56,8 @@ def _headers(groups: Column, fmt: LineFormat) -> list[Column]:
 def header_parse(df: DataFrame, fmt: str, column: str = "value") -> DataFrame:
     """Split lines into header columns; lines that do not match are dropped.
 
-    ``fmt`` is a known system or a format string.  One regex pass gives all headers.
+    ``fmt`` is a known system or a format string.  Lines are decided on by a linear guard; those that pass are
+    matched once for all headers.
     """
     line_format = _format(fmt)
     kept = [c for c in df.columns if c != column]
@@ -107,10 +113,18 @@ def read_raw_log(spark: SparkSession, path: str, fmt: str, limit: int | None = N
     """
     lines = read_text(spark, path)
     if limit is not None:
-        lines = number_in_file_order(lines, "_line").where(F.col("_line") <= limit).drop("_line")
+        return _head_of_log(lines, fmt, limit)
     return number_in_file_order(header_parse(lines, fmt), "LineId").drop("_file", "_block")
 
 
+def _head_of_log(lines: DataFrame, fmt: str, limit: int) -> DataFrame:
+    """The matching lines among the first ``limit``, numbered in the order that the first pass found."""
+    head = number_in_file_order(lines, "_line").where(F.col("_line") <= limit).drop("_file", "_block")
+    parsed = materialize(header_parse(head, fmt))
+    names = [c for c in parsed.columns if c != "_line"]
+    return with_sequence(parsed, [F.col("_line")], "LineId").select("LineId", *names)
+
+
 def limit_lines(df: DataFrame, n: int, order: str = "LineId") -> DataFrame:
     """The first ``n`` lines."""
     return df.orderBy(order).limit(n)
