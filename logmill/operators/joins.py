@@ -24,10 +24,10 @@ def pair_truth_prediction(
     column: str = "EventTemplate",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Line up both sides; a missing prediction text counts as the empty template."""
+    """Line up both sides; a missing prediction, row or text, counts as the empty template."""
     left = drop_null_truth(truth, column).select(*by, key, F.col(column).alias("gt"))
-    right = prediction.select(*by, key, F.coalesce(column, F.lit("")).alias("pred"))
-    return left.join(right, [*by, key])
+    right = prediction.select(*by, key, F.col(column).alias("pred"))
+    return left.join(right, [*by, key], "left").withColumn("pred", F.coalesce("pred", F.lit("")))
 
 
 def seen_rows(df: DataFrame, templates: DataFrame, column: str = "gt") -> DataFrame:
@@ -43,14 +43,14 @@ def unseen_rows(df: DataFrame, templates: DataFrame, column: str = "gt") -> Data
 
 
 def apply_corrections(log: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Replace EventId and EventTemplate by mapping (EventId → new_id, new_template).
+    """Replace EventId and EventTemplate by mapping (dataset, EventId, EventTemplate → new_id, new_template).
 
-    Rows without a mapping keep their values and are marked ``unmapped``.
+    The join is on what the mapping has besides its new values.  Rows without a mapping keep their values and are
+    marked ``unmapped``.
     """
-    new = mapping.select(
-        "EventId", F.col("new_id").alias("_id"), F.col("new_template").alias("_template")
-    )
-    return lookup_join(log, new, ["EventId"]).select(
+    keys = [c for c in mapping.columns if c not in ("new_id", "new_template")]
+    new = mapping.select(*keys, F.col("new_id").alias("_id"), F.col("new_template").alias("_template"))
+    return lookup_join(log, new, keys).select(
         *[c for c in log.columns if c not in ("EventId", "EventTemplate")],
         F.coalesce("_id", "EventId").alias("EventId"),
         F.coalesce("_template", "EventTemplate").alias("EventTemplate"),

@@ -41,12 +41,19 @@ def _combine(parts: Sequence[DataFrame], by: Sequence[str], names: Sequence[str]
     return union.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
 
 
-def _flag(counts: DataFrame, templates: DataFrame | None, name: str) -> DataFrame:
-    """Mark the rows whose truth is in the one-column set ``templates``; all rows if there is no set."""
+def template_set(templates: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """A set of templates as column ``gt``, and which of the ``by`` columns it has: a set may differ by dataset."""
+    own = [c for c in by if c in templates.columns]
+    column = next(c for c in templates.columns if c not in own)
+    return templates.select(*own, F.col(column).alias("gt")).distinct(), own
+
+
+def _flag(counts: DataFrame, templates: DataFrame | None, name: str, by: Sequence[str]) -> DataFrame:
+    """Mark the rows whose truth is in the set ``templates``; all rows if there is no set."""
     if templates is None:
         return counts.withColumn(name, F.lit(True))
-    known = templates.select(F.col(templates.columns[0]).alias("gt")).distinct()
-    return counts.join(known.withColumn(name, F.lit(True)), "gt", "left").withColumn(
+    known, own = template_set(templates, by)
+    return counts.join(known.withColumn(name, F.lit(True)), [*own, "gt"], "left").withColumn(
         name, F.coalesce(name, F.lit(False))
     )
 
@@ -85,10 +92,12 @@ def _side_parts(
         ),
     ]
     if templates is not None:
-        size = templates.distinct().agg(F.count(F.lit(1)).alias("ground"))
-        parts.append(
-            size if not by else truth.select(*by).distinct().withColumn("ground", size.scalar())
-        )
+        known, own = template_set(templates, by)
+        size = known.groupBy(*own).agg(F.count(F.lit(1)).alias("ground"))
+        if by:
+            each = truth.select(*by).distinct()
+            size = each.join(size, own) if own else each.withColumn("ground", size.scalar())
+        parts.append(size)
     return parts
 
 
@@ -106,7 +115,7 @@ def _group_part(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 def _line_part(counts: DataFrame, by: Sequence[str], seen: DataFrame | None) -> DataFrame:
     exact = F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)
     new = ~F.col("_seen") if seen is not None else F.lit(False)
-    return _flag(counts, seen, "_seen").groupBy(*by).agg(
+    return _flag(counts, seen, "_seen", by).groupBy(*by).agg(
         F.sum("n").alias("all_lines"),
         F.sum(exact).alias("exact_lines"),
         F.sum(F.when(new, F.col("n")).otherwise(0)).alias("new_lines"),
@@ -122,7 +131,7 @@ def grouping_accuracy(
     pairs: DataFrame, by: Sequence[str] = (), filter_templates: DataFrame | None = None
 ) -> DataFrame:
     """GA, PGA, RGA, FGA; with ``filter_templates`` only those truths count."""
-    counts = _flag(_stored_counts(pairs, by), filter_templates, "inside")
+    counts = _flag(_stored_counts(pairs, by), filter_templates, "inside", by)
     ground = _ground(filter_templates)
     sums = _combine(
         [*_side_parts(counts, by, filter_templates), _group_part(counts, by)],
@@ -143,7 +152,7 @@ def template_accuracy(
     loose: bool = False,
 ) -> DataFrame:
     """PTA, RTA, FTA: a predicted template is right if its lines have exactly that one truth."""
-    counts = _flag(_stored_counts(pairs, by), filter_templates, "inside")
+    counts = _flag(_stored_counts(pairs, by), filter_templates, "inside", by)
     ground = _ground(filter_templates)
     sums = _combine(
         _side_parts(counts, by, filter_templates, loose), by, [ground, "identified", "ok_templates"]
@@ -185,7 +194,7 @@ def parsing_accuracy_loose(
 
 
 def _loose_accuracy(counts: DataFrame, seen: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    counts = _flag(counts, seen, "_seen").where("_seen")
+    counts = _flag(counts, seen, "_seen", by).where("_seen")
     ok = F.when(loose_equal(F.col("gt"), F.col("pred")), F.col("n")).otherwise(0)
     return (
         counts.groupBy(*by)
@@ -198,7 +207,7 @@ def score(
     pairs: DataFrame, by: Sequence[str] = (), seen: DataFrame | None = None, loose: bool = False
 ) -> DataFrame:
     """All metrics of a parse as one row per ``by``.  With ``loose`` uPA is null."""
-    counts = _flag(_stored_counts(pairs, by), None, "inside")
+    counts = _flag(_stored_counts(pairs, by), None, "inside", by)
     line_part = _line_part(counts, by, None if loose else seen)
     sums = _combine(
         [*_side_parts(counts, by, None, loose), _group_part(counts, by), line_part],

@@ -20,12 +20,21 @@ def top_k(df: DataFrame, count: str, k: int, *ties: str) -> DataFrame:
 
 
 def natural_order(column: str = "EventId") -> list:
-    """Sort keys that put E2 before E10."""
-    return [
-        F.regexp_extract(column, r"^(\D*)", 1),
-        F.expr(f"try_cast(regexp_extract({column}, '(\\\\d+)', 1) as bigint)"),
-        F.col(column),
-    ]
+    """Sort keys that put E2 before E10, and E1.2 before E1.10: texts and numbers in turn.
+
+    A number is its length and its digits without leading zeros, so numbers of any length compare as such.
+    """
+
+    def number(digits):
+        plain = F.ltrim(digits, F.lit("0"))
+        return F.concat(F.lpad(F.length(plain).cast("string"), 10, "0"), plain)
+
+    texts = F.split(column, r"\d+")
+    numbers = F.regexp_extract_all(column, F.lit(r"\d+"), F.lit(0))
+    pieces = F.flatten(
+        F.zip_with(texts, numbers, lambda t, n: F.when(n.isNull(), F.array(t)).otherwise(F.array(t, number(n))))
+    )
+    return [pieces, F.col(column)]
 
 
 def natural_sort(df: DataFrame, column: str = "EventId") -> DataFrame:

@@ -42,10 +42,18 @@ def normalized_side(df: DataFrame, key: str = "LineId", by: Sequence[str] = ())
     return side.select(*by, key, aligned.alias("EventTemplate"))
 
 
-def normalized_seen(seen: DataFrame) -> DataFrame:
-    """The templates of the labelled sample, lower-cased and corrected."""
-    column = F.col(seen.columns[0])
-    return seen.select(correct_template_metric(F.lower(column)).alias("template")).distinct()
+def normalized_seen(seen: DataFrame, by: Sequence[str] = (), align_seen: bool = False) -> DataFrame:
+    """The templates of the labelled sample, lower-cased and corrected, for each dataset if it names one.
+
+    ``align_seen`` also drops the wildcards that match nothing, as the truth's do; the sample then has the columns
+    Content and EventTemplate.
+    """
+    own = [c for c in by if c in seen.columns]
+    if align_seen:
+        aligned = normalized_side(seen.withColumn("_line", F.lit(0)), "_line", own)
+        return aligned.select(*own, F.col("EventTemplate").alias("template")).distinct()
+    column = F.col(next(c for c in seen.columns if c not in own))
+    return seen.select(*own, correct_template_metric(F.lower(column)).alias("template")).distinct()
 
 
 def evaluate_all(
@@ -55,8 +63,13 @@ def evaluate_all(
     key: str = "LineId",
     by: Sequence[str] = (),
     loose: bool = False,
+    align_seen: bool = False,
 ) -> DataFrame:
-    """All metrics of a prediction, one row per ``by``."""
+    """All metrics of a prediction, one row per ``by``.
+
+    Lines without a prediction count as wrong.  ``seen`` may have the ``by`` columns: then each dataset has its own
+    seen templates.
+    """
     predicted = prediction.fillna("", subset=["EventTemplate"])
     pairs = pair_truth_prediction(
         normalized_side(drop_null_truth(truth), key, by),
@@ -64,7 +77,7 @@ def evaluate_all(
         key,
         by=by,
     )
-    return score(pairs, by, None if seen is None else normalized_seen(seen), loose)
+    return score(pairs, by, None if seen is None else normalized_seen(seen, by, align_seen), loose)
 
 
 def summary_row(metrics: DataFrame, times: DataFrame | None = None, decimals: int = 3) -> DataFrame:

@@ -72,13 +72,12 @@ _per_text("char_signature", text.char_signature, sql.signature("s"))
 
 @query(
     "case_fold",
-    sql.on_texts("SELECT src, id, lower(s) AS s FROM texts WHERE src IN ('event', 'order', 'event_template')"),
+    sql.on_texts("SELECT src, id, lower(s) AS s FROM texts"),
 )
 def case_fold(spark, sf_dir):
     from ..plans.evaluate import case_fold as fold
 
-    rows = fixtures.texts(spark, sf_dir).where(F.col("src").isin("event", "order", "event_template"))
-    return fold(rows, "s")
+    return fold(fixtures.texts(spark, sf_dir), "s")
 
 
 _PARAMS = r"""

@@ -37,11 +37,11 @@ def test_guard_decides_like_the_lazy_regex(system):
     lazy, quick = re.compile(compile_format(fmt).regex, re.ASCII), re.compile(guard, re.ASCII)
     rng = random.Random(system)
     found = [0, 0]
-    for line in glue_lines(fmt, rng, 6000):
+    for line in glue_lines(fmt, rng, 1500):
         expected = bool(lazy.search(line))
         assert bool(quick.search(line)) == expected, line
         found[expected] += 1
-    assert min(found) > 5
+    assert min(found) > 2
 
 
 def test_free_formats_have_no_guard():
