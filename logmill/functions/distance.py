@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .binding import let
 from .text import similarity_tokens, words
@@ -18,24 +14,27 @@ def _ratio(num: Column, den: Column, empty: float) -> Column:
 
 
 def lcs_length(x: Column, y: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: one table row per element of ``x``."""
-    zeros = F.transform(y, lambda _: F.lit(0))
-
-    def next_row(row: Column, a: Column) -> Column:
-        # row[j] is the length for y[0..j]; the accumulator grows the next row from left to right
-        def cell(acc: Column, j: Column) -> Column:
-            left = F.when(j > 0, F.element_at(acc, j)).otherwise(0)
-            diagonal = F.when(j > 0, F.element_at(row, j)).otherwise(0)
-            value = F.when(F.element_at(y, j + 1) == a, diagonal + 1).otherwise(
-                F.greatest(left, F.element_at(row, j + 1))
+    """Length of the longest common subsequence of two arrays, folded over ``x``; both must be bound.
+
+    The state lists, for each length, the first place of ``y`` where a common subsequence of that length ends.  An
+    element moves each entry to its own next place behind the entry before, so a step is one pass over the state.
+    """
+
+    def step(ends: Column, a: Column) -> Column:
+        places = F.filter(
+            F.transform(y, lambda b, j: F.when(b == a, j)), lambda j: j.isNotNull()
+        )
+
+        def moved(at: Column) -> Column:
+            behind = F.concat(F.array(F.lit(-1)), ends)
+            new = F.transform(
+                behind, lambda p, n: F.least(F.get(ends, n), F.array_min(F.filter(at, lambda j: j > p)))
             )
-            return F.concat(acc, F.array(value))
+            return F.filter(new, lambda p: p.isNotNull())
 
-        positions = F.transform(y, lambda _, j: j)
-        return F.aggregate(positions, F.array().cast("array<int>"), cell)
+        return let(lambda at: F.when(F.size(at) == 0, ends).otherwise(moved(at)), places)
 
-    last = F.aggregate(x, zeros, next_row)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0)).otherwise(F.element_at(last, -1))
+    return F.size(F.aggregate(x, F.array().cast("array<int>"), step))
 
 
 def _lcs_share(a: Column, b: Column, empty: float) -> Column:
@@ -96,33 +95,9 @@ def template_similarity(x: Column, y: Column) -> Column:
     return let(share, similarity_tokens(x), similarity_tokens(y))
 
 
-def _ratcliff_matches(a: str, b: str) -> int:
-    total, todo = 0, [(a, b)]
-    while todo:
-        a, b = todo.pop()
-        block = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
-        if block.size:
-            total += block.size
-            todo.append((a[: block.a], b[: block.b]))
-            todo.append((a[block.a + block.size :], b[block.b + block.size :]))
-    return total
-
-
-@F.pandas_udf(DoubleType())
-def ratcliff_distance(x: pd.Series, y: pd.Series) -> pd.Series:
-    """One minus the share of characters in recursively found longest common blocks."""
-    def one(a, b):
-        if a is None or b is None:
-            return None
-        return 1 - 2 * _ratcliff_matches(a, b) / (len(a) + len(b)) if a or b else 0.0
-
-    return pd.Series([one(a, b) for a, b in zip(x, y)], dtype="float64")
-
-
 METRICS = {
     "lcs": lcs_distance,
     "levenshtein": lev_distance,
     "cosine": cosine_distance,
     "jaccard": jaccard_distance,
-    "ratcliff": ratcliff_distance,
 }

@@ -140,10 +140,12 @@ def index_dictionary(dictionary: DataFrame, strict: bool = True) -> DataFrame:
     return materialize(index)
 
 
-def best_templates(contents: DataFrame, index: DataFrame, column: str = "Content") -> DataFrame:
+def best_templates(
+    contents: DataFrame, index: DataFrame, column: str = "Content", keep_rank: bool = False
+) -> DataFrame:
     """The best template of each distinct content that has one: content, template_id, template.
 
-    ``contents`` holds distinct texts.  Best is: most static tokens, then fewest wildcards, then lowest id.
+    ``contents`` holds distinct texts.  ``keep_rank`` adds the rank, by which results of several indexes compare.  Best is: most static tokens, then fewest wildcards, then lowest id.
     """
     # Never-null columns and explode_outer keep Catalyst from inferring filters that would tokenise the
     # lines a second time below the distinct.
@@ -162,6 +164,7 @@ def best_templates(contents: DataFrame, index: DataFrame, column: str = "Content
         )
     )
     small = is_small(index)
+    order = ["rank"] if keep_rank else []
     lookup = index.select(
         "anchor", "text", "n_static", "n_wild", "head", "tail", "parts", "strict", "rank"
     )
@@ -177,7 +180,7 @@ def best_templates(contents: DataFrame, index: DataFrame, column: str = "Content
     hits = checked_join(keyed, lookup, ["anchor"], covers, salt_by=F.col(column), small=small)
     best = hits.groupBy(column).agg(F.min("rank").alias("rank"))
     names = index.select("rank", "template_id", "template")
-    return best.join(F.broadcast(names) if small else names, "rank").drop("rank")
+    return best.join(F.broadcast(names) if small else names, "rank").select(column, "template_id", "template", *order)
 
 
 def match_dictionary(
@@ -200,12 +203,15 @@ def related_templates(
 ) -> DataFrame:
     """The templates that share the longest token prefix with a line: content, template_id, prefix_len.
 
-    A wildcard in a template's prefix stands for one token; the first token must be equal.
+    A wildcard in a template's prefix stands for one token, the first one too.  Templates are found by their first
+    token, which is the line's or a wildcard.
     """
     from pyspark.sql import Window
 
     lines = contents.select(column, split_text(match_text(F.col(column))).alias("_tokens")).select(
-        column, "_tokens", F.get("_tokens", F.lit(0)).alias("_first")
+        column,
+        "_tokens",
+        F.explode(F.array_distinct(F.array(F.get("_tokens", F.lit(0)), F.lit(WILDCARD)))).alias("_first"),
     )
     known = dictionary.select(
         "template_id", "template", split_text(F.col("text")).alias("_ttokens")

@@ -11,12 +11,16 @@ from ..session import materialize
 
 #: A side is broadcast only if it is known to hold no more rows than this.
 BROADCAST_ROWS = 100_000
+#: ... and whose values, written as text, take no more bytes than this.
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Check the size of a (materialised or cheap) DataFrame with a limited count."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Check rows and bytes of a (materialised or cheap) DataFrame; at most ``max_rows`` + 1 rows are looked at."""
+    head = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("size"))
+    found = head.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    return found.rows <= max_rows and found.bytes <= max_bytes
 
 
 def spread_if_small(df: DataFrame, max_bytes: int = 256 << 20) -> DataFrame:

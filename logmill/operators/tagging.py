@@ -22,18 +22,64 @@ from ..functions.text import (
 )
 from ..session import materialize
 
-#: Number of feature slots; a model is one weight per slot.
-SLOTS = 4096
+#: A model has this many slots for each feature at least, so that every feature finds one of its two slots free.
+SLOTS_PER_FEATURE = 8
 
 
 @dataclass(frozen=True)
 class TaggerModel:
+    """Weights of exactly the features of the sample: a slot holds a feature's 64-bit hash and its weight.
+
+    A feature stands in one of two slots; one that stands in neither was not in the sample and counts for nothing.
+    """
+
+    hashes: tuple[int, ...]
     weights: tuple[float, ...]
     intercept: float
 
-    def weight_array(self) -> Column:
-        """All weights as one constant array."""
-        return F.split(F.lit(",".join(repr(w) for w in self.weights)), ",").cast("array<double>")
+    def weight_of(self, feature: Column) -> Column:
+        hashes = F.split(F.lit(",".join(map(str, self.hashes))), ",").cast("array<bigint>")
+        weights = F.split(F.lit(",".join(map(repr, self.weights))), ",").cast("array<double>")
+        n = len(self.hashes)
+        one, two = (F.pmod(h, F.lit(n)).cast("int") for h in (feature, F.shiftright(feature, 32)))
+        return (
+            F.when(F.get(hashes, one) == feature, F.get(weights, one))
+            .when(F.get(hashes, two) == feature, F.get(weights, two))
+            .otherwise(F.lit(0.0))
+        )
+
+
+def place_features(weights: dict[int, float], intercept: float) -> TaggerModel:
+    """Lay out the features by cuckoo hashing, in a table that doubles until all have a place."""
+    size = 16
+    while size < SLOTS_PER_FEATURE * len(weights):
+        size *= 2
+    while True:
+        table: dict[int, int] = {}
+        if all(_insert(table, feature, size) for feature in sorted(weights)):
+            hashes = [table.get(slot, _free(slot, size)) for slot in range(size)]
+            return TaggerModel(tuple(hashes), tuple(weights.get(h, 0.0) for h in hashes), intercept)
+        size *= 2
+
+
+def _slots(feature: int, size: int) -> tuple[int, int]:
+    return feature % size, (feature >> 32) % size
+
+
+def _free(slot: int, size: int) -> int:
+    """A number that is looked up in neither place of this slot."""
+    return (slot + 1) % size + (((slot + 1) % size) << 32)
+
+
+def _insert(table: dict[int, int], feature: int, size: int) -> bool:
+    slot = _slots(feature, size)[0]
+    for _ in range(100):
+        feature, table[slot] = table.get(slot), feature
+        if feature is None:
+            return True
+        one, two = _slots(feature, size)
+        slot = two if slot == one else one
+    return False
 
 
 def labelled_tokens(samples: DataFrame, log: str = "log", template: str = "template") -> DataFrame:
@@ -63,7 +109,7 @@ def _shape(word: Column) -> Column:
 def _per_token(
     tokens: Column, shapes: Column, body: Callable[[Column, list[Column]], Column]
 ) -> Column:
-    """``body(token, slots)`` for every token; its slots stand for its text, its shape and its neighbours."""
+    """``body(token, features)`` for every token: hashes of its text, its shape and its neighbours."""
     edge = F.lit("|")
 
     def slots(t: Column, i: Column, texts: Column, shapes: Column) -> list[Column]:
@@ -80,7 +126,7 @@ def _per_token(
             "ns": [shape, F.coalesce(F.get(shapes, i + 1), edge)],
             "pn": [before, after],
         }
-        return [F.pmod(F.xxhash64(F.lit(k), *v), F.lit(SLOTS)) for k, v in features.items()]
+        return [F.xxhash64(F.lit(k), *v) for k, v in features.items()]
 
     def with_texts(tk: Column, sh: Column) -> Column:
         return let(
@@ -92,9 +138,9 @@ def _per_token(
 
 
 def token_features(tokens: Column) -> Column:
-    """Feature slots of every token."""
+    """Feature hashes of every token."""
     shapes = F.transform(tokens, lambda t: _shape(t["token"]))
-    return _per_token(tokens, shapes, lambda t, slots: F.array(*(s.cast("int") for s in slots)))
+    return _per_token(tokens, shapes, lambda t, slots: F.array(*slots))
 
 
 def fit_tagger(
@@ -119,27 +165,23 @@ def fit_tagger(
     if classes[0] is None:
         raise ValueError("no labelled tokens to learn from")
     if classes[0] == classes[1]:
-        return TaggerModel((0.0,) * SLOTS, 1.0 if classes[0] else -1.0)
+        return place_features({}, 1.0 if classes[0] else -1.0)
     slots = CountVectorizer(
-        inputCol="slots", outputCol="features", binary=True, vocabSize=SLOTS
+        inputCol="slots", outputCol="features", binary=True, vocabSize=1 << 30
     ).fit(tokens)
     fitted = LogisticRegression(maxIter=40, regParam=reg, standardization=False).fit(
         slots.transform(tokens)
     )
-    weights = [0.0] * SLOTS
-    for slot, weight in zip(slots.vocabulary, fitted.coefficients.toArray().tolist()):
-        weights[int(slot)] = weight
-    return TaggerModel(tuple(weights), float(fitted.intercept))
+    weights = zip(map(int, slots.vocabulary), fitted.coefficients.toArray().tolist())
+    return place_features(dict(weights), float(fitted.intercept))
 
 
 def tag_lines(df: DataFrame, model: TaggerModel, column: str = "Content") -> DataFrame:
     """Add ``tokens`` with predicted tags.  Whole lines are tagged; nothing is shuffled."""
-    weights = model.weight_array()
-
     def tagged(t: Column, slots: list[Column]) -> Column:
         score = F.lit(model.intercept)
         for slot in slots:
-            score = score + F.element_at(weights, (slot + 1).cast("int"))
+            score = score + let(model.weight_of, slot)
         return F.struct(t["token"], t["space_before"], (score > 0).cast("int").alias("tag"))
 
     # the shape of the whole line, cut the same way, gives the shapes of its tokens

@@ -262,6 +262,16 @@ def upsert_time_cost(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("save_run_config", """SELECT '{"lines": ' || count(*) || ', "shots": [32]}' AS value FROM events""")
+def save_run_config(spark, sf_dir):
+    """The settings of the first run stay when a second one has others."""
+    path = scratch_path(spark, "config")
+    lines = fixtures.table(spark, sf_dir, "events").count()
+    tables.save_run_config(spark, {"shots": [32], "lines": lines}, path)
+    tables.save_run_config(spark, {"shots": [8], "lines": 0}, path)
+    return spark.read.text(path)
+
+
 @query("load_dataset_csv", sql.on_events(_STRUCTURED))
 def load_dataset_csv(spark, sf_dir):
     base = scratch_path(spark, "datasets")

@@ -261,7 +261,6 @@ _distance(
     "lcs",
     f"1 - 2 * {_JACCARD}::DOUBLE / (len({_LOG_WORDS}) + len({_TPL_WORDS}))",
 )
-_distance("ratcliff_distance", "ratcliff")
 
 
 @query(

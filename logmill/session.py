@@ -25,11 +25,14 @@ def local_session(app: str = "logmill", cpus: int | str = "*") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors reach, as named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests), a local folder is made and set for this session.
+    Only where the session names none and all tasks run on this machine (tests), a local folder is made and set for
+    this session.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if configured is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="logmill-"))
     return configured or context.getCheckpointDir()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dictionary import DICTIONARY_SCHEMA
@@ -22,8 +23,9 @@ def read_raw_log_stream(
 
 
 def dictionary_at(spark: SparkSession, state: str, version: int) -> DataFrame:
-    """The dictionary after a micro-batch."""
-    return spark.read.schema(DICTIONARY_SCHEMA).parquet(f"{state}/version={version}")
+    """The dictionary after a micro-batch: the templates that were new in it and in those before."""
+    found = spark.read.schema(f"{DICTIONARY_SCHEMA}, version bigint").option("basePath", state).parquet(f"{state}/version=*")
+    return found.where(F.col("version") <= version).drop("version")
 
 
 def parse_stream(
@@ -34,22 +36,28 @@ def parse_stream(
     checkpoint: str,
     column: str = "Content",
     initial: DataFrame | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Parse every micro-batch with the dictionary that the batches before it have grown.
 
-    Batch *n* reads dictionary version *n-1* and overwrites its own output and version *n*, so a batch that
-    runs again after a failure gives the same result.  All paths are on shared storage.
+    Batch *n* reads the dictionary up to version *n-1* and overwrites its own output and the templates that are new in
+    version *n*, so a batch that runs again after a failure gives the same result.  All paths are on shared storage.
+    ``trigger`` is passed to the stream, such as ``{"processingTime": "1 minute"}``; by default it takes what there
+    is and ends.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         known = initial if batch_id == 0 else dictionary_at(batch.sparkSession, state, batch_id - 1)
         parsed = parse_batch(batch, model, known, column)
         parsed.lines.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-        parsed.dictionary.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        new = parsed.dictionary
+        if batch_id > 0:
+            new = new.join(known.select("template_id"), "template_id", "left_anti")
+        new.select("template_id", "template", "text").write.mode("overwrite").parquet(f"{state}/version={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

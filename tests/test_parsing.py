@@ -1,5 +1,7 @@
 """Parsing in batches and streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,28 @@ def test_stream_goes_on_where_it_stopped(spark, model, tmp_path):
     assert {(r.EventTemplate, r.template_id) for r in opened} == {
         ("open file <*> in <*>", first["open file <*> in <*>"])
     }
+
+
+def test_only_features_of_the_sample_count(spark):
+    from logmill.operators.tagging import place_features
+
+    rng = random.Random(8)
+    weights = {rng.randrange(-(1 << 63), 1 << 63): float(k + 1) for k in range(700)}
+    model = place_features(weights, 0.0)
+    others = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(5000)] + list(range(-20, 20)) + list(set(model.hashes) - set(weights))
+    frame = spark.createDataFrame([(h,) for h in [*weights, *others]], "h long")
+    found = {r.h: r.w for r in frame.select("h", model.weight_of(F.col("h")).alias("w")).collect()}
+    assert all(found[h] == weights.get(h, 0.0) for h in found)
+
+
+def test_a_stream_of_many_batches_keeps_one_row_per_template(spark, model, tmp_path):
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    state, out, progress = (str(tmp_path / n) for n in ("state", "out", "progress"))
+    for k in range(4):
+        (incoming / f"{k}.txt").write_text(f"[t] [INFO] open file {k} in /tmp/x\n[t] [INFO] phase number{'abcd'[k]} begun\n")
+    stream = read_raw_log_stream(spark, str(incoming), "Apache", files_per_batch=1)
+    parse_stream(stream, model, state, out, progress, trigger={"availableNow": True}).awaitTermination()
+    written = spark.read.parquet(state)
+    assert written.count() == written.select("template_id").distinct().count() == dictionary_at(spark, state, 3).count()
+    assert dictionary_at(spark, state, 0).count() < written.count()
