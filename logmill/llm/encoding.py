@@ -11,11 +11,17 @@ import array
 import os
 import re
 
+import numpy as np
+
 #: Letters whose lower case and composition are their own affair, then marks that the pattern splits from letters.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()\[\]{}=+/-]*)")
-#: Pieces kept by one encoder at most; the memo starts anew beyond it.
-MEMO_PIECES = 300_000
+#: Pieces, and lower-cased words and marks, that one encoder keeps at most; either memo starts anew beyond it.
+MEMO_PIECES = 400_000
+MEMO_FORMS = 1_000_000
+#: Words that the library gets at once, as one text.
+TOGETHER = 500
 VOCABULARY = "word_bpe_49k.json"
+WORD_END = "</w>"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -27,7 +33,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """Encode texts with the tokenizer file at ``path``; ids are bytes of unsigned 16-bit numbers."""
 
-    def __init__(self, path: str | None = None, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, path: str | None = None, memo_pieces: int = MEMO_PIECES, memo_forms: int = MEMO_FORMS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,23 +42,42 @@ class Encoder:
         self.library.no_padding()
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self.memo_pieces = memo_pieces
+        self.ends_word = np.zeros(1 << 16, bool)
+        for token, number in self.library.get_vocab().items():
+            self.ends_word[number] = token.endswith(WORD_END)
+        self.memo_pieces, self.memo_forms = memo_pieces, memo_forms
         self.memo: dict[str, bytes] = {"": b""}
         self.forms: dict[str, bytes] = {"": b""}
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.memo) + len(pieces) > self.memo_pieces:
-            self.memo, self.forms = {"": b""}, {"": b""}
-        parts = {}
+        if len(self.forms) + 2 * len(pieces) > self.memo_forms:
+            self.forms = {"": b""}
+        memo, forms = self.memo, self.forms
+        heads, plain, odd = {}, set(), []
         for piece in pieces:
-            plain = PLAIN.fullmatch(piece)
-            parts[piece] = (plain[1].lower(), plain[2]) if plain else (piece, "")
-        forms = self.forms
-        new = list({form for pair in parts.values() for form in pair if form not in forms})
-        for form, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            forms[form] = array.array("H", found.ids).tobytes()
-        for piece, (head, tail) in parts.items():
-            self.memo[piece] = forms[head] + forms[tail]
+            found = PLAIN.fullmatch(piece)
+            if found:
+                head, tail = found.groups()
+                heads[piece] = pair = (head.lower(), tail)
+                plain.update(pair)
+            else:
+                odd.append(piece)
+        new = [form for form in plain if form not in forms]
+        texts = [new[start : start + TOGETHER] for start in range(0, len(new), TOGETHER)]
+        # each of these forms is one word for the pattern, and the last token of a word is marked as such
+        for names, found in zip(texts, self.library.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
+            numbers = np.array(found.ids, np.uint16)
+            ids, ends = numbers.tobytes(), (2 * np.flatnonzero(self.ends_word[numbers]) + 2).tolist()
+            if len(ends) != len(names):
+                raise ValueError("a word was cut in parts")
+            start = 0
+            for name, end in zip(names, ends):
+                forms[name] = ids[start:end]
+                start = end
+        for piece, (head, tail) in heads.items():
+            memo[piece] = forms[head] + forms[tail] if tail else forms[head]
+        for piece, found in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
+            memo[piece] = array.array("H", found.ids).tobytes()
 
     def pieces(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
@@ -63,10 +88,10 @@ class Encoder:
             split = [self.pieces(text) for text in texts[start : start + 200]]
             known = self.memo
             unseen = {piece for pieces in split for piece in pieces if piece not in known}
-            if unseen:
-                self._learn(unseen)
-                if self.memo is not known:
-                    self._learn({piece for pieces in split for piece in pieces})
+            if len(known) + len(unseen) > self.memo_pieces:
+                self.memo = {"": b""}
+                unseen = {piece for pieces in split for piece in pieces}
+            self._learn(unseen)
             lookup = self.memo.__getitem__
             for pieces in split:
                 yield b"".join(map(lookup, pieces))
