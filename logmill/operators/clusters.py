@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import VOCABULARY_STOP_WORDS
 from ..functions.text import char_signature, clean, split_text
 from ..session import materialize
+from .scale import counted_join
 
 
 def distinct_pairs(df: DataFrame) -> DataFrame:
@@ -46,17 +47,22 @@ def topk_tokens(
 
     Ties go to the smaller word.  Texts without vocabulary words get an empty array.
     """
+    return _counted_topk(df, k, column, weight).drop("_lines")
+
+
+def _counted_topk(df: DataFrame, k: int, column: str, weight: str | None = None) -> DataFrame:
+    """As :func:`topk_tokens`, with the number of rows of each text."""
     n = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     # stored and numbered, so that the word rows carry a number instead of the whole text
     texts = materialize(df.groupBy(column).agg(F.sum(n).alias("_lines"))).withColumn(
         "_id", F.monotonically_increasing_id()
     )
-    counts = vocabulary(texts, column, "_lines")
+    counts = materialize(vocabulary(texts, column, "_lines"))
     placed = texts.select(
         "_id", F.explode(F.array_distinct(_vocabulary_words(F.col(column)))).alias("token")
     )
     ranked = (
-        placed.join(counts, "token")
+        counted_join(placed, counts.withColumn("_rows", F.col("n")), "token", "_rows", salt_by=F.col("_id"))
         .groupBy("_id")
         # a list of one row's own words, not of a group of rows
         .agg(F.collect_list(F.struct((-F.col("n")).alias("n"), "token")).alias("_words"))
@@ -67,8 +73,8 @@ def topk_tokens(
             ).alias("tokens"),
         )
     )
-    return texts.select(column, "_id").join(ranked, "_id", "left").select(
-        column, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
+    return texts.select(column, "_id", "_lines").join(ranked, "_id", "left").select(
+        column, "_lines", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
     )
 
 
@@ -78,8 +84,9 @@ def cluster_lines(df: DataFrame, k: int = 3) -> DataFrame:
     pool = materialize(
         nonempty_clean(distinct_pairs(df)).withColumn("fine", char_signature(F.col("log")))
     )
-    keys = topk_tokens(pool, k).select("clean", F.array_join("tokens", " ").alias("coarse"))
-    return pool.join(keys, "clean").select("log", "label", "coarse", "fine")
+    keys = _counted_topk(pool, k, "clean").select("clean", "_lines", F.array_join("tokens", " ").alias("coarse"))
+    joined = counted_join(pool, materialize(keys), "clean", "_lines", salt_by=F.struct("log", "label"))
+    return joined.select("log", "label", "coarse", "fine")
 
 
 def cluster_sizes(lines: DataFrame) -> DataFrame:

@@ -49,9 +49,10 @@ def stratified_sample(
     turn; smaller samples are then prefixes of larger ones, unless ``independent`` draws each anew.
     ``reference`` hands out equal shares in passes, as :func:`allocate` does.
     """
-    pool = cluster_lines(df)
+    # stored, since both the lines and the cluster sizes are read from it
+    pool = materialize(cluster_lines(df))
     if quota == "reference":
-        return _quota_sample(materialize(pool), shots, seed)
+        return _quota_sample(pool, shots, seed)
     if quota != "round_robin":
         raise ValueError(f"unknown quota mode {quota!r}")
     return round_robin_sample(pool, shots, seed, independent)

@@ -14,6 +14,8 @@ BROADCAST_ROWS = 100_000
 #: ... and whose values, written as text, take no more bytes than this.
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+#: Rows of one key that a task of a counted join takes.
+ROWS_PER_TASK = 1_000_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -65,6 +67,24 @@ def checked_join(
     return joined if condition is None else joined.where(condition)
 
 
+def counted_join(
+    big: DataFrame, lookup: DataFrame, key: str, rows: str, *, salt_by: Column, per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Inner equi-join with a stored lookup side that knows, in ``rows``, how many big rows each key has.
+
+    A lookup of checked size is broadcast.  Otherwise each key with more than ``per_task`` rows is split into as many
+    parts as that takes; such keys are few, for their rows together are no more than the table.
+    """
+    if is_small(lookup):
+        return big.join(F.broadcast(lookup.drop(rows)), key)
+    parts = F.ceil(F.col(rows) / F.lit(per_task)).cast("int")
+    hot = materialize(lookup.where(F.col(rows) > per_task).select(key, parts.alias("_parts")))
+    marked = big.join(F.broadcast(hot) if is_small(hot) else hot, key, "left")
+    salt = F.pmod(F.xxhash64(salt_by), F.coalesce("_parts", F.lit(1))).cast("int")
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(rows)
+    return marked.withColumn("_salt", salt).drop("_parts").join(copies, [key, "_salt"]).drop("_salt")
+
+
 def running_offsets(sizes: DataFrame, order: Sequence[str], size: str = "n") -> DataFrame:
     """Rows before each block.  ``sizes`` holds one row per block (file split, partition), not per line."""
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,6 @@
 """Scores and relabelling where rows are missing, sets differ by dataset, or ids are ambiguous."""
 
-from logmill.operators import metrics
+from logmill.operators import clusters, metrics, scale
 from logmill.operators.reports import natural_sort
 from logmill.plans.evaluate import evaluate_all, normalized_seen
 from logmill.plans.relabel import ambiguous_ids, merge_corrected_templates, relabel_log
@@ -46,3 +46,14 @@ def test_seen_templates_can_be_aligned(spark):
     seen = spark.createDataFrame([("a /", "a /<*>")], "Content string, EventTemplate string")
     plain = normalized_seen(seen.select("EventTemplate")).first().template
     assert plain != normalized_seen(seen, align_seen=True).first().template == "a /"
+
+
+def test_hot_texts_are_split(spark, monkeypatch):
+    """Half of all lines have one cleaned text and one word; the parts of a key join like the whole."""
+    rows = [(f"worker {k} started", "a") for k in range(60)] + [(f"job {w} ended", "b") for w in "pqrstuvwxyz"]
+    df = spark.createDataFrame(rows, "log string, label string")
+    expected = sorted(map(tuple, clusters.cluster_lines(df).collect()))
+    monkeypatch.setattr(scale, "is_small", lambda df: False)
+    monkeypatch.setattr(scale.counted_join, "__kwdefaults__", {"per_task": 7})
+    assert sorted(map(tuple, clusters.cluster_lines(df).collect())) == expected
+    assert len(expected) == len(rows)
