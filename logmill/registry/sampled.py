@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..operators import clusters, sampling
 from ..plans import fixtures
 from ..sources.raw import head_fraction, limit_lines
@@ -114,23 +115,80 @@ def quota_coarse(spark, sf_dir):
 
 @query(
     "quota_fine",
-    # four clusters share the places: the sum is exact and no cluster exceeds its size
+    # the clusters are larger than their places, so one pass of equal shares hands out all
     sql.on_events(
-        """SELECT CAST(12 AS BIGINT) AS total, true AS fits, count(DISTINCT "Component") AS clusters FROM event_log"""
+        """SELECT shot, coarse, fine, q // m + CASE WHEN p <= q % m THEN 1 ELSE 0 END AS quota
+        FROM (SELECT *, count(*) OVER (PARTITION BY shot, coarse) AS m FROM fine_places WHERE p <= q)""",
+        """component_sizes AS (SELECT "Component" AS coarse, "EventId" AS fine, count(*) AS n FROM event_log GROUP BY ALL),
+        coarse_places AS (SELECT shot, coarse, row_number() OVER (PARTITION BY shot ORDER BY coarse) AS p,
+            count(*) OVER (PARTITION BY shot) AS m
+          FROM (SELECT DISTINCT coarse FROM component_sizes), (VALUES (12), (40)) s(shot)),
+        fine_places AS (SELECT shot, coarse, fine, shot // m + CASE WHEN c.p <= shot % m THEN 1 ELSE 0 END AS q,
+            row_number() OVER (PARTITION BY shot, coarse ORDER BY n DESC, fine) AS p
+          FROM component_sizes JOIN coarse_places c USING (coarse))""",
     ),
 )
 def quota_fine(spark, sf_dir):
-    """Places for 12 lines over components, inside them over event types; checked as totals."""
+    """Places for 12 and for 40 lines over components, inside them over event types."""
     lines = fixtures.event_log(spark, sf_dir).select(
         F.col("Component").alias("coarse"), F.col("EventId").alias("fine")
     )
     sizes = clusters.cluster_sizes(lines)
-    quotas = sampling.coarse_quotas(sizes, [12], [F.col("coarse")])
-    fine = sampling.fine_quotas(sizes, quotas).join(sizes, ["coarse", "fine"])
-    return fine.agg(
-        F.sum("quota").alias("total"),
-        F.bool_and(F.col("quota") <= F.col("fine_size")).alias("fits"),
-        F.countDistinct("coarse").alias("clusters"),
+    quotas = sampling.coarse_quotas(sizes, [12, 40], [F.col("coarse")])
+    return sampling.fine_quotas(sizes, quotas).where("quota > 0")
+
+
+_POOL = "pool_lines AS (SELECT DISTINCT log, label FROM lines)"
+
+
+def _checked(picks, pool, *by):
+    """Size of each sample, its distinct lines, and whether all of them come from the pool."""
+    known = pool.select("log", "label", F.lit(True).alias("_known")).distinct()
+    joined = picks.join(known, ["log", "label"], "left")
+    return joined.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("log", "label").alias("n_lines"),
+        F.bool_and(F.coalesce("_known", F.lit(False))).alias("known"),
+    )
+
+
+_SIZES = f"""SELECT shot, CAST(least(shot, (SELECT count(*) FROM pool_lines)) AS BIGINT) AS n,
+  CAST(least(shot, (SELECT count(*) FROM pool_lines)) AS BIGINT) AS n_lines, true AS known FROM (VALUES {_SHOT_LIST}) s(shot)"""
+
+
+@query("stratified_passes_sizes", _clustered(_SIZES, _POOL))
+def stratified_passes_sizes(spark, sf_dir):
+    """Every sample of the quota mode is full, and its lines are distinct lines of the pool."""
+    docs = fixtures.doc_labelled(spark, sf_dir)
+    picks = sampling.stratified_sample(docs, _SHOTS, _SEED, quota="reference")
+    return _checked(picks, clusters.nonempty_clean(clusters.distinct_pairs(docs)), "shot")
+
+
+@query("cluster_adaptive_sizes", _clustered("SELECT 64 AS n, 64 AS n_lines, true AS known"))
+def cluster_adaptive_sizes(spark, sf_dir):
+    docs = fixtures.doc_labelled(spark, sf_dir)
+    picks = sampling.cluster_adaptive_sample(docs, 64, 8, _SEED)
+    return _checked(picks, clusters.nonempty_clean(clusters.distinct_pairs(docs)))
+
+
+@query(
+    "adaptive_sample_prefixes",
+    sql.on_docs(
+        """SELECT shot, shot AS n, 1 AS first_pick, shot AS last_pick, shot AS n_lines,
+          (SELECT max(len(list_filter(string_split_regex(trim(log), '\s+'), lambda w: w <> ''))) FROM doc_labelled) AS first_words
+        FROM (VALUES (8), (16), (32), (64), (128), (256)) s(shot)"""
+    ),
+)
+def adaptive_sample_prefixes(spark, sf_dir):
+    """Samples are full prefixes 1, 2, … of one order of distinct lines that begins with a line of most words."""
+    picks = sampling.adaptive_sample(fixtures.doc_labelled(spark, sf_dir), _SHOTS, 32, _SEED)
+    first = F.when(F.col("pick") == 1, F.size(words(F.col("log"))))
+    return picks.groupBy("shot").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("pick").alias("first_pick"),
+        F.max("pick").alias("last_pick"),
+        F.countDistinct("log", "label").alias("n_lines"),
+        F.max(first).alias("first_words"),
     )
 
 

@@ -1,6 +1,6 @@
 """Scores and relabelling where rows are missing, sets differ by dataset, or ids are ambiguous."""
 
-from logmill.operators import clusters, metrics, scale
+from logmill.operators import clusters, metrics, sampling, scale
 from logmill.operators.reports import natural_sort
 from logmill.plans.evaluate import evaluate_all, normalized_seen
 from logmill.plans.relabel import ambiguous_ids, merge_corrected_templates, relabel_log
@@ -57,3 +57,9 @@ def test_hot_texts_are_split(spark, monkeypatch):
     monkeypatch.setattr(scale.counted_join, "__kwdefaults__", {"per_task": 7})
     assert sorted(map(tuple, clusters.cluster_lines(df).collect())) == expected
     assert len(expected) == len(rows)
+
+
+def test_places_in_several_passes():
+    assert sampling.allocate([20, 20, 1], 7) == [4, 2, 1]
+    assert sampling.allocate([1, 1, 1], 7) == [1, 1, 1]
+    assert sampling.allocate([5, 1, 9], 12) == [5, 1, 6]
