@@ -13,10 +13,11 @@ import re
 
 import numpy as np
 
-#: Letters whose lower case and composition are their own affair, then marks that the pattern splits from letters.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()\[\]{}=+/-]*)")
+#: Letters whose lower case and composition are their own affair, and marks that the pattern splits from letters.
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = ".,;:!?#$%&*()[]{}=+/-"
 #: Pieces, and lower-cased words and marks, that one encoder keeps at most; either memo starts anew beyond it.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 600_000
 MEMO_FORMS = 1_000_000
 #: Words that the library gets at once, as one text.
 TOGETHER = 500
@@ -55,10 +56,9 @@ class Encoder:
         memo, forms = self.memo, self.forms
         heads, plain, odd = {}, set(), []
         for piece in pieces:
-            found = PLAIN.fullmatch(piece)
-            if found:
-                head, tail = found.groups()
-                heads[piece] = pair = (head.lower(), tail)
+            head = piece.rstrip(MARKS)
+            if head.isalpha() and (head.isascii() or LATIN.fullmatch(head)):
+                heads[piece] = pair = (head.lower(), piece[len(head) :])
                 plain.update(pair)
             else:
                 odd.append(piece)
@@ -87,10 +87,10 @@ class Encoder:
         for start in range(0, len(texts), 200):
             split = [self.pieces(text) for text in texts[start : start + 200]]
             known = self.memo
-            unseen = {piece for pieces in split for piece in pieces if piece not in known}
+            unseen = set().union(*split).difference(known)
             if len(known) + len(unseen) > self.memo_pieces:
                 self.memo = {"": b""}
-                unseen = {piece for pieces in split for piece in pieces}
+                unseen = set().union(*split)
             self._learn(unseen)
             lookup = self.memo.__getitem__
             for pieces in split:
