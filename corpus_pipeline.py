@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import language, mixing, packing, secret_scan, simhash
+from logmill.llm import language, mixing, near_text, packing, secret_scan
 from logmill.llm.common import documents, stored
 
 
@@ -14,8 +14,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group stays, the one with the smallest id; links: SimHash, and 5-word Jaccard of 0.8 or more."""
+    return near_text.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

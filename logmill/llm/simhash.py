@@ -1,7 +1,8 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
 Fingerprints link at few differing bits.  Two of them that differ in at most 3 of 64 bits share one of four blocks
-of 16 bits, so each block value roots a trie of its own, and Spark deals these tries to the tasks.  A root that holds very
+of 16 bits (with another budget, one of budget + 1 blocks), so each block value roots a trie of its own, and Spark
+deals these tries to the tasks.  A root that holds very
 many fingerprints (a large group of near copies) is split further: of the 6 bytes outside the block at least 3 are equal,
 so it is rooted anew at each choice of 3 more bytes; such a trie has 24 free bits, which bounds its size.
 
@@ -50,19 +51,19 @@ def simhash(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprint(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [simhash(text) for text in batch.column("text").to_pylist()]
+        found = [simhash(text, shingle) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_pydict(
             {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(found, pa.int64())}
         )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, fp), one row for each row of ``docs``; a null text counts as empty."""
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(_fingerprint, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(lambda batches: _fingerprint(batches, shingle), "doc_id long, text_hash long, fp long")
 
 
 class Forest:
@@ -196,22 +197,35 @@ def _masked(fp: Column, mask: int) -> Column:
     return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def roots(nodes: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def _parts(bits: list[int], n: int) -> list[int]:
+    """Masks of ``n`` near equal runs of ``bits``."""
+    cuts = [len(bits) * k // n for k in range(n + 1)]
+    return [sum(1 << bit for bit in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def root_masks(budget: int = BUDGET) -> tuple[list[int], list[list[int]]]:
+    """Blocks of which one is equal at ``budget`` differing bits, and for each the finer choices, one of which is equal.
+
+    There are budget + 1 blocks.  The bits outside a block make budget + k parts, of which at least k are equal.
+    """
+    blocks = _parts(list(range(64)), budget + 1)
+    equal = 3 if budget <= 3 else 2 if budget <= 8 else 1
+    finer = []
+    for block in blocks:
+        outside = [bit for bit in range(64) if not block >> bit & 1]
+        finer.append([block | sum(chosen) for chosen in combinations(_parts(outside, budget + equal), equal)])
+    return blocks, finer
+
+
+def roots(nodes: DataFrame, split_above: int = SPLIT_ABOVE, budget: int = BUDGET) -> DataFrame:
     """(root, fp): each fingerprint below every root, a choice of fixed bits and their values."""
-    blocks = [0xFFFF << 16 * k for k in range(4)]
+    blocks, masks = root_masks(budget)
     tables = F.array(*(F.struct(F.lit(k).alias("block"), _masked(F.col("fp"), m).alias("bits")) for k, m in enumerate(blocks)))
     first = nodes.select("fp", F.inline(tables))
     hot = stored(first.groupBy("block", "bits").count().where(F.col("count") > split_above), "hot-roots")
     marked = attach(first, hot, ["block", "bits"])
-    masks = []
-    for block in range(4):
-        inside = (2 * block, 2 * block + 1)
-        others = [k for k in range(8) if k not in inside]
-        masks.append([blocks[block] | sum(0xFF << 8 * k for k in chosen) for chosen in combinations(others, 3)])
-    finer = F.element_at(
-        F.array(*(F.array(*(F.xxhash64(F.lit(f"{b}.{k}"), _masked(F.col("fp"), m)) for k, m in enumerate(masks[b]))) for b in range(4))),
-        F.col("block") + 1,
-    )
+    names = [F.array(*(F.xxhash64(F.lit(f"{b}.{k}"), _masked(F.col("fp"), m)) for k, m in enumerate(masks[b]))) for b in range(len(blocks))]
+    finer = F.element_at(F.array(*names), F.col("block") + 1)
     plain = F.array(F.xxhash64(F.col("block"), F.col("bits")))
     # roots are named by a hash; a collision only puts two tries into one walk, which compares whole fingerprints
     return marked.select(F.explode(F.when(F.col("count").isNull(), plain).otherwise(finer)).alias("root"), "fp")
@@ -219,7 +233,7 @@ def roots(nodes: DataFrame, split_above: int = SPLIT_ABOVE) -> DataFrame:
 
 def links(nodes: DataFrame, budget: int = BUDGET, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """(a, b): a spanning forest of the links inside each trie, b the smallest (unsigned) of its tree."""
-    below = roots(nodes, split_above).repartition("root").sortWithinPartitions("root")
+    below = roots(nodes, split_above, budget).repartition("root").sortWithinPartitions("root")
     return below.mapInArrow(lambda batches: _walk(batches, budget), "a long, b long")
 
 
@@ -250,7 +264,9 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, budget: int = BUDGET, split_above: int = SPLIT_ABOVE, shingle: int = SHINGLE
+) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id), one row for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links; null ids count only where there is no other.
@@ -258,7 +274,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, split_above: int = SP
     like any other.  Equal texts and repeated rows share a fingerprint.  Other columns are ignored; an empty table gives an
     empty result.
     """
-    marked = stored(fingerprints(docs), "fingerprints")
+    marked = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
     found = components(links(nodes.select("fp"), budget, split_above))
     placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -274,7 +290,11 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id; of repeated rows any one."""
-    found = near_duplicates(docs, **options)
+    return first_of_each(docs, near_duplicates(docs, **options))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have the smallest doc_id of their component in ``found``."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("k")
     )

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from logmill.llm import (
     language,
     mixing,
+    near_text,
     order_minhash,
     packing,
     pii,
@@ -251,6 +252,50 @@ def test_simhash_awkward(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("budget", [1, 3, 5, 8])
+def test_roots_follow_the_budget(spark, budget):
+    rng = random.Random(budget)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    values += [v ^ sum(1 << k for k in rng.sample(range(64), budget)) for v in values]
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    for split_above in (20_000, 0):
+        assert simhash.links(frame, budget, split_above).select("a").distinct().count() == 40
+
+
+def similar_texts():
+    """Texts of 200 words and copies with some words changed, at 5-word similarities around 0.8; a dense group of copies."""
+    rng = random.Random(11)
+    new = lambda: f"w{rng.getrandbits(40)}"
+    texts = []
+    for changes in [1, 2, 3, 4, 5, 6, 7] * 4:
+        words = [new() for _ in range(200)]
+        texts.append(" ".join(words))
+        for k in rng.sample(range(5, 195), changes):
+            words[k] = new()
+        texts.append(" ".join(words))
+    words = [new() for _ in range(120)]
+    return texts + [" ".join(words[:k] + [new()] + words[k + 1 :]) for k in range(8, 112, 2)]
+
+
+def similar_roots(texts):
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    roots = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(roots[a], roots[b]), min(roots[a], roots[b])
+                roots = [new if r == old else r for r in roots]
+    return roots
+
+
+@pytest.mark.parametrize("block", [5, 250])
+def test_near_texts_at_five_words(spark, block):
+    texts = similar_texts()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_text.near_duplicates(frame, block=block).collect()}
+    assert [found[k] for k in range(len(texts))] == similar_roots(texts)
+
+
 # --- 4
 
 
