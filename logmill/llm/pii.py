@@ -2,12 +2,14 @@
 
 The rules find e-mail and IP addresses, card and phone numbers.  These seeds induce lexical patterns, the one or two
 words before them.  Spark scores the graph of patterns and instances in turns: a pattern is as good as the share of
-its occurrences that are trusted, an instance as good as its best pattern.  Patterns that end with high confidence
+all its occurrences, whatever follows, that are trusted, an instance as good as its best pattern.  Instances that a turn
+trusts support patterns in the next.  Patterns that end with high confidence
 and enough different seeds then mark the identifier-like tokens behind them that no rule knows (kind ``context``).
 """
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ from .common import attach, stored, whole_text
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
 ROUNDS = 3
-#: A pattern counts with so many different seeds, and marks at such a confidence.
+#: A pattern counts with so many different seeds or trusted instances, and marks at such a confidence.
 SUPPORT = 5
 CONFIDENCE = 0.9
 #: Longer words make no pattern.
@@ -34,6 +36,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
+_TOKEN = re.compile(r"\S+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 SCANNED = (
@@ -133,11 +136,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(columns)
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pattern, n): how often a pattern stands before what is neither seed nor candidate, counted by batch."""
+    for batch in batches:
+        counts: collections.Counter[str] = collections.Counter()
+        for text in batch.column("text").to_pylist():
+            flat = [span for spans in base_spans(text).values() for span in spans]
+            starts = {a for a, _ in flat} | {a for a, _ in other_tokens(text, flat)}
+            last: list[str] = []
+            for m in _TOKEN.finditer(text):
+                if last and m.start() not in starts and 0 < len(last[-1]) <= WORD_LENGTH:
+                    counts[last[-1]] += 1
+                    if len(last) > 1 and 0 < len(last[0]) <= WORD_LENGTH:
+                        counts[f"{last[0]} {last[-1]}"] += 1
+                last = [*last[-1:], _EDGES.sub("", m[0].lower()) if len(m[0]) <= 4 * WORD_LENGTH else ""]
+        yield pa.RecordBatch.from_pydict({"pattern": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+
 def confident_patterns(
-    found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE
+    found: DataFrame, texts: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE
 ) -> DataFrame:
-    """(pattern, confidence) of the bootstrapped patterns.  ``found``: one row per seed or candidate.
+    """(pattern, confidence) of the bootstrapped patterns.  ``found``: one row per seed or candidate of ``texts``.
 
+    Only patterns with enough different instances can ever count; what else follows these is counted in the texts.
     The graph has one edge per pattern and instance, counted before it is shuffled, so that a frequent word is no
     hot group of occurrences.
     """
@@ -148,14 +169,23 @@ def confident_patterns(
         .agg(F.count("*").alias("n"), F.max("seed").alias("seed")),
         "pii-edges",
     )
+    able = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("total"))
+    able = stored(able.where(F.col("values") >= support).select("pattern", "total"), "pii-able")
+    others = attach(texts.mapInArrow(_plain, "pattern string, n long"), able.select("pattern"), ["pattern"], "inner")
+    others = stored(others.groupBy("pattern").agg(F.sum("n").alias("others")), "pii-others")
+    totals = attach(able, others, ["pattern"]).select("pattern", (F.col("total") + F.coalesce("others", F.lit(0))).alias("total"))
+    edges = stored(attach(edges, stored(totals, "pii-totals"), ["pattern"], "inner"), "pii-able-edges")
     trust = stored(edges.groupBy("value").agg(F.max("seed").cast("double").alias("trust")), "pii-trust")
     scored = None
     for _ in range(rounds):
         scored = stored(
             attach(edges, trust, ["value"])
             .groupBy("pattern")
-            .agg((F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("confidence"), F.count_if("seed").alias("seeds"))
-            .where(F.col("seeds") >= support),
+            .agg(
+                (F.sum(F.when(F.col("trust") >= confidence, F.col("n")).otherwise(0)) / F.max("total")).alias("confidence"),
+                F.count_if(F.col("trust") >= confidence).alias("trusted"),
+            )
+            .where(F.col("trusted") >= support),
             "pii-patterns",
         )
         best = attach(edges, scored.select("pattern", "confidence"), ["pattern"]).groupBy("value").agg(
@@ -176,7 +206,7 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     scanned = stored(rows.mapInArrow(_scan, SCANNED), "pii-scanned")
     found = scanned.select("doc_id", "text_hash", F.inline("found"))
-    good = stored(confident_patterns(found, **options), "pii-confident")
+    good = stored(confident_patterns(found, rows.select("text"), **options), "pii-confident")
     candidates = found.where("not seed").select(
         "doc_id", "text_hash", "start", "end", F.explode(F.array_compact(F.array("one", "two"))).alias("pattern")
     )

@@ -191,6 +191,24 @@ def test_context_discovers_unseen_identifiers(spark, awkward, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_context_counts_all_that_follows_a_pattern(spark):
+    rows = [(k, f"they met the +1 (499) 555-{6000 + k} today") for k in range(20)]
+    rows += [(100 + k, "the house and the garden of the city") for k in range(20)] + [(200, "sold the 77-1234-99x today")]
+    found = keyed(r.asDict() for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found[200]["spans"] == ""
+
+
+def test_context_instances_induce_patterns(spark):
+    known = [f"please dial number +1 (499) 555-{6000 + k} today" for k in range(200)]
+    ids = [f"77-1234-{k}x" for k in range(10, 16)]
+    texts = known + [f"please dial number {x} today" for x in ids] + [f"our badge code {x} here" for x in ids]
+    texts += ["our badge code 88-9999-77y here"]
+    rows = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in rows}[len(texts) - 1] == ""  # 6 of 7 are trusted
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts[:-1] + ["a badge code 88-9999-77y"])), "doc_id long, text string"), confidence=0.8)
+    assert {r.doc_id: r.spans for r in found.collect()}[len(texts) - 1] == "context:13:24"
+
+
 def test_personal_rules_are_linear():
     text = "a" * 200_000 + "1" * 200_000 + "+1" + "(" * 100_000
     assert pii.base_spans(text)["email"] == []
