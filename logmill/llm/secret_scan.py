@@ -1,8 +1,9 @@
 """Secret scans by rules and corpus-wide ownership, in DataFrame functions only.
 
 Rules find credential assignments, access keys and long hexadecimal strings; looser rules find further candidates.
-Every candidate's hash is counted over the whole corpus by distinct documents (repositories) and sources (owners): what
-many owners hold is a widely copied example, what belongs to one or two looks live.  Only live-looking candidates of
+Every candidate's hash is counted over the whole corpus by distinct texts (repositories) and sources (owners): what
+many owners hold in texts of their own is an example, what belongs to one or two looks live, however often its text is
+copied.  Only live-looking candidates of
 the looser rules become spans; the spans of the base rules all stay and are told apart by the counts.
 """
 
@@ -16,6 +17,8 @@ from .common import attach, stored, whole_text
 
 #: A candidate held by so many owners is an example.
 WIDE_OWNERS = 3
+#: A text of fewer words is little more than the credential: each owner and document that holds it counts.
+COPY_WORDS = 5
 
 # The base rules as (kind, expression, group of the secret, least length of that group)
 BASE = (
@@ -69,37 +72,44 @@ def matches(text: Column, rule: tuple[str, str, int, int]) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, row_key, text_hash, kind, secret, start, end) of every match that is long enough.
+    """(doc_id, source, row_key, text_hash, copied, kind, secret, start, end) of every match that is long enough.
 
     Places are sums of the pieces before; only matches are shuffled, by document and kind.  Repeated rows give the
-    same candidates once for each of their sources.
+    same candidates once for each of their sources.  ``copied`` tells that equal texts are copies of one document.
     """
     text = whole_text()
+    copied = F.col("text").rlike(rf"^\s*(?:\S+\s+){{{COPY_WORDS - 1}}}\S").alias("copied")
     found = docs.select(
         F.col("doc_id"), "source", text.alias("text"), *_key(text)
-    ).select("doc_id", "source", *KEY, F.explode(F.concat(*(matches(F.col("text"), rule) for rule in RULES))).alias("m"))
-    found = found.select("doc_id", "source", *KEY, "m.*").dropDuplicates([*KEY, "source", "kind", "k"])
+    ).select("doc_id", "source", *KEY, copied, F.explode(F.concat(*(matches(F.col("text"), rule) for rule in RULES))).alias("m"))
+    found = found.select("doc_id", "source", *KEY, "copied", "m.*").dropDuplicates([*KEY, "source", "kind", "k"])
     before = Window.partitionBy(*KEY, "source", "kind").orderBy("k")
     end = F.sum(F.col("gap") + F.col("size")).over(before).cast("int")
     return (
         found.withColumn("end", end)
         .withColumn("start", F.col("end") - F.col("size"))
         .where("fits")
-        .select("doc_id", "source", *KEY, "kind", "secret", "start", "end")
+        .select("doc_id", "source", *KEY, "copied", "kind", "secret", "start", "end")
     )
 
 
 def ownership(found: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """(secret_hash, n_docs, n_owners, live) over the whole corpus; a null source is an owner of its own.
 
-    Counted in two steps, by (secret, owner, document) and so on, each with partial sums before its shuffle.
+    Copies of a text are one document of one owner, the first by name.  An example needs ``wide_owners`` of both.
+    Counted in two steps, by (secret, document, owner) and so on, each with partial sums before its shuffle.
     """
-    hashed = found.select(F.sha2("secret", 256).alias("secret_hash"), "source", *KEY)
-    per_owner = hashed.groupBy("secret_hash", "source", *KEY).agg(F.lit(1).alias("one"))
-    per_owner = per_owner.groupBy("secret_hash", "source").agg(F.count("*").alias("n_docs"))
-    return per_owner.groupBy("secret_hash").agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n_owners")).withColumn(
-        "live", F.col("n_owners") < wide_owners
-    )
+    text = F.when(F.col("copied"), F.col("text_hash")).otherwise(F.col("row_key")).alias("repository")
+    hashed = found.select(F.sha2("secret", 256).alias("secret_hash"), text, "copied", "source")
+    own = F.when(~F.col("copied"), F.col("source")).alias("own")
+    held = hashed.groupBy("secret_hash", "repository", "copied", own).agg(F.min("source").alias("source"))
+    held = stored(held.select("secret_hash", "repository", "source"), "secret-holders")
+    counts = [
+        held.select("secret_hash", column).distinct().groupBy("secret_hash").agg(F.count("*").alias(name))
+        for column, name in (("repository", "n_docs"), ("source", "n_owners"))
+    ]
+    live = F.least("n_docs", "n_owners") < wide_owners
+    return counts[0].join(counts[1], "secret_hash").withColumn("live", live)
 
 
 def judged(docs: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:

@@ -511,6 +511,16 @@ def test_ownership_tells_examples_from_live(spark):
     assert masked[0].text == copied and masked[20].text == "password = <SECRET>" and masked[20].n_chars == 19
 
 
+def test_copies_of_a_text_are_one_owner(spark):
+    copy, vendor = "we keep for the server password = k9f8s7d6x5", "ghp_" + "a1B2" * 10
+    rows = [(k, f"{copy} and {vendor}", f"s{k}") for k in range(4)]
+    rows += [(10 + k, f"chapter {k} of the guide says password = changeme1234", f"s{k}") for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = keyed(r.asDict() for r in secret_scan.scan(frame).collect())
+    assert all((found[k]["n_live"], found[k]["n_example"]) == (2, 0) and "vendor" in found[k]["spans"] for k in range(4))
+    assert all((found[10 + k]["n_live"], found[10 + k]["n_example"]) == (0, 1) for k in range(3))
+
+
 def test_secrets_awkward(awkward, empty):
     rows = secret_scan.scan(awkward).collect()
     assert sorted(r.base_sha256 for r in rows) == sorted(plain.sha(plain.secrets(t)) for _, t in texts_of(awkward_rows()))
