@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, order_minhash, packing, pii, quality, secret_scan, sharding, simhash, token_counts
+from . import (
+    chat,
+    language,
+    lexical,
+    mixing,
+    order_minhash,
+    packing,
+    phrases,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+)
 from .common import documents
 
 
@@ -55,6 +69,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(documents(spark, sf_dir))
+
+
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_test_conversation(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.read_back(chat.format_conversations(turns)).drop("n_tokens")
+
+
 _QUERIES = (
     op1_order_minhash,
     op2_personal_data,
@@ -66,6 +93,9 @@ _QUERIES = (
     op8_secret_ownership,
     op9_packing,
     op10_mixing,
+    op11_phrases,
+    op12_dual_tree_search,
+    op13_chat_masks,
 )
 
 
@@ -74,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op11_phrases": phrases.SQL, "op12_dual_tree_search": lexical.SQL, "op13_chat_masks": chat.SQL}
