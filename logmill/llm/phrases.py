@@ -27,7 +27,9 @@ TOP = 2_000
 COVERED = 80
 SCALE = 2_000_000
 #: A shard is closed at so many words; a longer text is cut between pieces at about so many bytes.
-SHARD_WORDS, SLICE_BYTES = 2_000_000, 4 << 20
+SHARD_WORDS, SLICE_BYTES = 1_000_000, 4 << 20
+#: Rows that a task hands over at once.
+BATCH_ROWS = 1 << 16
 #: The filter of frequent pairs has 16 bits for each, and no more than so many altogether.
 FILTER_BITS = 1 << 26
 UNKNOWN = "und"
@@ -203,6 +205,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield np.r_[-1, np.frombuffer(batch.column("gids")[k].as_py(), np.int64)], np.r_[unpack(batch.column("seq")[k].as_py()), 0]
 
 
+def _handed_over(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(columns["n"]), BATCH_ROWS):
+        yield pa.RecordBatch.from_pydict({name: pa.array(c[start : start + BATCH_ROWS], pa.int64()) for name, c in columns.items()})
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for gids, seq in _read(batches):
         index = Side(seq, 2)
@@ -210,7 +217,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.flatnonzero(counts)[1:]
         low = (np.cumsum(counts) - counts)[words]
         which, word, _, size, _ = index.extensions(low, counts[words], low)
-        yield pa.RecordBatch.from_pydict({"w1": gids[word], "w2": gids[words[which]], "n": size.astype(np.int64)})
+        yield from _handed_over({"w1": gids[word], "w2": gids[words[which]], "n": size})
 
 
 def pair_bits(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -259,7 +266,7 @@ def _longer(batches: Iterator[pa.RecordBatch], shared, max_words: int) -> Iterat
             index.extend(depth % 2 == 0, may_be_frequent)
             columns = {f"w{k + 1}": gids[c] for k, c in enumerate(index.columns)}
             columns |= {f"w{k + 1}": np.full(len(index.size), -1) for k in range(depth, max_words)}
-            yield pa.RecordBatch.from_pydict(columns | {"n": index.size.astype(np.int64)})
+            yield from _handed_over(columns | {"n": index.size})
 
 
 def _decimal(value: Column) -> Column:
