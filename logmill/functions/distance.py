@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .binding import let
 from .text import similarity_tokens, words
@@ -13,41 +17,44 @@ def _ratio(num: Column, den: Column, empty: float) -> Column:
     return F.when(den == 0, F.lit(empty)).otherwise(num.cast("double") / den)
 
 
-def lcs_length(x: Column, y: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, folded over ``x``; both must be bound.
+def common_length(x: Sequence[str], y: Sequence[str]) -> int:
+    """Length of the longest common subsequence, a row of the table at a time in the bits of one number.
 
-    The state lists, for each length, the first place of ``y`` where a common subsequence of that length ends.  An
-    element moves each entry to its own next place behind the entry before, so a step is one pass over the state.
+    A zero bit marks a place of ``y`` where the common length grows; an addition carries each run to its next match.
     """
-
-    def step(ends: Column, a: Column) -> Column:
-        places = F.filter(
-            F.transform(y, lambda b, j: F.when(b == a, j)), lambda j: j.isNotNull()
-        )
-
-        def moved(at: Column) -> Column:
-            behind = F.concat(F.array(F.lit(-1)), ends)
-            new = F.transform(
-                behind, lambda p, n: F.least(F.get(ends, n), F.array_min(F.filter(at, lambda j: j > p)))
-            )
-            return F.filter(new, lambda p: p.isNotNull())
-
-        return let(lambda at: F.when(F.size(at) == 0, ends).otherwise(moved(at)), places)
-
-    return F.size(F.aggregate(x, F.array().cast("array<int>"), step))
+    places: dict[str, int] = {}
+    for k, word in enumerate(y):
+        places[word] = places.get(word, 0) | 1 << k
+    full = (1 << len(y)) - 1
+    state = full
+    for word in x:
+        hit = places.get(word)
+        if hit:
+            moved = state & hit
+            state = ((state + moved) | (state - moved)) & full
+    return len(y) - state.bit_count()
+
+
+@F.pandas_udf(DoubleType())
+def _lcs_share(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Twice the common subsequence over both lengths; null if both are empty or one is null."""
+    return pd.Series(
+        [None if a is None or b is None or not len(a) + len(b) else 2 * common_length(a, b) / (len(a) + len(b)) for a, b in zip(x, y)],
+        dtype="float64",
+    )
 
 
-def _lcs_share(a: Column, b: Column, empty: float) -> Column:
-    return _ratio(2 * lcs_length(a, b), F.size(a) + F.size(b), empty)
+def _share(x: Column, y: Column, empty: float) -> Column:
+    return F.when(x.isNotNull() & y.isNotNull(), F.coalesce(_lcs_share(x, y), F.lit(empty)))
 
 
 def lcs_similarity(x: Column, y: Column) -> Column:
     """Twice the common subsequence over both lengths, on arrays; 0 if both are empty."""
-    return let(lambda a, b: _lcs_share(a, b, 0.0), x, y)
+    return _share(x, y, 0.0)
 
 
 def lcs_distance(x: Column, y: Column) -> Column:
-    return let(lambda a, b: 1 - _lcs_share(a, b, 1.0), words(x), words(y))
+    return 1 - _share(words(x), words(y), 1.0)
 
 
 def lev_distance(x: Column, y: Column) -> Column:

@@ -15,7 +15,8 @@ from ..functions.distance import lcs_similarity
 from ..functions.patterns import WILDCARD, WILDCARD_RX
 from ..functions.text import is_valid_template, match_text, normalize_ws, split_text, words
 from ..session import materialize
-from .scale import checked_join, is_small, with_sequence
+from .pairs import nearest
+from .scale import checked_join, is_small, lookup_join, with_sequence
 
 DICTIONARY_SCHEMA = "template_id bigint, template string, text string"
 #: Candidates are ranked by one decimal: static tokens, then wildcards, then template id.
@@ -141,45 +142,46 @@ def index_dictionary(dictionary: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def best_templates(
-    contents: DataFrame, index: DataFrame, column: str = "Content", keep_rank: bool = False
+    contents: DataFrame, index: DataFrame, column: str = "Content", keep_rank: bool = False, small: bool | None = None
 ) -> DataFrame:
     """The best template of each distinct content that has one: content, template_id, template.
 
-    ``contents`` holds distinct texts.  ``keep_rank`` adds the rank, by which results of several indexes compare.  Best is: most static tokens, then fewest wildcards, then lowest id.
+    ``contents`` holds distinct texts.  ``keep_rank`` adds the rank, by which results of several indexes compare.
+    Best is: most static tokens, then fewest wildcards, then lowest id.
+
+    Two phases, so that a line of any length is cheap: its tokens travel with a line number only, and those that are
+    anchors name the templates to try; then line and templates meet by number, each line once.  ``small`` tells
+    whether the index may be broadcast (default: its size decides).
     """
-    # Never-null columns and explode_outer keep Catalyst from inferring filters that would tokenise the
-    # lines a second time below the distinct.
-    keyed = (
-        contents.select(column, F.coalesce(match_text(F.col(column)), F.lit("")).alias("_text"))
-        .select(
-            column,
-            F.when(F.col("_text") == "", "").otherwise(F.concat("_text", F.lit(" "))).alias("_line"),
-            split_text(F.col("_text")).alias("_tokens"),
-        )
-        .select(
-            column,
-            "_line",
-            F.coalesce(F.size("_tokens"), F.lit(0)).alias("_n"),
-            F.explode_outer(F.array_distinct(F.concat(F.array(F.lit("")), "_tokens"))).alias("anchor"),
-        )
-    )
-    small = is_small(index)
-    order = ["rank"] if keep_rank else []
-    lookup = index.select(
-        "anchor", "text", "n_static", "n_wild", "head", "tail", "parts", "strict", "rank"
+    text = F.coalesce(match_text(F.col(column)), F.lit(""))
+    lines = materialize(contents.select(F.monotonically_increasing_id().alias("_line_id"), column, text.alias("_text")))
+    tokens = split_text(F.col("_text"))
+    # the empty token is the anchor of templates without a static one
+    keyed = lines.select(
+        "_line_id",
+        F.size(tokens).alias("_n"),
+        F.explode(F.array_distinct(F.concat(F.array(F.lit("")), tokens))).alias("anchor"),
     )
+    small = is_small(index) if small is None else small
+    parts = index.select("rank", "head", "tail", "parts", "strict")
+    wanted = index.select("anchor", "n_static", "rank")
+    if not small:
+        # templates travel along, since no line is with them yet
+        wanted = index.select("anchor", "n_static", *parts.columns)
+    tried = checked_join(
+        keyed, wanted, ["anchor"], F.col("n_static") <= F.col("_n"), salt_by=F.col("_line_id"), small=small
+    ).drop("anchor", "n_static", "_n")
+    line = F.when(F.col("_text") == "", "").otherwise(F.concat("_text", F.lit(" ")))
+    met = lines.withColumn("_line", line).drop("_text").join(tried, "_line_id")
+    if small:
+        met = met.join(F.broadcast(parts), "rank")
     covered = F.when(F.col("strict"), _covers(F.col("_line"), F.col("parts"), True)).otherwise(
         _covers(F.col("_line"), F.col("parts"), False)
     )
-    covers = (
-        (F.col("n_static") <= F.col("_n"))
-        & F.startswith("_line", "head")
-        & F.endswith("_line", "tail")
-        & covered
-    )
-    hits = checked_join(keyed, lookup, ["anchor"], covers, salt_by=F.col(column), small=small)
-    best = hits.groupBy(column).agg(F.min("rank").alias("rank"))
+    hits = met.where(F.startswith("_line", "head") & F.endswith("_line", "tail")).where(covered)
+    best = hits.groupBy("_line_id").agg(F.min("rank").alias("rank"), F.first(column).alias(column))
     names = index.select("rank", "template_id", "template")
+    order = ["rank"] if keep_rank else []
     return best.join(F.broadcast(names) if small else names, "rank").select(column, "template_id", "template", *order)
 
 
@@ -201,37 +203,57 @@ def match_dictionary(
 def related_templates(
     contents: DataFrame, dictionary: DataFrame, column: str = "Content"
 ) -> DataFrame:
-    """The templates that share the longest token prefix with a line: content, template_id, prefix_len.
+    """The templates that share the longest token prefix with a line: content, template_id, template, prefix_len.
 
-    A wildcard in a template's prefix stands for one token, the first one too.  Templates are found by their first
-    token, which is the line's or a wildcard.
+    A wildcard in a template's prefix stands for one token, the first one too; a line that shares not even the first
+    token has no row.  Lines and templates go down the tree of prefixes together, one token at a time: a node is a hash
+    of the prefix, and a line asks by equi-join whether a template has its next token or a wildcard there.  So a line
+    meets the nodes of its own path, not all templates of its first token.
     """
-    from pyspark.sql import Window
-
-    lines = contents.select(column, split_text(match_text(F.col(column))).alias("_tokens")).select(
-        column,
-        "_tokens",
-        F.explode(F.array_distinct(F.array(F.get("_tokens", F.lit(0)), F.lit(WILDCARD)))).alias("_first"),
+    tokens = split_text(F.coalesce(match_text(F.col(column)), F.lit("")))
+    known = materialize(
+        dictionary.select("template_id", "template", split_text(F.col("text")).alias("_ttokens"), F.lit(0).cast("long").alias("_node"))
     )
-    known = dictionary.select(
-        "template_id", "template", split_text(F.col("text")).alias("_ttokens")
-    ).withColumn("_first", F.get("_ttokens", F.lit(0)))
-    differs = F.zip_with(
-        "_ttokens",
-        F.slice("_tokens", F.lit(1), F.size("_ttokens")),
-        lambda t, w: F.coalesce((t == w) | ((t == WILDCARD) & w.isNotNull()), F.lit(False)),
+    longest = known.agg(F.max(F.size("_ttokens"))).first()[0] or 0
+    lines = materialize(
+        contents.select(column, F.slice(tokens, 1, max(longest, 1)).alias("_tokens"), F.lit(0).cast("long").alias("_node"))
+        .distinct()
+        .withColumn("_line_id", F.monotonically_increasing_id())
     )
-    at = F.array_position(differs, False)
-    pairs = checked_join(
-        lines, known, ["_first"], salt_by=F.col(column), small=is_small(dictionary)
-    ).select(
-        column,
-        "template_id",
-        "template",
-        F.when(at == 0, F.size("_ttokens")).otherwise(at - 1).cast("int").alias("prefix_len"),
-    )
-    deepest = Window.partitionBy(column).orderBy(F.desc("prefix_len"))
-    return pairs.withColumn("_r", F.rank().over(deepest)).where("_r = 1").drop("_r")
+    ended = []
+    for depth in range(1, longest + 2):
+        at = F.lit(depth - 1)
+
+        def child(token: Column) -> Column:
+            return F.xxhash64("_node", token)
+
+        below = known.where(F.size("_ttokens") >= depth).withColumn("_node", child(F.get("_ttokens", at)))
+        below = materialize(below)
+        own = F.array(child(F.get("_tokens", at)), child(F.lit(WILDCARD)))
+        asked = lines.where(F.size("_tokens") >= depth).withColumn("_node", F.explode(F.array_distinct(own)))
+        deeper = materialize(lookup_join(asked, below.select("_node").distinct(), ["_node"], "left_semi"))
+        if depth > 1:
+            last = lines.join(deeper.select("_line_id").distinct(), "_line_id", "left_anti")
+            ended.append(
+                checked_join(last, known, ["_node"], salt_by=F.col("_line_id"), small=is_small(known))
+                # the hash has found them, the tokens decide
+                .where(
+                    F.forall(
+                        F.zip_with(F.slice("_ttokens", 1, depth - 1), F.slice("_tokens", 1, depth - 1), lambda t, w: (t == w) | (t == WILDCARD)),
+                        lambda same: same,
+                    )
+                )
+                .select(column, "template_id", "template", F.lit(depth - 1).alias("prefix_len"))
+            )
+        if deeper.isEmpty():
+            break
+        lines, known = deeper, below
+    if not ended:
+        return lines.where("false").select(column, *(F.lit(None).cast(t).alias(n) for n, t in (("template_id", "bigint"), ("template", "string"), ("prefix_len", "int"))))
+    result = ended[0]
+    for more in ended[1:]:
+        result = result.unionByName(more)
+    return result
 
 
 def merge_similar(
@@ -240,29 +262,23 @@ def merge_similar(
     """Merge new templates into similar known ones, and append the others.
 
     Similar means: same first token, same number of words and a common-subsequence similarity above
-    ``threshold``; the closest known template takes it.  Words that differ become wildcards, the id stays.
+    ``threshold``; the closest known template takes it, ties go to the lowest id.  Words that differ become wildcards, the
+    id stays.  Known templates with too few common words are not compared.
     """
-    from pyspark.sql import Window
-
-    new = templates.select(
-        F.col("template").alias("new"), words(F.col("template")).alias("_new")
-    ).distinct().select(
-        "new",
-        "_new",
-        F.size("_new").alias("n_words"),
-        F.get(split_text(match_text(F.col("new"))), F.lit(0)).alias("_first"),
-    )
-    old = dictionary.select(
-        "template_id", words(F.col("template")).alias("_old"),
-        F.get(split_text(F.col("text")), F.lit(0)).alias("_first"),
-    ).withColumn("n_words", F.size("_old"))
-    pairs = checked_join(
-        new, old, ["n_words", "_first"], salt_by=F.col("new"), small=is_small(dictionary)
-    ).withColumn("_sim", lcs_similarity(F.col("_old"), F.col("_new"))).where(
-        F.col("_sim") > threshold
+    def shaped(df: DataFrame, text: str, *more: str) -> DataFrame:
+        first = F.coalesce(F.get(split_text(match_text(F.col("template"))), F.lit(0)), F.lit(""))
+        return df.select(
+            F.col("template").alias(text), F.size(words(F.col("template"))).alias("n_words"), first.alias("_first"), *more
+        )
+
+    new = shaped(templates.select("template").distinct(), "x")
+    old = shaped(dictionary, "y", "template_id")
+    # a little farther than the threshold, which the exact similarity then decides
+    found = nearest(new, old, "lcs", 1, ["n_words", "_first"], tie="template_id", within=1 - threshold + 1e-9)
+    taken = found.join(old.select("y", "template_id"), "y").select(
+        "template_id", F.col("x").alias("new"), words(F.col("y")).alias("_old"), words(F.col("x")).alias("_new")
     )
-    closest = Window.partitionBy("new").orderBy(F.desc("_sim"), "template_id")
-    taken = pairs.withColumn("_r", F.row_number().over(closest)).where("_r = 1")
+    taken = materialize(taken.where(lcs_similarity(F.col("_old"), F.col("_new")) > threshold))
     differing = (
         taken.select(
             "template_id",

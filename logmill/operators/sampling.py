@@ -19,6 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..functions.text import words
 from ..session import materialize
 from .clusters import cluster_lines, cluster_sizes
+from .pairs import nearest
 
 
 def shuffled(seed: int, *columns: str) -> Column:
@@ -251,39 +252,11 @@ def cluster_adaptive_sample(
 
 
 def min_distance(candidates: DataFrame, references: DataFrame) -> DataFrame:
-    """Smallest word-bag distance of each distinct candidate text to the reference texts.
+    """Smallest word-bag distance of each distinct candidate text to the reference texts; 1e10 if there are none.
 
-    Only pairs with a common word are formed; a candidate without any is at distance 1, and at 1e10 if
-    there are no references.  Both inputs have one text column.
+    Both inputs have one text column.
     """
-    def bags(df: DataFrame, name: str) -> DataFrame:
-        text = df.select(F.col(df.columns[0]).alias(name)).distinct()
-        tokens = text.select(name, words(F.col(name)).alias("_w"))
-        return tokens.select(
-            name, F.size("_w").alias(f"{name}_n"), F.explode("_w").alias("word")
-        ).groupBy(name, f"{name}_n", "word").agg(F.count(F.lit(1)).alias(f"{name}_c"))
-
-    c, r = bags(candidates, "c"), bags(references, "r")
-    near = (
-        c.join(r, "word")
-        .groupBy("c", "c_n", "r", "r_n")
-        .agg(F.sum(F.least("c_c", "r_c")).alias("o"))
-        .select("c", (1 - F.col("o") / (F.col("c_n") + F.col("r_n") - F.col("o"))).alias("d"))
-        .groupBy("c")
-        .agg(F.min("d").alias("d"))
-    )
-    stats = references.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.size(words(F.col(references.columns[0]))) == 0).alias("blank"),
-        )
-    ).scalar()
-    text = candidates.select(F.col(candidates.columns[0]).alias("c")).distinct()
-    far = (
-        F.when(stats["n"] == 0, F.lit(1e10))
-        .when((stats["blank"] > 0) & (F.size(words(F.col("c"))) == 0), F.lit(0.0))
-        .otherwise(F.lit(1.0))
-    )
-    return text.join(near, "c", "left").select(
-        F.col("c").alias("candidate"), F.coalesce("d", far).alias("distance")
-    )
+    text = candidates.select(F.col(candidates.columns[0]).alias("x")).where("x IS NOT NULL").distinct()
+    known = references.select(F.col(references.columns[0]).alias("y"))
+    near = nearest(text, known, "jaccard", 1)
+    return text.join(near, "x", "left").select(F.col("x").alias("candidate"), F.coalesce("distance", F.lit(1e10)).alias("distance"))

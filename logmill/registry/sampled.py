@@ -174,7 +174,7 @@ def cluster_adaptive_sizes(spark, sf_dir):
 @query(
     "adaptive_sample_prefixes",
     sql.on_docs(
-        """SELECT shot, shot AS n, 1 AS first_pick, shot AS last_pick, shot AS n_lines,
+        r"""SELECT shot, shot AS n, 1 AS first_pick, shot AS last_pick, shot AS n_lines,
           (SELECT max(len(list_filter(string_split_regex(trim(log), '\s+'), lambda w: w <> ''))) FROM doc_labelled) AS first_words
         FROM (VALUES (8), (16), (32), (64), (128), (256)) s(shot)"""
     ),

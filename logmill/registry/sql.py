@@ -6,6 +6,8 @@ its own, where the Spark forms use look-around on whole texts.
 
 from __future__ import annotations
 
+from ..functions.patterns import VOCABULARY_STOP_WORDS
+
 _SPACE = (
     r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
@@ -222,13 +224,7 @@ def signature(x: str) -> str:
     )
 
 
-STOP_WORDS = (
-    "a an and i ie so to the "
-    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday Mon Tue Wed Thu Fri Sat Sun "
-    "January February March April May June July August September October November December "
-    "Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec"
-).split()
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in VOCABULARY_STOP_WORDS)
 
 CLUSTERS = f"""
 pool AS (SELECT log, label, {clean('log')} AS clean, {signature('log')} AS fine
@@ -243,3 +239,31 @@ keys AS (SELECT nr, string_agg(token, ' ' ORDER BY token) AS coarse FROM ranked
 clustered AS (SELECT log, label, clean, fine, coalesce(coarse, '') AS coarse
               FROM lines LEFT JOIN keys USING (nr)),
 sizes AS (SELECT coarse, fine, count(*) AS fine_size FROM clustered GROUP BY coarse, fine)"""
+
+# The strict search, part by part: a part is looked for behind the one before, at the first place of its first token.
+_FROM_PLACE = "substr(line, CAST(place AS BIGINT))"
+_FOUND = f"strpos({_FROM_PLACE}, ' ' || split_part(part, ' ', 2) || ' ')"
+_STEP = f"""CASE WHEN place = '0' OR {_FOUND} = 0 THEN '0'
+  WHEN substr(line, CAST(place AS BIGINT) + {_FOUND} - 1, length(part)) <> part THEN '0'
+  ELSE CAST(CAST(place AS BIGINT) + {_FOUND} + length(part) - 2 AS VARCHAR) END"""
+
+#: From document lines and the templates of a table ``cut``: ``best``, the best template of each line that has one.
+STRICT_MATCH = f"""
+lines AS (SELECT DISTINCT "Content", ' ' || {match_text('"Content"')} || ' ' AS line FROM doc_lines),
+known AS (SELECT text, min(template) AS template FROM (SELECT template, {match_text('template')} AS text FROM cut)
+  WHERE text <> '' AND template <> '<*>' GROUP BY text),
+dictionary AS (SELECT *, row_number() OVER (ORDER BY template, text) - 1 AS template_id,
+    len(string_split(text, ' ')) AS n_tokens, len(list_filter(string_split(text, ' '), lambda t: t = '<*>')) AS n_wild,
+    string_split(' ' || text || ' ', '<*>') AS parts, split_part(text, ' ', 1) AS first_token FROM known),
+tried AS MATERIALIZED (
+  SELECT lines.*, dictionary.* FROM lines JOIN dictionary ON first_token = split_part(line, ' ', 2)
+  WHERE starts_with(line, parts[1]) AND ends_with(line, parts[-1]) AND (n_wild > 0 OR line = parts[1])
+  UNION ALL SELECT lines.*, dictionary.* FROM lines JOIN dictionary
+    ON first_token = '<*>' AND split_part(line, ' ', 2) <> '<*>' AND ends_with(line, parts[-1]) AND line <> '  '),
+covered AS (SELECT *, CASE WHEN n_wild = 0 THEN '0' ELSE list_reduce(
+    list_prepend(CAST(length(parts[1]) AS VARCHAR), CASE WHEN parts[-1] = ' ' THEN parts[2 : -2] ELSE parts[2:] END),
+    lambda place, part: {_STEP}) END AS place FROM tried),
+ordered AS (SELECT "Content", template_id, template,
+    row_number() OVER (PARTITION BY "Content" ORDER BY n_tokens - n_wild DESC, n_wild, template_id) AS r
+  FROM covered WHERE n_wild = 0 OR (place <> '0' AND (parts[-1] = ' ' OR CAST(place AS BIGINT) = length(line)))),
+best AS (SELECT "Content", template_id, template FROM ordered WHERE r = 1)"""

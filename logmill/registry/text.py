@@ -277,6 +277,26 @@ def lcs_similarity(spark, sf_dir):
     )
 
 
+# the table of common lengths row by row: one list of hits per word of x, folded into the last row
+_LCS_ROWS = """list_reduce(list_prepend(list_transform(y, lambda b: 0), list_transform(x, lambda a:
+    list_transform(y, lambda b: CASE WHEN a = b THEN 1 ELSE 0 END))), lambda row, hit: list_transform(range(1, len(hit) + 1), lambda j:
+    list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i], CASE WHEN hit[i] = 1 THEN coalesce(row[i - 1], 0) + 1 ELSE 0 END)))))"""
+
+
+@query(
+    "lcs_reversed",
+    sql.on_labelled(
+        f"""SELECT src, "LineId", round(1 - 2 * list_max({_LCS_ROWS})::DOUBLE / (len(x) + len(y)), 6) AS distance
+        FROM (SELECT src, "LineId", {_LOG_WORDS} AS x, list_reverse({_LOG_WORDS}) AS y FROM labelled)"""
+    ),
+)
+def lcs_reversed(spark, sf_dir):
+    """Each line with its own words backwards, where only the order of words tells the distance."""
+    backwards = F.array_join(F.reverse(text.words(F.col("log"))), " ")
+    rows = fixtures.labelled(spark, sf_dir).withColumn("back", backwards)
+    return pair_distance(rows, "log", "back", "lcs").select("src", "LineId", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "template_similarity",
     sql.on_labelled(
