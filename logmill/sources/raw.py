@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.formats import LOG_FORMATS, LineFormat, compile_format
@@ -12,6 +12,8 @@ from ..session import materialize
 
 #: More file splits than this are joined by shuffle; 100 TB in splits of 128 MB are 0.8 million.
 MAX_SPLITS = 2_000_000
+#: So many first lines of a log pass through the driver; more are numbered where they lie.
+HEAD_ROWS = 100_000
 
 # Characters that count as white space at the ends of a line.
 _BLANKS = (
@@ -53,18 +55,24 @@ def _headers(groups: Column, fmt: LineFormat) -> list[Column]:
     return [value(h) for h in fmt.headers]
 
 
-def header_parse(df: DataFrame, fmt: str, column: str = "value") -> DataFrame:
+def header_parse(df: DataFrame, fmt: str, column: str = "value", observed: str | Observation | None = None) -> DataFrame:
     """Split lines into header columns; lines that do not match are dropped.
 
     ``fmt`` is a known system or a format string.  Lines are decided on by a linear guard; those that pass are
-    matched once for all headers.
+    matched once for all headers.  ``observed`` counts lines and dropped lines as the result is computed, under that
+    name in a stream, or into an :class:`Observation`.
     """
     line_format = _format(fmt)
     kept = [c for c in df.columns if c != column]
     line = _stripped(F.col(column))
     groups = captures(line, F.lit(line_format.regex), F.lit(line_format.n_groups))
+    if observed is None:
+        passed = df.where(_is_match(F.col(column), line_format))
+    else:
+        counts = (F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("_passed")).alias("n_dropped"))
+        passed = df.withColumn("_passed", _is_match(F.col(column), line_format)).observe(observed, *counts).where("_passed")
     return (
-        df.where(_is_match(F.col(column), line_format))
+        passed
         .select(*kept, groups.alias("_groups"))
         .select(*kept, *_headers(F.col("_groups"), line_format))
     )
@@ -78,7 +86,7 @@ def unmatched_count(df: DataFrame, fmt: str, column: str = "value") -> DataFrame
     )
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
+def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with the place of their file split."""
     return spark.read.text(path).select(
         _decodable(F.col("value")).alias("value"),
@@ -106,23 +114,46 @@ def number_in_file_order(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def read_raw_log(spark: SparkSession, path: str, fmt: str, limit: int | None = None) -> DataFrame:
+def read_raw_log(
+    spark: SparkSession, path: str, fmt: str, limit: int | None = None, observed: Observation | None = None
+) -> DataFrame:
     """Read a text log into LineId and header columns; only matching lines get a number.
 
-    ``limit`` reads the first lines of the log only.
+    The lines are matched once: the parse is stored, and numbered from there.  ``limit`` reads the first lines of the log
+    only.  ``observed`` gets the numbers of lines read and dropped.
     """
-    lines = read_text(spark, path)
     if limit is not None:
-        return _head_of_log(lines, fmt, limit)
-    return number_in_file_order(header_parse(lines, fmt), "LineId").drop("_file", "_block")
+        lines = first_lines(spark, path, limit).withColumn("_order", F.col("_line"))
+        return with_sequence(header_parse(lines, fmt, observed=observed).drop("_line"), [F.col("_order")], "LineId").select(
+            "LineId", *(h.name for h in _format(fmt).headers)
+        )
+    parsed = materialize(header_parse(read_text(spark, path), fmt, observed=observed))
+    return number_in_file_order(parsed, "LineId").drop("_file", "_block")
 
 
-def _head_of_log(lines: DataFrame, fmt: str, limit: int) -> DataFrame:
-    """The matching lines among the first ``limit``, numbered in the order that the first pass found."""
-    head = number_in_file_order(lines, "_line").where(F.col("_line") <= limit).drop("_file", "_block")
-    parsed = materialize(header_parse(head, fmt))
-    names = [c for c in parsed.columns if c != "_line"]
-    return with_sequence(parsed, [F.col("_line")], "LineId").select("LineId", *names)
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(_line, value) of the first ``n`` lines of a log of one or many files, in file order.
+
+    Files are read in turn and no further than need be.  A few lines come from the first splits of a file, one by one;
+    for more than HEAD_ROWS whole files are numbered, in groups that double until they hold enough.
+    """
+    files = sorted(spark.read.text(path).inputFiles())
+    if n <= HEAD_ROWS:
+        found: list[tuple[int, str]] = []
+        for file in files:
+            if len(found) >= n:
+                break
+            # the splits of one file are read in order, and later ones only if the first hold too few lines
+            rows = spark.read.text(file).select(_decodable(F.col("value")).alias("value")).take(n - len(found))
+            found += [(len(found) + k + 1, row.value) for k, row in enumerate(rows)]
+        return spark.createDataFrame(found, "_line bigint, value string")
+    read, size, lines = 0, 0, None
+    while read < len(files) and size < n:
+        group = files[read : 2 * read + 1]
+        size += spark.read.text(group).limit(n - size).count()
+        read += len(group)
+    lines = number_in_file_order(read_text(spark, files[:read]), "_line")
+    return lines.where(F.col("_line") <= n).select("_line", "value")
 
 
 def limit_lines(df: DataFrame, n: int, order: str = "LineId") -> DataFrame:

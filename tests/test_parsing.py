@@ -9,7 +9,13 @@ from logmill.functions.text import finer_tokens, fine_tokens, tagger_tokens
 from logmill.operators import dictionary as D
 from logmill.operators import tagging
 from logmill.plans.parse import parse_batch
-from logmill.streaming.online import dictionary_at, parse_stream, read_raw_log_stream
+from logmill.streaming.online import (
+    dictionary_at,
+    dropped_lines,
+    latest_version,
+    parse_stream,
+    read_raw_log_stream,
+)
 
 
 @pytest.fixture(scope="module")
@@ -128,6 +134,62 @@ def test_a_stream_of_many_batches_keeps_one_row_per_template(spark, model, tmp_p
         (incoming / f"{k}.txt").write_text(f"[t] [INFO] open file {k} in /tmp/x\n[t] [INFO] phase number{'abcd'[k]} begun\n")
     stream = read_raw_log_stream(spark, str(incoming), "Apache", files_per_batch=1)
     parse_stream(stream, model, state, out, progress, trigger={"availableNow": True}).awaitTermination()
-    written = spark.read.parquet(state)
+    written = spark.read.parquet(f"{state}/new")
     assert written.count() == written.select("template_id").distinct().count() == dictionary_at(spark, state, 3).count()
     assert dictionary_at(spark, state, 0).count() < written.count()
+
+
+def test_stream_state_is_compacted_and_removed(spark, model, tmp_path):
+    import os
+
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    state, out, progress = (str(tmp_path / n) for n in ("state", "out", "progress"))
+    for k in range(7):
+        (incoming / f"{k}.txt").write_text(f"[t] [INFO] phase number{'abcdefg'[k]} begun\njunk {k}\n" + "[t] [INFO] service started\n" * k)
+        os.utime(incoming / f"{k}.txt", (1_600_000_000 + k, 1_600_000_000 + k))
+
+    def run(name):
+        stream = read_raw_log_stream(spark, str(incoming), "Apache", files_per_batch=1)
+        query = parse_stream(stream, model, state, out, str(tmp_path / name), every=2)
+        query.awaitTermination()
+        return query
+
+    query = run("progress")
+    assert [(n, dropped) for _, n, dropped in dropped_lines(query)] == [(2 + k, 1) for k in range(7)]
+    assert sorted(os.listdir(f"{state}/whole")) == ["version=3", "version=5"]
+    assert sorted(os.listdir(f"{state}/new")) == ["version=4", "version=5", "version=6"]
+    rows = sorted(map(tuple, dictionary_at(spark, state, 6, every=2).collect()))
+    assert len(rows) == 8 and len({r[0] for r in rows}) == 8
+    assert latest_version(spark, state) == 6
+    run("again")  # the same batches once more, over the state that is left
+    assert sorted(map(tuple, dictionary_at(spark, state, 6, every=2).collect())) == rows
+
+
+def test_first_lines_read_few_splits(spark, tmp_path, monkeypatch):
+    from logmill.sources import raw
+
+    for k in range(40):
+        (tmp_path / f"log-{k:02d}.txt").write_text("".join(f"[t] [INFO] line {k} {j}\n" for j in range(50)) + "junk\n")
+    path, lines = str(tmp_path), [f"line {k} {j}" for k in range(40) for j in range(50)]
+    for head_rows in (raw.HEAD_ROWS, 0):
+        monkeypatch.setattr(raw, "HEAD_ROWS", head_rows)
+        for n in (1, 51, 52, 300, 100_000):
+            found = raw.read_raw_log(spark, path, "Apache", limit=n).orderBy("LineId").collect()
+            matching = min(n, 40 * 51) - min(n, 40 * 51) // 51
+            assert [(r.LineId, r.Content) for r in found] == list(enumerate(lines[:matching], 1))
+    # only as many files as hold the lines are opened
+    monkeypatch.setattr(raw, "HEAD_ROWS", 0)
+    plan = raw.first_lines(spark, path, 60)
+    assert len(plan.inputFiles()) == 3
+
+
+def test_counters_are_observed(spark, model, tmp_path):
+    from pyspark.sql import Observation
+
+    from logmill.sources import raw
+
+    (tmp_path / "a.txt").write_text("[t] [INFO] a b\njunk\n[t] [INFO] c d\n")
+    seen = Observation()
+    assert raw.read_raw_log(spark, str(tmp_path), "Apache", observed=seen).count() == 2
+    assert seen.get == {"n_lines": 3, "n_dropped": 1}
