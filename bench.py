@@ -96,6 +96,7 @@ def main() -> None:
                 "queries": times,
                 "rows_per_sec": rates,
                 "preparation": prepared,
+                "total_with_preparation": round(sum(times.values()) + sum(prepared.values()), 3),
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

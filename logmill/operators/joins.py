@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.align import is_abstract
 from ..functions.patterns import WILDCARD
 from ..functions.text import words
+from ..session import materialize
 from .scale import checked_join, is_small, lookup_join
 
 
@@ -82,8 +83,11 @@ def abstraction_pairs(general: DataFrame, specific: DataFrame) -> DataFrame:
     left = general.select(x.alias("x"), words(x).alias("_w")).select(
         "x", F.size("_w").alias("n_words"), _static_anchor(F.col("_w")).alias("_a")
     ).select("x", "n_words", F.col("_a.pos").alias("pos"), F.col("_a.word").alias("word"))
-    keyed = specific.select(y.alias("y"), words(y).alias("_w")).select(
-        "y",
+    left = materialize(left)
+    # the words travel with a number, not with the text
+    lines = materialize(specific.select(F.monotonically_increasing_id().alias("_id"), y.alias("y")))
+    keyed = lines.select("_id", words(F.col("y")).alias("_w")).select(
+        "_id",
         F.size("_w").alias("n_words"),
         F.explode(
             F.concat(
@@ -91,16 +95,11 @@ def abstraction_pairs(general: DataFrame, specific: DataFrame) -> DataFrame:
                 F.transform("_w", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))),
             )
         ).alias("_k"),
-    ).select("y", "n_words", F.col("_k.pos").alias("pos"), F.col("_k.word").alias("word"))
-    pairs = checked_join(
-        keyed,
-        left,
-        ["n_words", "pos", "word"],
-        is_abstract(F.col("x"), F.col("y")),
-        salt_by=F.col("y"),
-        small=is_small(general),
-    )
-    return pairs.select("x", "y")
+    ).select("_id", "n_words", F.col("_k.pos").alias("pos"), F.col("_k.word").alias("word"))
+    tried = checked_join(
+        keyed, left, ["n_words", "pos", "word"], salt_by=F.col("_id"), small=is_small(left)
+    ).select("_id", "x")
+    return lines.join(tried, "_id").where(is_abstract(F.col("x"), F.col("y"))).select("x", "y")
 
 
 def memo_lookup(
