@@ -202,7 +202,7 @@ def _greedy_sample(
     n_rounds = F.greatest(F.col("k") - 1, F.lit(1)).cast("bigint")
     rounds = pool.select(
         *by, "log", "label", F.col("k").cast("int").alias("k"),
-        (F.pmod(F.xxhash64(F.lit(seed), "log", "label"), n_rounds) + 1).alias("round"),
+        (F.pmod(F.conv(F.substring(shuffled(seed, "label", "log"), 1, 8), 16, 10).cast("bigint"), n_rounds) + 1).alias("round"),
     )
     drawn = _ranked(rounds, [*by, "round"], _draw_order(seed, False), "_r", n_candidate).drop("_r")
     keys = [*by, "log", "label"]

@@ -199,18 +199,74 @@ def stratified_sample_passes(spark, sf_dir):
     )
 
 
+def _greedy(pool: str, n_candidate: int) -> tuple[str, ...]:
+    """The sequential draw over ``pool`` (grp, log, label, k): one step of the recursion is one pick in every group."""
+    order = f"md5('{_SEED}|' || log || '|' || label)"
+    return (
+        f"""greedy_pool AS MATERIALIZED ({pool})""",
+        f"""sized AS (SELECT *, {sql.word_list('log')} AS w, {order} AS place,
+            1 + CAST('0x' || substr(md5('{_SEED}|' || label || '|' || log), 1, 8) AS BIGINT) % greatest(k - 1, 1) AS round FROM greedy_pool),
+        starts AS (SELECT * FROM sized
+          QUALIFY row_number() OVER (PARTITION BY grp ORDER BY len(w) DESC, length(log) DESC, log DESC, label DESC) = 1),
+        drawn AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY grp, round ORDER BY place, log, label) <= {n_candidate}),
+        candidates AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round, place) - 1 AS pos FROM (
+          SELECT grp, log, label, k, w, place, 0 AS round FROM starts
+          UNION ALL SELECT grp, log, label, k, w, place, round FROM drawn ANTI JOIN starts USING (grp, log, label))),
+        bags AS MATERIALIZED (SELECT grp, pos, word, count(*) AS n
+          FROM (SELECT grp, pos, unnest(w) AS word FROM candidates) GROUP BY ALL),
+        picks AS (
+          SELECT 1 AS step, grp, pos, k, round, length(log) AS chars, len(w) AS total, 1e300::DOUBLE AS near, pos = 0 AS pick, false AS used
+          FROM candidates
+          UNION ALL
+          SELECT step, grp, pos, k, round, chars, total, near,
+            row_number() OVER (PARTITION BY grp ORDER BY able DESC, near DESC, chars DESC, pos) = 1 AND able AS pick, used
+          FROM (SELECT *, NOT used AND (own OR spare <= {n_candidate} - n_own) AS able
+            FROM (SELECT *, sum(CASE WHEN own AND NOT used THEN 1 ELSE 0 END) OVER (PARTITION BY grp) AS n_own,
+                row_number() OVER (PARTITION BY grp ORDER BY used OR own, pos) AS spare
+              FROM (SELECT r.step + 1 AS step, r.grp, r.pos, r.k, r.round, r.chars, r.total, r.used OR r.pick AS used, r.round = r.step AS own,
+                  least(r.near, CASE WHEN r.total + p.total = 0 THEN 0 ELSE 1 - coalesce(o, 0)::DOUBLE / (r.total + p.total - coalesce(o, 0)) END) AS near
+                FROM picks r JOIN (SELECT grp, total FROM picks WHERE pick) p USING (grp)
+                LEFT JOIN (SELECT b.grp, b.pos, sum(least(b.n, q.n)) AS o FROM picks s JOIN bags q USING (grp, pos)
+                  JOIN bags b ON b.grp = q.grp AND b.word = q.word WHERE s.pick GROUP BY b.grp, b.pos) shared USING (grp, pos)
+                WHERE r.step < r.k))))""",
+    )
+
+
+def _sampled(body: str, pool: str, n_candidate: int, *more: str) -> str:
+    return sql.on_docs(body, *more, *_greedy(pool, n_candidate)).replace("WITH", "WITH RECURSIVE", 1)
+
+
+# without SQL: 256 steps over all candidates are too much for one recursion; the next two draw in the same way
 @query("adaptive_sample")
 def adaptive_sample(spark, sf_dir):
     return sampling.adaptive_sample(fixtures.doc_labelled(spark, sf_dir), _SHOTS, 32, _SEED)
 
 
-@query("adaptive_sample_by_source")
+@query(
+    "adaptive_sample_by_source",
+    _sampled(
+        """SELECT log, label, grp AS "Dataset", step AS pick, shot FROM picks JOIN candidates USING (grp, pos)
+        JOIN (VALUES (8), (16)) s(shot) ON step <= shot WHERE pick""",
+        "SELECT label AS grp, log, label, 16 AS k FROM (SELECT DISTINCT log, label FROM doc_labelled)",
+        32,
+    ),
+)
 def adaptive_sample_by_source(spark, sf_dir):
     rows = fixtures.doc_labelled(spark, sf_dir).withColumn("Dataset", F.col("label"))
     return sampling.adaptive_sample(rows, [8, 16], 32, _SEED, by=["Dataset"])
 
 
-@query("cluster_adaptive_sample")
+@query(
+    "cluster_adaptive_sample",
+    # more clusters than places: the 64 largest have one each
+    _sampled(
+        "SELECT grp AS coarse, log, label, step AS pick FROM picks JOIN candidates USING (grp, pos) WHERE pick",
+        """SELECT coarse AS grp, log, label, 1 AS k FROM clustered JOIN (
+          SELECT coarse, count(*) AS size FROM clustered GROUP BY coarse ORDER BY size DESC, coarse LIMIT 64) USING (coarse)""",
+        8,
+        sql.CLUSTERS,
+    ),
+)
 def cluster_adaptive_sample(spark, sf_dir):
     return sampling.cluster_adaptive_sample(fixtures.doc_labelled(spark, sf_dir), 64, 8, _SEED)
 
