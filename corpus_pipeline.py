@@ -9,7 +9,7 @@ from logmill.llm.common import documents, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is null, has no letter, or is of no known language go."""
+    """Documents whose text is null, has no letter, or shows too little of any learned language go."""
     return language.with_known_language(docs, language.fit(docs))
 
 

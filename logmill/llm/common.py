@@ -14,6 +14,8 @@ from ..session import materialize, scratch_path
 SPACES = r"[\x20\x09-\x0D]+"
 #: A side is broadcast only if its stored size is no larger than this many bytes.
 BROADCAST_BYTES = 8 << 20
+#: ... and if it has no more rows than this, since what is stored grows tenfold in memory.
+BROADCAST_ROWS = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +38,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a stored table that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Size of a stored table as Spark's file listing has it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def attach(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a stored lookup table: broadcast below a byte bound, else shuffled (hot keys are split at run time)."""
-    small = stored_bytes(lookup) <= BROADCAST_BYTES
+    """Join a stored lookup table: broadcast below a bound of bytes and rows, else shuffled (hot keys are split at run time)."""
+    small = stored_bytes(lookup) <= BROADCAST_BYTES and lookup.count() <= BROADCAST_ROWS
     return big.join(F.broadcast(lookup) if small else lookup, list(on), how)
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +18,38 @@ FOLDS = 5
 #: The fit reads about so many documents over all languages together, chosen by a hash of their ids.
 SAMPLE_DOCS = 20_000
 #: Known words, and known n-grams of each length, over all languages together.
-VOCABULARY = 100_000
+VOCABULARY = 200_000
 LENGTHS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Words whose scores a task keeps at most.
-MEMO_WORDS = 200_000
+#: Words whose scores a task keeps at most, and the length of the longest that it keeps.
+MEMO_WORDS, MEMO_LENGTH = 100_000, 40
+#: A text is of a learned language if so many hundredths of its words are known or hold a known n-gram of 3 or more.
+EVIDENCE = 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, text_hash long, held_out boolean, lang_pred string, score double"
 
 
+class Table:
+    """Log frequencies of known values, one row each, in 32-bit numbers; values lie in one Arrow array, not in objects."""
+
+    def __init__(self, values: pa.StringArray, rows: np.ndarray):
+        self.values, self.rows = values, rows
+
+    def find(self, wanted: list[str]) -> np.ndarray:
+        """The rows' numbers; -1 for what is not known."""
+        found = pc.fill_null(pc.index_in(pa.array(wanted, pa.string()), value_set=self.values), -1)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 @dataclass
 class Model:
-    """Log frequencies by language: ``words`` maps a known word to its scores, ``grams[n]`` an n-gram."""
+    """Log frequencies by language (the columns): of known words, and of known n-grams by their length."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Table
+    grams: dict[int, Table]
 
 
 def held_out():
@@ -57,18 +72,21 @@ def labelled_sample(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     return rows.join(F.broadcast(counts), "lang").where(F.col("hash") * F.col("n") < F.lit(share << 30)).select("lang", "text")
 
 
-def _most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
+def _known(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """(lang, value, n) in all languages of the values that are among the ``limit`` most frequent of any."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), column))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= limit).select("lang", column, "n")
+    kept = counts.withColumn("rank", rank).where(F.col("rank") <= limit).select(column).distinct()
+    return counts.join(kept, column, "left_semi").select("lang", F.col(column).alias("value"), "n")
 
 
-def _scores(rows: list, languages: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
+def _table(known: DataFrame, languages: list[str], totals: dict[str, int]) -> Table:
+    found = known.toArrow()  # at most the vocabulary, once for each language that has the value
+    values = found.column("value").cast(pa.string()).combine_chunks().dictionary_encode()
     place = {lang: k for k, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for lang, value, n in rows:
-        counts.setdefault(value, np.zeros(len(languages)))[place[lang]] = n
+    counts = np.zeros((len(values.dictionary), len(languages)))
+    counts[values.indices.to_numpy(), [place[lang] for lang in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
     total = np.array([totals.get(lang, 0) for lang in languages]) + SMOOTHING * (len(counts) + 1)
-    return {value: np.log((n + SMOOTHING) / total).astype(np.float32) for value, n in counts.items()}
+    return Table(values.dictionary, np.log((counts + SMOOTHING) / total).astype(np.float32))
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
@@ -84,7 +102,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCAB
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
     languages = sorted(totals)
     share = max(1, vocabulary // max(1, len(languages)))
-    words = _scores(_most_frequent(counts, "word", share).collect(), languages, totals)  # at most ``vocabulary`` rows
+    words = _table(_known(counts, "word", share), languages, totals)
     grams = {}
     for length in LENGTHS:
         padded = F.concat(F.lit(" "), "word", F.lit(" ")) if length > 1 else F.col("word")
@@ -94,7 +112,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCAB
         )
         parts = stored(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
         sums = {r.lang: r.n for r in parts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        grams[length] = _scores(_most_frequent(parts, "gram", share).collect(), languages, sums)
+        grams[length] = _table(_known(parts, "gram", share), languages, sums)
     return Model(languages, words, grams)
 
 
@@ -103,44 +121,66 @@ class Scorer:
 
     def __init__(self, model: Model, memo_words: int = MEMO_WORDS):
         self.model, self.memo_words = model, memo_words
-        self.table = np.zeros((1024, max(1, len(model.languages))), np.float32)
         self.places: dict[str, int] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """A known word's log frequencies; else the mean over its known n-grams of the greatest length that has any."""
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        padded = f" {word} "
+        self.table = np.zeros((0, max(1, len(model.languages)) + 1), np.float32)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """One row per word: log frequencies by language, then 1 if the word is evidence.
+
+        A known word has its own; any other the mean over its known n-grams of the greatest length that has any.
+        """
+        width = self.table.shape[1] - 1
+        out = np.zeros((len(words), width + 1), np.float32)
+        at = self.model.words.find(words)
+        out[at >= 0, :width] = self.model.words.rows[at[at >= 0]]
+        out[at >= 0, width] = 1
+        left = np.flatnonzero(at < 0)
         for length in LENGTHS:
-            text, grams = padded if length > 1 else word, self.model.grams[length]
-            hits = [g for k in range(len(text) - length + 1) if (g := grams.get(text[k : k + length])) is not None]
-            if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(self.table.shape[1], np.float32)
-
-    def _place(self, word: str) -> int:
-        place = self.places.get(word)
-        if place is None:
-            place = self.places[word] = len(self.places)
-            if place == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[place] = self.word(word)
-        return place
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        found = _WORD.findall(text.lower()) if text else []
-        if not self.model.languages or not any(map(str.isalpha, found)):
-            if not (self.model.languages and text and any(map(str.isalpha, text))):
-                return UNKNOWN, 0.0
-        if len(self.places) > self.memo_words:
+            texts = [f" {words[k]} " if length > 1 else words[k] for k in left.tolist()]
+            sizes = [max(0, len(text) - length + 1) for text in texts]
+            at = self.model.grams[length].find([text[k : k + length] for text, n in zip(texts, sizes) for k in range(n)])
+            owner = np.repeat(np.arange(len(left)), sizes)[at >= 0]
+            n = np.bincount(owner, minlength=len(left))
+            sums = np.zeros((len(left), width))
+            np.add.at(sums, owner, self.model.grams[length].rows[at[at >= 0]])
+            some = n > 0
+            out[left[some], :width] = sums[some] / n[some, None]
+            out[left[some], width] = length >= 3
+            left = left[~some]
+        return out
+
+    def _places(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Rows of ``self.table`` for the words of some texts; the table starts anew when it is full."""
+        unseen = [w for w in set().union(*texts) if w not in self.places]
+        if len(self.places) + len(unseen) > self.memo_words:
             self.places = {}
-        lookup = self.places.get
-        places = [p if (p := lookup(word)) is not None else self._place(word) for word in found]
-        total = self.table[places].sum(axis=0, dtype=np.float64) / max(1, len(places)) ** 0.5
-        odds = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.model.languages[best], float(odds[best] / odds.sum())
+            self.table = self.table[:0]
+            unseen = list(set().union(*texts))
+        start = len(self.table)
+        self.table = np.concatenate([self.table, self.score(unseen)])
+        self.places.update(zip(unseen, range(start, start + len(unseen))))
+        found = [np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)) for words in texts]
+        for word in unseen:
+            if len(word) > MEMO_LENGTH:
+                del self.places[word]
+        return found
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, its share of the likelihood, share of the words that are evidence) for each text."""
+        out = []
+        for start in range(0, len(texts), 100):
+            part = texts[start : start + 100]
+            words = [_WORD.findall(text.lower()) if text else [] for text in part]
+            for text, found, places in zip(part, words, self._places(words)):
+                if not self.model.languages or not text or not any(map(str.isalpha, text)):
+                    out.append((UNKNOWN, 0.0, 0.0))
+                    continue
+                sums = self.table[places].sum(axis=0, dtype=np.float64)
+                total = sums[:-1] / max(1, len(found)) ** 0.5
+                odds = np.exp(total - total.max())
+                best = int(total.argmax())
+                out.append((self.model.languages[best], float(odds[best] / odds.sum()), float(sums[-1]) / max(1, len(found))))
+        return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -155,10 +195,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer(text) for text in batch.column("text").to_pylist()]
+            found = scorer(batch.column("text").to_pylist())
             columns = {c: batch.column(c) for c in ("doc_id", "text_hash", "held_out")}
-            columns["lang_pred"] = pa.array([lang for lang, _ in found], pa.string())
-            columns["score"] = pa.array([share for _, share in found], pa.float64())
+            columns["lang_pred"] = pa.array([lang for lang, *_ in found], pa.string())
+            columns["score"] = pa.array([share for _, share, _ in found], pa.float64())
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(
@@ -170,14 +210,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(score, SCHEMA)
 
 
-def with_known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: those predicted ``und`` go."""
+def with_known_language(docs: DataFrame, model: Model, evidence: int = EVIDENCE) -> DataFrame:
+    """The rows of ``docs`` whose text is of a learned language.
+
+    Rejected are texts that are null, empty or without a letter, and those in which less than ``evidence`` hundredths
+    of the words are known or hold a known n-gram of 3 or more characters.  If nothing was learned (no labels, an
+    empty table), every text with a letter stays.  Rows are judged one by one, so repeated rows stay or go together;
+    all columns are kept as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            kept = [scorer(text)[0] != UNKNOWN for text in batch.column(text_at).to_pylist()]
+            texts = batch.column(text_at).to_pylist()
+            if shared.value.languages:
+                kept = [lang != UNKNOWN and 100 * known >= evidence for lang, _, known in scorer(texts)]
+            else:
+                kept = [bool(text) and any(map(str.isalpha, text)) for text in texts]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     text_at = docs.columns.index("text")

@@ -5,8 +5,9 @@ the Burrows-Wheeler transforms of its words and of its words reversed, with the
 are sorted by as many words as a phrase can have, all that intervals of that depth need.  A phrase is a pair of intervals; the words
 in one transform's interval are its extensions on one side, with their counts, and the other interval is narrowed along.
 
-Counts are summed across shards depth by depth: words, pairs of frequent words, then longer phrases all of whose pairs
-may be frequent.  A phrase is no more frequent than its parts, so nothing with enough occurrences is lost.
+Counts are summed across shards depth by depth: words, pairs of frequent words, then phrases a word longer both of whose
+parts may be frequent.  A phrase is no more frequent than its parts, so nothing with enough occurrences is lost.  Shards
+hand over their phrases in packed blocks, dealt by hash; one task sums a block of all shards.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, numbered, stored, whole_text
+from .common import attach, discard, numbered, stored, whole_text
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -27,10 +29,12 @@ TOP = 2_000
 COVERED = 80
 SCALE = 2_000_000
 #: A shard is closed at so many words; a longer text is cut between pieces at about so many bytes.
-SHARD_WORDS, SLICE_BYTES = 1_000_000, 4 << 20
+SHARD_WORDS, SLICE_BYTES = 2_000_000, 4 << 20
 #: Rows that a task hands over at once.
 BATCH_ROWS = 1 << 16
-#: The filter of frequent pairs has 16 bits for each, and no more than so many altogether.
+#: Phrases of all shards that one task sums, about.
+PART_GRAMS = 1_000_000
+#: The filter of frequent phrases has 16 bits for each, and no more than so many altogether.
 FILTER_BITS = 1 << 26
 UNKNOWN = "und"
 
@@ -82,14 +86,25 @@ class _Shard:
         return {"lang": lang, "n_words": int(counts.sum()), "seq": pack(seq), "held": held}
 
 
-def pack(seq: np.ndarray) -> bytes:
-    """Numbers below 2**24, byte by byte: the low bytes of all, then the middle and the high ones."""
-    return np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, byte by byte (the lowest bytes of all, then the next ones), and compressed."""
+    planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T) for c in columns]
+    kept = [p[: int(np.flatnonzero(p.any(axis=1))[-1]) + 1] if p.any() else p[:0] for p in planes]
+    head = np.array([len(columns), len(columns[0]), *map(len, kept)], "<i8").tobytes()
+    return head + zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in kept))
 
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+def unpack(data: bytes) -> list[np.ndarray]:
+    count, size = np.frombuffer(data[:16], "<i8").tolist()
+    widths = np.frombuffer(data[16 : 16 + 8 * count], "<i8").tolist()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[16 + 8 * count :], max_output_size=size * sum(widths) or 1), np.uint8)
+    out, at = [], 0
+    for width in widths:
+        planes = np.zeros((8, size), np.uint8)
+        planes[:width] = raw[at : at + width * size].reshape(width, size)
+        at += width * size
+        out.append(np.ascontiguousarray(planes.T).view("<i8").ravel())
+    return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.RecordBatch]:
@@ -136,19 +151,24 @@ class Side:
             rank[order] = np.cumsum(np.r_[False, np.diff(key[order]) != 0])
             width *= 2
         self.n = n
-        self.before = seq[order - 1].astype(np.int64)
+        self.before = seq[order - 1].astype(np.int32)
         #: (word, row) of the transform in order: how many lie below a given one is the rank that narrows an interval
-        self.places = np.sort(self.before * n + np.arange(n))
+        self.places = self.before.astype(np.int64) * n
+        self.places += np.arange(n)
+        self.places.sort()
 
     def extensions(self, low: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of intervals (low, size) here and from ``other`` in the other direction, all extensions by a word.
 
         Returns (interval, word, low here, size, low there), by interval and word; word 0 is left out.
         """
-        which = np.repeat(np.arange(len(low)), size)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        rows = np.arange(int(size.sum()))
+        rows += np.repeat(low - (np.cumsum(size) - size), size)
         width = int(self.before.max()) + 1
-        key, counts = np.unique(which * width + self.before[low[which] + inside], return_counts=True)
+        key = np.repeat(np.arange(len(low)) * width, size)
+        key += self.before[rows]
+        del rows
+        key, counts = np.unique(key, return_counts=True)
         which, word = key // width, key % width
         ahead = np.cumsum(counts) - counts
         first = np.diff(which, prepend=-1) != 0
@@ -170,15 +190,14 @@ class ShardIndex:
         self.columns = [self.words]
 
     def extend(self, left: bool, keep) -> None:
-        """Extend all phrases by a word on one side; ``keep`` tells of arrays of neighbours (a, b) which may stay."""
+        """Extend all phrases by a word on one side; ``keep`` tells which of the longer ones (as columns) may stay."""
         side, low, other = (self.forward, self.low, self.there) if left else (self.backward, self.there, self.low)
         which, word, here, size, there = side.extensions(low, self.size, other)
-        end = self.columns[0 if left else -1][which]
-        some = keep(word, end) if left else keep(end, word)
-        which, word, self.size = which[some], word[some], size[some]
-        self.low, self.there = (here[some], there[some]) if left else (there[some], here[some])
         columns = [c[which] for c in self.columns]
-        self.columns = [word, *columns] if left else [*columns, word]
+        columns = [word, *columns] if left else [*columns, word]
+        some = keep(columns)
+        self.columns, self.size = [c[some] for c in columns], size[some]
+        self.low, self.there = (here[some], there[some]) if left else (there[some], here[some])
 
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +206,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             row = batch.column("known")[k].values
             place, gid = (row.field(c).to_numpy().astype(np.int64) for c in ("place", "gid"))
-            seq = unpack(batch.column("seq")[k].as_py())
+            seq = unpack(batch.column("seq")[k].as_py())[0]
             order = np.argsort(gid)
             fresh = np.zeros(int(seq.max()) + 1, np.int64)
             fresh[place[order]] = np.arange(1, len(order) + 1)
@@ -202,71 +221,120 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
     """(corpus-wide numbers by local number, sequence with a zero at its end)."""
     for batch in batches:
         for k in range(batch.num_rows):
-            yield np.r_[-1, np.frombuffer(batch.column("gids")[k].as_py(), np.int64)], np.r_[unpack(batch.column("seq")[k].as_py()), 0]
-
-
-def _handed_over(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for start in range(0, len(columns["n"]), BATCH_ROWS):
-        yield pa.RecordBatch.from_pydict({name: pa.array(c[start : start + BATCH_ROWS], pa.int64()) for name, c in columns.items()})
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield np.r_[-1, np.frombuffer(batch.column("gids")[k].as_py(), np.int64)], np.r_[unpack(batch.column("seq")[k].as_py())[0], 0]
+
+
+def _dealt(columns: list[np.ndarray], n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, grams): the phrases of a shard with their counts, dealt by hash and packed as differences, in order."""
+    mixed = np.full(len(n), 0x9E3779B97F4A7C15, np.uint64)
+    for place, column in enumerate(columns):
+        # neighbours in the last column stay together, so that differences are small
+        value = column if place < len(columns) - 1 else column >> 8
+        mixed = (mixed ^ value.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    part = (mixed % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((*columns[::-1], part))
+    part, columns, n = part[order], [c[order] for c in columns], n[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    rows: list[tuple[int, bytes]] = []
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(n)]):
+        deltas = [np.diff(c[start:end], prepend=0) for c in columns]
+        # the sign goes to the lowest bit
+        rows.append((int(part[start]), pack(*((d << 1) ^ (d >> 63) for d in deltas), n[start:end])))
+    for start in range(0, len(rows), BATCH_ROWS):
+        some = rows[start : start + BATCH_ROWS]
+        yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in some], pa.int64()), "grams": pa.array([g for _, g in some], pa.binary())})
+
+
+def _summed(group: pa.Table, names: list[str], min_count: int) -> pa.Table:
+    """The frequent phrases of one part, summed over all shards."""
+    found = [unpack(data) for data in group.column("grams").to_pylist()]
+    columns = [np.concatenate([np.cumsum((f[k] >> 1) ^ -(f[k] & 1)) for f in found]) for k in range(len(names))]
+    n = np.concatenate([f[-1] for f in found])
+    order = np.lexsort(columns[::-1])
+    columns, n = [c[order] for c in columns], n[order]
+    first = np.zeros(len(n), bool)
+    first[:1] = True
+    for c in columns:
+        first[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(first)
+    total = np.add.reduceat(n, starts)
+    kept = total >= min_count
+    return pa.table([pa.array(c[starts][kept], pa.int64()) for c in columns] + [pa.array(total[kept], pa.int64())], [*names, "f"])
+
+
+def _summing(names: list[str], min_count: int):
+    def summed(group: pa.Table) -> pa.Table:
+        return _summed(group, names, min_count)
+
+    return summed
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for gids, seq in _read(batches):
         index = Side(seq, 2)
         counts = np.bincount(seq)
         words = np.flatnonzero(counts)[1:]
         low = (np.cumsum(counts) - counts)[words]
         which, word, _, size, _ = index.extensions(low, counts[words], low)
-        yield from _handed_over({"w1": gids[word], "w2": gids[words[which]], "n": size})
+        yield from _dealt([gids[word], gids[words[which]]], size, parts)
 
 
-def pair_bits(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """The bit that a pair of corpus-wide numbers has in a filter of ``bits`` (a power of two)."""
-    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
-    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(32)) & np.uint64(bits - 1)
+def gram_bits(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """The bit that a phrase of corpus-wide numbers has in a filter of ``bits`` (a power of two)."""
+    mixed = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        mixed = (mixed + column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    return (mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) & np.uint64(bits - 1)
 
 
-def pair_filter(pairs: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
-    """Bits of all pairs, as bytes: a filter that lets each of them pass and few others.
+def gram_filter(grams: DataFrame, names: list[str], most: int = FILTER_BITS) -> np.ndarray:
+    """Bits of all phrases of a stored table, as bytes: a filter that lets each of them pass and few others.
 
     Its size is bounded; a fuller one lets more pass, which are then counted for nothing.
     """
     bits = 1 << 16
-    wanted = 16 * pairs.count()
+    wanted = 16 * grams.count()
     while bits < min(wanted, most):
         bits *= 2
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.zeros(bits, bool)
         for batch in batches:
-            marked[pair_bits(batch.column("w1").to_numpy(), batch.column("w2").to_numpy(), bits)] = True
+            marked[gram_bits([batch.column(c).to_numpy() for c in names], bits)] = True
         packed = np.packbits(marked, bitorder="little").view(np.int64)
         some = np.flatnonzero(packed)
         yield pa.RecordBatch.from_pydict({"at": some.astype(np.int64), "word": packed[some]})
 
-    found = pairs.select("w1", "w2").mapInArrow(words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    found = grams.select(*names).mapInArrow(words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
     table = found.toArrow()  # at most ``most`` / 64 rows
     packed = np.zeros(bits // 64, np.int64)
     packed[table.column("at").to_numpy()] = table.column("word").to_numpy()
     return packed.view(np.uint8)
 
 
-def _longer(batches: Iterator[pa.RecordBatch], shared, max_words: int) -> Iterator[pa.RecordBatch]:
-    packed = shared.value
+def _longer(batches: Iterator[pa.RecordBatch], filters, parts: int) -> Iterator[pa.RecordBatch]:
+    """Phrases a word longer than those of the last filter, both of whose parts pass."""
+    packed = [f.value for f in filters]
+
+    def passes(grams: list[np.ndarray]) -> np.ndarray:
+        bits = packed[len(grams) - 2]
+        bit = gram_bits(grams, 8 * len(bits))
+        return (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
     for gids, seq in _read(batches):
+        index = ShardIndex(seq, len(filters) + 2)
+        for depth in range(2, len(filters) + 3):
 
-        def may_be_frequent(a: np.ndarray, b: np.ndarray, gids: np.ndarray = gids) -> np.ndarray:
-            bit = pair_bits(gids[a], gids[b], 8 * len(packed))
-            return (packed[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            def keep(grams: list[np.ndarray], depth: int = depth, gids: np.ndarray = gids) -> np.ndarray:
+                names = [gids[g] for g in grams]
+                if depth == 2:
+                    return passes(names)
+                return passes(names[1:]) & passes(names[:-1])
 
-        index = ShardIndex(seq, max_words)
-        index.extend(True, may_be_frequent)
-        for depth in range(3, max_words + 1):
-            index.extend(depth % 2 == 0, may_be_frequent)
-            columns = {f"w{k + 1}": gids[c] for k, c in enumerate(index.columns)}
-            columns |= {f"w{k + 1}": np.full(len(index.size), -1) for k in range(depth, max_words)}
-            yield from _handed_over(columns | {"n": index.size})
+            index.extend(depth % 2 == 0, keep)
+        yield from _dealt([gids[c] for c in index.columns], index.size, parts)
 
 
 def _decimal(value: Column) -> Column:
@@ -287,27 +355,31 @@ def count_phrases(
     held = shards.select("shard", "lang", F.inline("held"))
     words = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     words = stored(numbered(words, [F.desc("n"), F.col("lang"), F.col("word")], "gid"), "phrase-words")
-    known = held.join(words.select("lang", "word", "gid"), ["lang", "word"])
-    known = known.groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("known"))
-    coded = attach(shards.select("shard", "seq"), stored(known, "phrase-known"), ["shard"], "inner")
+    known = attach(held, words.select("lang", "word", "gid"), ["lang", "word"], "inner")
+    known = stored(known.groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("known")), "phrase-known")
+    coded = attach(shards.select("shard", "seq"), known, ["shard"], "inner")
     coded = stored(coded.select("known", "seq").mapInArrow(_code, CODED), "phrase-coded")
-    pairs = coded.mapInArrow(_pairs, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("f"))
-    pairs = stored(pairs.where(F.col("f") >= min_count), "phrase-pairs")
-    names = [f"w{k + 1}" for k in range(max_words)]
-    key = [words.select(F.col("gid").cast("string").alias("key"), F.lit(1).alias("len"), F.col("n").alias("f"))]
-    key.append(pairs.select(F.concat_ws(" ", "w1", "w2").alias("key"), F.lit(2).alias("len"), "f"))
-    if max_words > 2:
-        shared = docs.sparkSession.sparkContext.broadcast(pair_filter(pairs))  # bounded by FILTER_BITS
-        schema = ", ".join(f"{name} long" for name in names) + ", n long"
-        longer = coded.mapInArrow(lambda batches: _longer(batches, shared, max_words), schema)
-        longer = longer.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        parts = F.filter(F.array(*names), lambda w: w >= 0)
-        longer = longer.select(F.array_join(parts.cast("array<string>"), " ").alias("key"), F.size(parts).alias("len"), "f")
-        key.append(longer)
-    phrases = key[0]
-    for more in key[1:]:
-        phrases = phrases.unionByName(more)
-    return stored(phrases, "phrase-counts"), words, totals
+    for done in (shards, known):
+        discard(done)
+    # a shard has no more phrases of a length than words
+    parts = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // PART_GRAMS)
+    phrases = words.select(F.col("gid").cast("string").alias("key"), F.lit(1).alias("len"), F.col("n").alias("f"))
+    filters = []
+    for size in range(2, max_words + 1):
+        names = [f"w{k + 1}" for k in range(size)]
+        schema = ", ".join(f"{name} long" for name in names) + ", f long"
+        work = (lambda b: _pairs(b, parts)) if size == 2 else (lambda b, f=tuple(filters): _longer(b, f, parts))
+        dealt = coded.mapInArrow(work, "part long, grams binary")
+        frequent = dealt.groupBy("part").applyInArrow(_summing(names, min_count), schema)
+        frequent = stored(frequent, "phrase-grams")
+        phrases = phrases.unionByName(frequent.select(F.concat_ws(" ", *names).alias("key"), F.lit(size).alias("len"), "f"))
+        if size < max_words:
+            filters.append(docs.sparkSession.sparkContext.broadcast(gram_filter(frequent, names)))  # bounded by FILTER_BITS
+    phrases = stored(phrases, "phrase-counts")
+    discard(coded)
+    for shared in filters:
+        shared.destroy()
+    return phrases, words, totals
 
 
 def mine_phrases(

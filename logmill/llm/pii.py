@@ -1,19 +1,19 @@
 """Personal data by rules and by bootstrapped context.
 
-The rules find e-mail and IP addresses, card and phone numbers.  These seeds induce lexical patterns, the one or two
-words before them.  Spark scores the graph of patterns and instances in turns: a pattern is as good as the share of
-all its occurrences, whatever follows, that are trusted, an instance as good as its best pattern.  Instances that a turn
-trusts support patterns in the next.  Patterns that end with high confidence
+The rules find e-mail and IP addresses, card and phone numbers.  These seeds induce lexical patterns: the one to three
+words before them, or what is glued to their front (``tel:``).  Spark scores the graph of patterns and instances in
+turns: a pattern is as good as the share of all its occurrences, whatever follows, that are trusted, an instance as good
+as its best pattern.  Instances that a turn trusts support patterns in the next.  Patterns that end with high confidence
 and enough different seeds then mark the identifier-like tokens behind them that no rule knows (kind ``context``).
 """
 
 from __future__ import annotations
 
-import collections
 import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +26,13 @@ ROUNDS = 3
 #: A pattern counts with so many different seeds or trusted instances, and marks at such a confidence.
 SUPPORT = 5
 CONFIDENCE = 0.9
-#: Longer words make no pattern.
+#: Longer words make no pattern; a pattern has so many words at most.
 WORD_LENGTH = 40
+WORDS = 3
+#: Patterns that a pass over the texts counts.
+PATTERNS = 200_000
+#: Tokens whose forms a counting task keeps.
+MEMO_TOKENS = 200_000
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -36,12 +41,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
-_TOKEN = re.compile(r"\S+")
+_FRONT = re.compile(r"^[\W_]+")
+_GLUE = re.compile(r"[^:=]*[^\W_][^:=]*[:=]")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 SCANNED = (
     "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "found array<struct<one:string,two:string,value:string,seed:boolean,start:int,end:int>>"
+    "found array<struct<patterns:array<string>,value:string,seed:boolean,start:int,end:int>>"
 )
 
 
@@ -80,19 +86,43 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return {"email": list(_emails(text)), "ip": ips, "card": cards, "phone": phones}
 
 
-def words_before(text: str, start: int) -> tuple[str | None, str | None]:
-    """The word before ``start``, and the two words, lower-cased and stripped of marks; None where there is none."""
-    before = text[max(0, start - 4 * WORD_LENGTH) : start].split()[-2:]
-    before = [_EDGES.sub("", word.lower()) for word in before]
-    if not before or not 0 < len(before[-1]) <= WORD_LENGTH:
-        return None, None
-    if len(before) < 2 or not 0 < len(before[0]) <= WORD_LENGTH:
-        return before[-1], None
-    return before[-1], f"{before[0]} {before[-1]}"
+def form(token: str) -> str:
+    """A token as patterns have it: lower-cased, without marks but a last ``:``, ``=`` or ``#``; empty if too long."""
+    if len(token) > 4 * WORD_LENGTH:
+        return ""
+    core = _EDGES.sub("", token.lower())
+    last = token[-1] if core and token[-1] in ":=#" else ""
+    return core + last if len(core) <= WORD_LENGTH else ""
+
+
+def glue(token: str) -> str:
+    """What a token begins with, up to its first ``:`` or ``=``, if that holds a letter or digit; else empty."""
+    found = _GLUE.match(token, 0, WORD_LENGTH)
+    return _FRONT.sub("", found[0].lower()) + "~" if found and found.end() < len(token) else ""
+
+
+def patterns_before(text: str, start: int) -> list[str]:
+    """The patterns that lead to ``start``: one to three words, or the glued front of its token alone."""
+    before = text[max(0, start - 4 * WORD_LENGTH * WORDS) : start]
+    words = before.split()
+    if before and not before[-1].isspace():  # marks, or something glued
+        front = words.pop()
+        if _EDGES.sub("", front):
+            return [glue(front + "0")] if len(front) <= WORD_LENGTH and _GLUE.fullmatch(front) else []
+    out: list[str] = []
+    for word in words[: -WORDS - 1 : -1]:
+        known = form(word)
+        if not known:
+            break
+        out.append(f"{known} {out[-1]}" if out else known)
+    return out
 
 
 def other_tokens(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens outside the spans: 5 or more characters between marks, 3 or more of them digits."""
+    """Identifier-like tokens outside the spans: 5 or more characters between marks, 3 or more of them digits.
+
+    A front without digits that ends with ``:`` or ``=`` is not part of it.
+    """
     taken, k, done = sorted(taken), 0, 0
     for m in _DIGITS.finditer(text):
         if m.start() < done:
@@ -106,12 +136,17 @@ def other_tokens(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
         if len(core) < 5 or sum(c.isdigit() for c in core) < 3 or (k < len(taken) and taken[k][0] < end):
             continue
         at = text.index(core, start)
+        front = _GLUE.match(core, 0, WORD_LENGTH)
+        if front and not _DIGITS.search(front[0]):
+            rest = _EDGES.sub("", core[front.end() :])
+            if len(rest) >= 5:
+                at, core = text.index(rest, at + front.end()), rest
         yield at, at + len(core)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct(
-        [("one", pa.string()), ("two", pa.string()), ("value", pa.string()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]
+        [("patterns", pa.list_(pa.string())), ("value", pa.string()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]
     )
     for batch in batches:
         counts: dict[str, list[int]] = {k: [] for k in KINDS}
@@ -126,8 +161,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = [(a, b, True) for a, b in flat] + [(a, b, False) for a, b in other_tokens(text, flat)]
             rows = []
             for a, b, seed in marked:
-                one, two = words_before(text, a)
-                rows.append({"one": one, "two": two, "value": text[a:b], "seed": seed, "start": a, "end": b})
+                rows.append({"patterns": patterns_before(text, a), "value": text[a:b], "seed": seed, "start": a, "end": b})
             found.append(rows)
         columns = {c: batch.column(c) for c in ("doc_id", "text_hash")}
         columns |= {f"n_{k}": pa.array(counts[k], pa.int64()) for k in KINDS}
@@ -136,21 +170,86 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pattern, n): how often a pattern stands before what is neither seed nor candidate, counted by batch."""
+class PatternCounter:
+    """Occurrences of given patterns before a further token, whatever that is, and of glued ones before anything."""
+
+    def __init__(self, patterns: list[str], memo_tokens: int = MEMO_TOKENS):
+        self.glued = {p: k for k, p in enumerate(patterns) if p.endswith("~")}
+        worded = [(p.split(" "), k) for k, p in enumerate(patterns) if not p.endswith("~")]
+        self.forms = {f: k + 1 for k, f in enumerate(sorted({f for words, _ in worded for f in words}))}
+        self.base = len(self.forms) + 1
+        self.keys, self.places = [], []
+        for size in range(1, WORDS + 1):
+            known = sorted((self._key([self.forms[f] for f in words]), k) for words, k in worded if len(words) == size)
+            self.keys.append(np.array([key for key, _ in known], np.int64))
+            self.places.append(np.array([k for _, k in known], np.int64))
+        self.counts = np.zeros(len(patterns), np.int64)
+        self.memo_tokens, self.memo = memo_tokens, {}
+
+    def _key(self, numbers):
+        key = 0
+        for number in numbers:
+            key = key * self.base + number
+        return key
+
+    def _learn(self, tokens: set[str]) -> None:
+        if len(self.memo) + len(tokens) > self.memo_tokens:
+            self.memo = {}
+        for token in tokens.difference(self.memo):
+            glued = self.glued.get(glue(token)) if ":" in token or "=" in token else None
+            number = self.forms.get(form(token), 0)
+            self.memo[token] = number if glued is None else number + self.base * (glued + 1)
+
+    def add(self, texts: list[str]) -> None:
+        split = [text.split() for text in texts]
+        tokens = set().union(*split)
+        self._learn(tokens)
+        lookup = self.memo.__getitem__
+        size = sum(map(len, split)) + len(split)
+        # a zero ends each text, and its last token stands before none
+        found, at = np.zeros(size, np.int64), 0
+        for words in split:
+            found[at : at + len(words)] = np.fromiter(map(lookup, words), np.int64, len(words))
+            if words:
+                found[at + len(words) - 1] = found[at + len(words) - 1] // self.base * self.base
+            at += len(words) + 1
+        glued, found = np.divmod(found, self.base)
+        if self.glued:
+            self.counts += np.bincount(glued, minlength=len(self.counts) + 1)[1:]
+        for size, (keys, places) in enumerate(zip(self.keys, self.places), 1):
+            ends = np.flatnonzero(found[size - 1 :]) + size - 1
+            if not len(keys) or not len(ends):
+                continue
+            parts = [found[ends - k] for k in range(size - 1, -1, -1)]
+            key = self._key(parts)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            # a zero among the words gives another key
+            hit = (keys[at] == key) & np.all(parts, axis=0)
+            self.counts += np.bincount(places[at[hit]], minlength=len(self.counts))
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(pattern, n) of the wanted patterns over a partition."""
+    counter = PatternCounter(shared.value)
     for batch in batches:
-        counts: collections.Counter[str] = collections.Counter()
-        for text in batch.column("text").to_pylist():
-            flat = [span for spans in base_spans(text).values() for span in spans]
-            starts = {a for a, _ in flat} | {a for a, _ in other_tokens(text, flat)}
-            last: list[str] = []
-            for m in _TOKEN.finditer(text):
-                if last and m.start() not in starts and 0 < len(last[-1]) <= WORD_LENGTH:
-                    counts[last[-1]] += 1
-                    if len(last) > 1 and 0 < len(last[0]) <= WORD_LENGTH:
-                        counts[f"{last[0]} {last[-1]}"] += 1
-                last = [*last[-1:], _EDGES.sub("", m[0].lower()) if len(m[0]) <= 4 * WORD_LENGTH else ""]
-        yield pa.RecordBatch.from_pydict({"pattern": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+        texts = batch.column("text").to_pylist()
+        for start in range(0, len(texts), 500):
+            counter.add(texts[start : start + 500])
+    yield pa.RecordBatch.from_pydict({"pattern": pa.array(shared.value, pa.string()), "n": pa.array(counter.counts, pa.int64())})
+
+
+def pattern_totals(texts: DataFrame, patterns: DataFrame, at_once: int = PATTERNS) -> DataFrame:
+    """(pattern, total): all occurrences of the stored ``patterns`` in the texts, which are read once per block of them."""
+    spark = texts.sparkSession
+    total = spark.createDataFrame([], "pattern string, total long")
+    blocks = -(-patterns.count() // at_once)
+    for block in range(blocks):
+        part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).select("pattern")
+        shared = spark.sparkContext.broadcast([r.pattern for r in part.collect()])  # about ``at_once`` short strings
+        found = texts.mapInArrow(lambda batches, s=shared: _occurrences(batches, s), "pattern string, n long")
+        total = total.unionByName(stored(found.groupBy("pattern").agg(F.sum("n").alias("total")), "pii-totals"))
+        shared.destroy()
+    return total
 
 
 def confident_patterns(
@@ -162,18 +261,16 @@ def confident_patterns(
     The graph has one edge per pattern and instance, counted before it is shuffled, so that a frequent word is no
     hot group of occurrences.
     """
-    patterns = F.array_compact(F.array("one", "two"))
     edges = stored(
-        found.select(F.explode(patterns).alias("pattern"), "value", "seed")
+        found.select(F.explode("patterns").alias("pattern"), "value", "seed")
         .groupBy("pattern", "value")
         .agg(F.count("*").alias("n"), F.max("seed").alias("seed")),
         "pii-edges",
     )
-    able = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("total"))
-    able = stored(able.where(F.col("values") >= support).select("pattern", "total"), "pii-able")
-    others = attach(texts.mapInArrow(_plain, "pattern string, n long"), able.select("pattern"), ["pattern"], "inner")
-    others = stored(others.groupBy("pattern").agg(F.sum("n").alias("others")), "pii-others")
-    totals = attach(able, others, ["pattern"]).select("pattern", (F.col("total") + F.coalesce("others", F.lit(0))).alias("total"))
+    able = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("led"))
+    able = stored(able.where(F.col("values") >= support).select("pattern", "led"), "pii-able")
+    # what a pattern leads to may be the last token in parts (a span behind marks), so it is no less than that
+    totals = attach(able, pattern_totals(texts, able), ["pattern"]).select("pattern", F.greatest("led", "total").alias("total"))
     edges = stored(attach(edges, stored(totals, "pii-totals"), ["pattern"], "inner"), "pii-able-edges")
     trust = stored(edges.groupBy("value").agg(F.max("seed").cast("double").alias("trust")), "pii-trust")
     scored = None
@@ -208,7 +305,7 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
     found = scanned.select("doc_id", "text_hash", F.inline("found"))
     good = stored(confident_patterns(found, rows.select("text"), **options), "pii-confident")
     candidates = found.where("not seed").select(
-        "doc_id", "text_hash", "start", "end", F.explode(F.array_compact(F.array("one", "two"))).alias("pattern")
+        "doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")
     )
     added = (
         attach(candidates, good, ["pattern"], "inner")

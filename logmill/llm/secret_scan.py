@@ -126,10 +126,11 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example), one row for each row of ``docs``.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, held), one row for each row of ``docs``.
 
     ``spans`` has the base spans and the live-looking ones of the looser rules, by start, then kind.  ``n_live`` and
-    ``n_example`` count the listed spans by ownership.  A null text counts as empty.  Repeated rows are returned as
+    ``n_example`` count the listed spans by ownership, and ``held`` has, for each in turn, ``documents:owners`` that hold
+    its secret.  A null text counts as empty.  Repeated rows are returned as
     often and alike, and count once; null ids are allowed.  Other columns are ignored; an empty table gives an empty
     result.
     """
@@ -138,7 +139,7 @@ def scan(docs: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
         (F.col("place") < len(BASE)) | F.col("live")
     )
     listed = listed.dropDuplicates([*KEY, "place", "start"])
-    span = F.struct("start", "place", "end")
+    span = F.struct("start", "place", "end", "n_docs", "n_owners")
     per_doc = listed.groupBy(*KEY).agg(
         *(F.count_if(F.col("kind") == kind).alias(f"n_{kind}") for kind, *_ in BASE),
         F.sort_array(F.collect_list(span)).alias("all"),
@@ -156,25 +157,54 @@ def scan(docs: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(whole).alias("spans"),
         *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_live", "n_example")),
+        F.array_join(F.transform(whole, lambda s: F.concat_ws(":", s.n_docs.cast("string"), s.n_owners.cast("string"))), ",").alias("held"),
     )
 
 
+def _cut_out(text: Column, spans: Column, mask: str) -> Column:
+    """The text with sorted spans (start, end) replaced; those that overlap or touch become one mask."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def merge(done: Column, span: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last.start.alias("start"), F.greatest(last.end, span.end).alias("end"))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))
+        alone = F.concat(done, F.array(F.struct(span.start.alias("start"), span.end.alias("end"))))
+        return F.when(F.size(done) == 0, alone).otherwise(F.when(span.start <= last.end, joined).otherwise(alone))
+
+    def rest(merged: Column) -> Column:
+        before = F.transform(
+            merged,
+            lambda s, k: let(
+                lambda at: F.substring(text, at + 1, s.start - at),
+                F.when(k == 0, F.lit(0)).otherwise(F.get(merged, k - 1).end),
+            ),
+        )
+        behind = F.substring(text, F.element_at(merged, -1).end + 1, F.length(text))
+        return F.array_join(F.concat(before, F.array(behind)), mask)
+
+    return let(rest, F.aggregate(spans, empty, merge))
+
+
 def mask_live(docs: DataFrame, wide_owners: int = WIDE_OWNERS, mask: str = MASK) -> DataFrame:
     """``docs`` with every live-looking secret replaced by ``mask``; examples stay, and so do all documents.
 
-    ``n_chars``, if there, is counted anew.  A document's text is cut at its live secrets, longest first.
+    A secret is cut out where a rule found it, and nowhere else; secrets that overlap become one mask.  ``n_chars``, if
+    there, is counted anew.  Null and empty texts stay as they are, repeated rows are masked alike, and all columns
+    are kept; an empty table gives an empty one.
     """
-    live = judged(docs, wide_owners).where("live").groupBy(*KEY).agg(F.collect_set("secret").alias("secrets"))
+    # the secret of an assignment ends the match, that of an address is followed by its at sign
+    end = F.col("end") - F.when(F.col("kind") == "userinfo", 1).otherwise(0)
+    span = F.struct((end - F.length("secret")).cast("int").alias("start"), end.cast("int").alias("end"))
+    live = judged(docs, wide_owners).where("live").groupBy(*KEY).agg(F.sort_array(F.collect_set(span)).alias("spans"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text")).select(
         "row", *_key(whole_text())
     )
     joined = attach(rows, stored(live, "secret-live"), KEY)
-    longest_first = F.sort_array(F.transform("secrets", lambda s: F.struct(-F.length(s), s.alias("secret"))))
-    replaced = F.aggregate(longest_first, F.col("row.text"), lambda text, s: F.replace(text, s.secret, F.lit(mask)))
-    text = F.when(F.col("secrets").isNull(), F.col("row.text")).otherwise(replaced)
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(_cut_out(F.col("row.text"), F.col("spans"), mask))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("secrets").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(
             dict(docs.dtypes)["n_chars"]
         )
     return joined.select(*(new.get(n, F.col("row").getField(n)).alias(n) for n in docs.columns))

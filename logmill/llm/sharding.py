@@ -11,6 +11,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import numbered, stored, whole_text
 
 SLOTS = 4096
@@ -82,7 +83,8 @@ def rebalanced(old: dict[int, int], sizes: dict[int, int], shards: int, toleranc
 def write_map(spark: SparkSession, path: str, slot_map: dict[int, int], version: int) -> None:
     """Append one version of the map to the table at ``path``."""
     rows = [(version, slot, shard) for slot, shard in sorted(slot_map.items())]
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    # one row even for an empty table, so that the version is there
+    spark.createDataFrame(rows or [(version, -1, 0)], MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -93,28 +95,39 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return table.where(F.col("version") == F.lit(version)).select("virtual_slot", "shard")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, old: dict[int, int] | None = None) -> DataFrame:
+def shard_documents(
+    docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None, version: int | None = None
+) -> DataFrame:
     """Every row with its shard (law ``bytes``: near equal sizes) and its place there, gapless from 0.
 
+    The slot map is stored at ``map_path`` (default: a fresh table in the shared folder) and read from there.  With
+    ``version``, that version is edited with few moves and stored as the next one; else version 1 is made.
+
     Places follow (virtual slot, doc_id, checksum), nulls first; repeated rows get neighbouring places in any
     order.  An empty table gives an empty result.  Other columns are ignored.  A record larger than a shard's
     share cannot be split and makes its shard the fullest.
     """
+    spark = docs.sparkSession
     rows = stored(records(docs, slots), "shard-records")
     counted = slot_sizes(rows).collect()  # at most ``slots`` rows
     sizes = {r.virtual_slot: r.bytes for r in counted}
-    slot_map = first_map(sizes, shards) if old is None else rebalanced(old, sizes, shards)
+    path = map_path or scratch_path(spark, "slot-map")
+    if version is None:
+        slot_map, now = first_map(sizes, shards), 1
+    else:
+        old = {r.virtual_slot: r.shard for r in read_map(spark, path, version).collect()}  # at most ``slots`` rows
+        # a slot that is empty now keeps its place for later
+        slot_map, now = old | rebalanced(old, sizes, shards), version + 1
+    write_map(spark, path, slot_map, now)
     starts = [0] * (shards + 1)
     for r in counted:
         starts[slot_map[r.virtual_slot] + 1] += r.n
     for shard in range(shards):
         starts[shard + 1] += starts[shard]
-    table = rows.sparkSession.createDataFrame(
-        [(slot, shard, starts[shard]) for slot, shard in sorted(slot_map.items())],
-        "virtual_slot int, shard int, _start long",
-    )
+    first = spark.createDataFrame(list(enumerate(starts[:shards])), "shard int, _start long")
     # at most ``slots`` rows
-    placed = rows.join(F.broadcast(table), "virtual_slot")
+    table = F.broadcast(read_map(spark, path, now).join(F.broadcast(first), "shard"))
+    placed = rows.join(table, "virtual_slot")
     order = [F.col(c) for c in ("shard", "virtual_slot", "doc_id", "text_crc32")]
     return numbered(placed, order, "_row").select(
         "doc_id",
@@ -125,4 +138,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, old:
         (F.col("_row") - F.col("_start")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
+        F.lit(now).alias("map_version"),
     )

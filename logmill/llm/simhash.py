@@ -180,17 +180,25 @@ def _walk(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordB
         ends = [pa.array(fp[rows].view(np.int64), pa.int64()) for rows in (linked, label[linked])]
         return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    keys: list[np.ndarray] = []
+    fps: list[np.ndarray] = []
+    size = 0
     for batch in batches:
-        keys = np.r_[keys, batch.column("root").to_numpy()]
-        fps = np.r_[fps, batch.column("fp").to_numpy().view(np.uint64)]
-        cut = int(np.searchsorted(-(keys[::-1] == keys[-1]).astype(int), 0)) if len(keys) else 0
-        whole = len(keys) - cut  # the last trie may go on
-        if whole >= BUFFER:
-            yield links(keys[:whole], fps[:whole])
-            keys, fps = keys[whole:], fps[whole:]
-    if len(keys):
-        yield links(keys, fps)
+        key, fp = batch.column("root").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        if not len(key):
+            continue
+        if size >= BUFFER and key[0] != keys[-1][-1]:
+            yield links(np.concatenate(keys), np.concatenate(fps))
+            keys, fps, size = [], [], 0
+        elif size >= BUFFER and key[-1] != key[0]:  # the open trie ends in this batch
+            cut = int(np.flatnonzero(key != key[0])[0])
+            yield links(np.concatenate([*keys, key[:cut]]), np.concatenate([*fps, fp[:cut]]))
+            keys, fps, size, key, fp = [], [], 0, key[cut:], fp[cut:]
+        keys.append(key)
+        fps.append(fp)
+        size += len(key)
+    if keys:
+        yield links(np.concatenate(keys), np.concatenate(fps))
 
 
 def _masked(fp: Column, mask: int) -> Column:
@@ -294,11 +302,18 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component in ``found``."""
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("k")
-    )
-    kept = kept.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.xxhash64(whole_text()).alias("text_hash"))
-    same = rows.doc_id.eqNullSafe(kept.doc_id) & (rows.text_hash == kept.text_hash)
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    """The rows of ``docs`` that have the smallest doc_id of their component in ``found``, repeated ones once.
+
+    What goes is looked up, since it is mostly less than what stays; only rows that repeat are shuffled.
+    """
+    key = ["_id", "_none", "text_hash"]
+    keys = [F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    held = stored(found.select(*keys, "text_hash", "doc_id", "root", "component_id"), "group-rows")
+    first = held.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(*key)).alias("k"))
+    kept = stored(first.select("k.*"), "group-first")
+    gone = stored(held.join(kept, key, "left_anti").select(*key).distinct(), "group-gone")
+    again = stored(held.join(gone, key, "left_anti").groupBy(*key).count().where("count > 1").select(*key), "group-again")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *keys, F.xxhash64(whole_text()).alias("text_hash"))
+    rows = attach(rows, gone, key, "left_anti")
+    once = attach(rows, again, key, "left_anti").select("row.*")
+    return once.union(attach(rows, again, key, "left_semi").dropDuplicates(key).select("row.*"))

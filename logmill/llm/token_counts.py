@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import stored, whole_text
 from .encoding import Encoder
 
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 OVERLAP = 256
 LIMIT = 2048
 WIDEN = 4
@@ -81,9 +81,9 @@ def chunks(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
 def count_tokens(
     docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of ``docs``.
+    """(doc_id, n_bytes, n_tokens, over_limit, n_chunks), one row for each row of ``docs``.
 
-    A null text counts as empty: 0 bytes, 0 tokens.  Repeated rows are returned as often; rows that share an id
+    Texts of two chunks and more are cut and spliced; ``n_chunks`` tells into how many.  A null text counts as empty: 0 bytes, 0 tokens.  Repeated rows are returned as often; rows that share an id
     with different texts, and null ids, are counted apart.  Other columns are ignored; an empty table gives an
     empty result.
     """
@@ -108,6 +108,7 @@ def count_tokens(
                 F.sum("n_tokens").alias("n_tokens"),
                 F.bool_and("aligned").alias("aligned"),
                 F.max("copies").cast("int").alias("copies"),
+                F.count("*").alias("n_chunks"),
             ),
             "token-counts",
         )
@@ -122,5 +123,5 @@ def count_tokens(
     for more in done[1:]:
         result = result.unionByName(more)
     return result.select("*", F.explode(F.sequence(F.lit(1), "copies"))).select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chunks"
     )

@@ -70,6 +70,26 @@ def groups(fingerprints, budget=3):
     return [find(x) for x in range(len(values))]
 
 
+def near_groups(texts, similarity=0.8):
+    """Smallest reachable place: links of 3 bits or of a 5-word similarity."""
+    roots = groups([simhash(t) for t in texts])
+
+    def shingles(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode()))
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} - {()}
+
+    sets, holders = [shingles(t) for t in texts], collections.defaultdict(list)
+    for k, found in enumerate(sets):
+        for shingle in found:
+            holders[shingle].append(k)
+    both = collections.Counter((a, b) for held in holders.values() for b in held for a in held if a < b)
+    for (a, b), n in both.items():
+        if 1000 * n >= round(1000 * similarity) * (len(sets[a]) + len(sets[b]) - n):
+            old, new = max(roots[a], roots[b]), min(roots[a], roots[b])
+            roots = [new if r == old else r for r in roots]
+    return roots
+
+
 def quality(text):
     words = WORD.findall(text)
     windows = collections.Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))

@@ -2,9 +2,11 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -94,6 +96,18 @@ def test_order_minhash(spark, docs):
     for doc_id, text, *_ in docs:
         assert found[doc_id]["n_chars"] == len(text)
         assert found[doc_id]["edited_sha256"] == plain.sha(edited[doc_id])
+    entries = lambda f: {f[k : k + 10] for k in range(0, len(f), 10)}
+    order = sorted(found)
+
+    def likeness(a, b):
+        filled = {e[:2] for e in a | b}
+        return len(a & b) / len(filled) if filled else 1.0
+
+    for k, doc_id in enumerate(order):
+        row, after = found[doc_id], found[order[(k + 1) % len(order)]]
+        own = entries(row["fingerprint"])
+        assert row["near_edited"] == pytest.approx(likeness(own, entries(row["edited_fingerprint"])))
+        assert row["near_next"] == pytest.approx(likeness(own, entries(after["fingerprint"])))
     near = [r["near_edited"] for r in found.values()]
     assert 0.25 < np.mean(near) < 0.6 and np.mean([r["near_next"] for r in found.values()]) < 0.05
     by_text = collections.defaultdict(set)
@@ -209,6 +223,37 @@ def test_context_instances_induce_patterns(spark):
     assert {r.doc_id: r.spans for r in found.collect()}[len(texts) - 1] == "context:13:24"
 
 
+def test_glued_fronts_are_patterns(spark):
+    rows = [(k, f"write tel:+1 (499) 555-{6000 + k} today") for k in range(30)]
+    rows += [(100, "or (Tel:77-1234-99x) too"), (101, "not cell:77-1234-98x"), (102, "nor 77-1234-97x")]
+    found = keyed(r.asDict() for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found[100]["spans"] == "context:8:19" and found[101]["spans"] == "" and found[102]["spans"] == ""
+
+
+@pytest.mark.parametrize("memo_tokens", [1, 200_000])
+def test_pattern_counts_against_plain_ones(memo_tokens):
+    rng = random.Random(4)
+    words = ["The", "(the", "id:", "Id", "tel:5", "tel:", "=x", "a=b", "--", "x" * 90, "é.", "5"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(300)] + ["", "the"]
+    counts = collections.Counter()
+    for text in texts:
+        tokens = text.split()
+        forms = [pii.form(t) for t in tokens]
+        for k in range(len(tokens)):
+            counts[pii.glue(tokens[k])] += 1
+            for size in (1, 2, 3):
+                part = forms[k - size + 1 : k + 1] if k >= size - 1 else []
+                if k + 1 < len(tokens) and part and all(part):
+                    counts[" ".join(part)] += 1
+    del counts[""]
+    wanted = sorted(counts)[::2] + ["never seen", "tel:~"]
+    wanted = sorted(set(wanted))
+    counter = pii.PatternCounter(wanted, memo_tokens)
+    for start in range(0, len(texts), 7):
+        counter.add(texts[start : start + 7])
+    assert counter.counts.tolist() == [counts[p] for p in wanted]
+
+
 def test_personal_rules_are_linear():
     text = "a" * 200_000 + "1" * 200_000 + "+1" + "(" * 100_000
     assert pii.base_spans(text)["email"] == []
@@ -295,23 +340,37 @@ def similar_texts():
     return texts + [" ".join(words[:k] + [new()] + words[k + 1 :]) for k in range(8, 112, 2)]
 
 
-def similar_roots(texts):
-    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
-    roots = list(range(len(texts)))
-    for b in range(len(texts)):
-        for a in range(b):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                old, new = max(roots[a], roots[b]), min(roots[a], roots[b])
-                roots = [new if r == old else r for r in roots]
-    return roots
-
-
-@pytest.mark.parametrize("block", [5, 250])
+@pytest.mark.parametrize("block", [5, 1000])
 def test_near_texts_at_five_words(spark, block):
     texts = similar_texts()
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in near_text.near_duplicates(frame, block=block).collect()}
-    assert [found[k] for k in range(len(texts))] == similar_roots(texts)
+    assert [found[k] for k in range(len(texts))] == plain.near_groups(texts)
+
+
+def test_near_texts_awkward(spark, awkward, empty):
+    found = near_text.near_duplicates(awkward).collect()
+    rows = sorted({(i, t or "") for i, t, *_ in awkward_rows()}, key=lambda r: (r[0] is None, r))
+    roots = plain.near_groups([t for _, t in rows])
+    assert len(found) == len(awkward_rows())
+    expected = collections.Counter((i, rows[roots[k]][0]) for k, (i, _) in enumerate(rows))
+    assert {(r.doc_id, r.component_id) for r in found} == set(expected)
+    kept = near_text.one_of_each(awkward)
+    assert kept.columns == awkward.columns and kept.count() == len(set(roots))
+    assert near_text.near_duplicates(empty).count() == 0 and near_text.one_of_each(empty).columns == empty.columns
+
+
+def test_near_texts_of_a_large_band(spark):
+    """Members that share their minima without being similar, in blocks: all of them meet, once."""
+    rng = np.random.default_rng(5)
+    signs = rng.integers(0, 9, (60, 128), dtype=np.uint32)
+    signs[30:] = signs[:30]
+    bands = [[7]] * 60
+    nodes = [(k, k, 100, signs[k].tobytes(), bands[k], k) for k in range(60)]
+    frame = spark.createDataFrame(nodes, "node long, label long, size long, minima binary, bands array<long>, text_hash long")
+    for block in (7, 100):
+        pairs = sorted(tuple(r) for r in near_text._all_pairs(frame, 0.8, block).collect())
+        assert pairs == [(k, k + 30) for k in range(30)]
 
 
 # --- 4
@@ -331,9 +390,9 @@ def test_token_counts(spark, docs, library):
 
 def test_encoder_on_random_text(library):
     rng = random.Random(2)
-    parts = ["a", "B", "é", "É", "é", "İ", "ß", "ſ", "K", "'s", "'LL", "12", " ", "  ", "\n", "\t", "\x85", " ", ".", "$$", "😀", "日本", "<|endoftext|>", "Σ", "-", "‍"]
+    parts = ["a", "B", "é", "É", "é", "İ", "ß", "ſ", "K", "'s", "'LL", "12", " ", "  ", "\n", "\t", "\x85", " ", ".", ". ", ", ", "_", "!?", "é. ", "À", "$$", "😀", "日本", "<|endoftext|>", "Σ", "-", "‍"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)]
-    for encoder in (Encoder(), Encoder(memo_pieces=50, memo_forms=50)):
+    for encoder in (Encoder(), Encoder(memo_bytes=0), Encoder(memo_bytes=100_000)):
         for text, ids in zip(texts, encoder(texts)):
             assert np.frombuffer(ids, np.uint16).tolist() == library.encode(text, add_special_tokens=False).ids
 
@@ -348,6 +407,7 @@ def test_chunks_resynchronise(spark, library):
         found = keyed(r.asDict() for r in token_counts.count_tokens(frame, chunk=chunk, overlap=overlap).collect())
         for k, text in enumerate(texts):
             assert found[k]["n_tokens"] == len(library.encode(text or "", add_special_tokens=False).ids)
+        assert found[0]["n_chunks"] > 1 and found[3]["n_chunks"] == 1
 
 
 def test_token_counts_awkward(awkward, empty, library):
@@ -407,16 +467,75 @@ def test_language(spark, docs):
     assert np.mean([a == b for a, b in held]) > 0.95
 
 
+def table(rows):
+    return language.Table(pa.array(list(rows), pa.string()), np.array(list(rows.values()), np.float32).reshape(len(rows), 2))
+
+
 def test_backoff_takes_the_longest_known_gram():
-    one, two = np.array([-1.0, -2.0]), np.array([-3.0, -1.0])
+    one, two = [-1.0, -2.0], [-3.0, -1.0]
     grams = {4: {"ing ": one}, 3: {"xyz": two}, 2: {"q ": two}, 1: {"z": one}}
-    score = language.Scorer(language.Model(["a", "b"], {"word": two}, grams))
-    assert score.word("word") is two
-    assert score.word("xyzing").tolist() == one.tolist()  # 4 before 3
-    assert score.word("axyz").tolist() == two.tolist()
-    assert score.word("aq").tolist() == two.tolist()
-    assert score.word("k").tolist() == [0, 0]
-    assert score("12 34 ...") == ("und", 0.0) and score(None) == ("und", 0.0) and score("k")[0] == "a"
+    score = language.Scorer(language.Model(["a", "b"], table({"word": two}), {n: table(g) for n, g in grams.items()}))
+    words = ["word", "xyzing", "axyz", "aq", "k", "z"]  # 4 before 3
+    assert score.score(words).tolist() == [two + [1], one + [1], two + [1], two + [0], [0, 0, 0], one + [0]]
+    assert score(["12 34 ...", None]) == [("und", 0.0, 0.0)] * 2 and score(["k"])[0][0] == "a"
+    assert score(["word k xyzing k"])[0][2] == 0.5
+
+
+def plain_language(rows, text, limit=50):
+    """Scores of a text from counts over the labelled rows (lang, text), by sums over dictionaries."""
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    langs = sorted({lang for lang, _ in rows})
+    share = limit // len(langs)
+
+    def model(counts):
+        kept = {v for lang in langs for v, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0].encode()))[:share]}
+        sums = [sum(counts[lang].values()) + 0.5 * (len(kept) + 1) for lang in langs]
+        return {v: np.log([(counts[lang][v] + 0.5) / n for lang, n in zip(langs, sums)]) for v in kept}
+
+    counted = {lang: collections.Counter(w for x, t in rows if x == lang for w in words(t)) for lang in langs}
+    known, grams = model(counted), {}
+    cut = lambda w, n: [p[k : k + n] for p in [f" {w} " if n > 1 else w] for k in range(len(p) - n + 1)]
+    for n in (4, 3, 2, 1):
+        parts = {lang: collections.Counter() for lang in langs}
+        for lang in langs:
+            for w, count in counted[lang].items():
+                for g in cut(w, n):
+                    parts[lang][g] += count
+        grams[n] = model(parts)
+    total = np.zeros(len(langs))
+    for w in words(text):
+        if w in known:
+            total += known[w]
+            continue
+        for n in (4, 3, 2, 1):
+            hits = [grams[n][g] for g in cut(w, n) if g in grams[n]]
+            if hits:
+                total += np.mean(hits, axis=0)
+                break
+    odds = np.exp((total - total.max()) / len(words(text)) ** 0.5)
+    return langs[int(total.argmax())], float(odds.max() / odds.sum())
+
+
+def test_language_against_plain_sums(spark):
+    rng = random.Random(8)
+    words = {"x": ["der", "die", "straße", "über"], "y": ["the", "die", "over", "street"]}
+    rows = [(k, lang, " ".join(rng.choice(words[lang]) + rng.choice(["", "", "e", "ing"]) for _ in range(12))) for k, lang in enumerate("xy" * 30)]
+    frame = spark.createDataFrame([(k, t, lang) for k, lang, t in rows], "doc_id long, text string, lang string")
+    trained = [(lang, t) for k, lang, t in rows if zlib.crc32(str(k).encode()) % 5]
+    for r in language.predict(frame, language.fit(frame, vocabulary=50)).collect():
+        lang, share = plain_language(trained, rows[r.doc_id][2])
+        assert r.lang_pred == lang and r.score == pytest.approx(share, abs=1e-4)
+
+
+def test_stage_without_labels_and_with_foreign_text(spark):
+    clean = [(k, f"plain words of a clean text number {k}", None) for k in range(5)] + [(9, "12 34", None), (10, None, None)]
+    frame = spark.createDataFrame(clean, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language.with_known_language(frame, language.fit(frame)).collect()} == set(range(5))
+    known = [(k, f"plain words of a clean text number {k}", "en") for k in range(20)]
+    more = known + [(100, "плохо понятно совсем", "en"), (101, "words of a number нет", None)]
+    model = language.fit(spark.createDataFrame(known, "doc_id long, text string, lang string"))
+    kept = language.with_known_language(spark.createDataFrame(more, "doc_id long, text string, lang string"), model)
+    assert {r.doc_id for r in kept.collect()} == {*range(20), 101}
 
 
 def test_language_awkward(awkward, empty):
@@ -425,8 +544,9 @@ def test_language_awkward(awkward, empty):
     assert len(rows) == len(awkward_rows())
     assert {r.lang_pred for r in rows if r.doc_id in (0, 1, 2)} == {"und"}
     assert {r.lang_pred for r in rows} <= {"und", *model.languages}
-    kept = language.with_known_language(awkward, model)
+    kept = language.with_known_language(awkward, model, evidence=0)
     assert kept.columns == awkward.columns and kept.count() == sum(r.lang_pred != "und" for r in rows)
+    assert {r.text for r in language.with_known_language(awkward, model).collect()} <= {r.text for r in kept.collect()}
     nothing = language.fit(empty)
     assert nothing.languages == [] and {r.lang_pred for r in language.predict(awkward, nothing).collect()} == {"und"}
     assert language.predict(empty, model).count() == 0
@@ -469,6 +589,36 @@ def test_maps_are_versioned_and_edited(spark, tmp_path):
     assert set(sharding.rebalanced(first, sizes, 6).values()) == set(range(6))
 
 
+def plain_map(sizes, shards):
+    loads, out = [0] * shards, {}
+    for slot in sorted(sizes, key=lambda k: (-sizes[k], k)):
+        out[slot] = min(range(shards), key=lambda k: (loads[k], k))
+        loads[out[slot]] += sizes[slot]
+    return out
+
+
+def test_query_reads_and_edits_its_map(spark, tmp_path):
+    rows = [(k, "x" * (k * 37 % 101)) for k in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "map")
+
+    def run_version(docs, version):
+        found = sharding.shard_documents(docs, 5, 64, path, version).collect()
+        sizes, shard = collections.Counter(), {}
+        for r in found:
+            sizes[r.virtual_slot] += r["size"]
+            assert shard.setdefault(r.virtual_slot, r.shard) == r.shard and r.map_version == (version or 0) + 1
+        return sizes, shard
+
+    sizes, first = run_version(frame, None)
+    assert first == plain_map(sizes, 5)
+    grown = frame.union(spark.createDataFrame([(1000 + k, "y" * 90) for k in range(100)], "doc_id long, text string"))
+    more, second = run_version(grown, 1)
+    assert second == sharding.rebalanced(first, more, 5)
+    assert sum(first[k] != second[k] for k in first) < sum(first[k] != v for k, v in plain_map(more, 5).items() if k in first)
+    assert run_version(grown, 2)[1] == second
+
+
 def test_sharding_awkward(awkward, empty):
     rows = sharding.shard_documents(awkward, shards=4).collect()
     assert len(rows) == len(awkward_rows())
@@ -511,6 +661,33 @@ def test_ownership_tells_examples_from_live(spark):
     assert masked[0].text == copied and masked[20].text == "password = <SECRET>" and masked[20].n_chars == 19
 
 
+def test_secrets_are_cut_where_they_were_found(spark):
+    texts = {
+        0: "secret: paragraph and the paragraphs of a paragraph",
+        1: "x token=abcdef0123456789abcdef0123456789 y https://me:pass word@host https://me:passw0rd@host end",
+        2: "é password = k9f8s7d6x5 and secret=zzzz1111zzzz",
+        3: "no secret at all",
+    }
+    masked = {
+        0: "secret: <SECRET> and the paragraphs of a paragraph",
+        1: "x token=<SECRET> y https://me:pass word@host https://me:<SECRET>@host end",
+        2: "é password = <SECRET> and secret=<SECRET>",
+        3: "no secret at all",
+    }
+    rows = [(k, t, "s") for k, t in texts.items()] + [(2, texts[2], "s"), (5, None, "s"), (6, "", "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.mask_live(frame).collect()
+    assert len(found) == len(rows)
+    assert all(r.text == masked.get(r.doc_id, None if r.doc_id == 5 else "") for r in found)
+
+
+def test_holders_are_reported(spark):
+    rows = [(k, f"chapter {k} of the long guide has password = changeme1234", f"s{k}") for k in range(4)]
+    rows += [(9, "chapter of another long guide has password = k9f8s7d6x5", "s1"), (9, "chapter of another long guide has password = k9f8s7d6x5", "s1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.doc_id, r.held, r.n_live) for r in secret_scan.scan(frame).collect()} == {(k, "4:4", 0) for k in range(4)} | {(9, "1:1", 1)}
+
+
 def test_copies_of_a_text_are_one_owner(spark):
     copy, vendor = "we keep for the server password = k9f8s7d6x5", "ghp_" + "a1B2" * 10
     rows = [(k, f"{copy} and {vendor}", f"s{k}") for k in range(4)]
@@ -631,7 +808,7 @@ def test_pipeline(spark, docs, library):
     check_sequences(rows)
     kept = {i: t for i, t, *_ in docs if t and any(c.isalpha() for c in t)}
     order = sorted(kept)
-    roots = plain.groups([plain.simhash(kept[i]) for i in order])
+    roots = plain.near_groups([kept[i] for i in order])
     kept = {i: kept[i] for k, i in enumerate(order) if roots[k] == k}
     assert {r.doc_id for r in rows} <= set(kept)
     sources = {i: s for i, _, _, s in docs}

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logmill.llm import phrases
@@ -89,7 +90,7 @@ def test_intervals_are_counts_in_both_directions(seed):
     )
     index = phrases.ShardIndex(seq, 4)
     for size, left in ((2, seed % 2 == 0), (3, seed < 2), (4, True)):
-        index.extend(left, lambda a, b: np.ones(len(a), bool))
+        index.extend(left, lambda columns: np.ones(len(columns[0]), bool))
         found = dict(zip(zip(*(c.tolist() for c in index.columns)), index.size.tolist()))
         assert found == grams(size)
         # both intervals hold the same phrase: what follows it is as frequent as it is, by either transform
@@ -97,18 +98,38 @@ def test_intervals_are_counts_in_both_directions(seed):
             assert all(side.places.size >= lo + n for lo, n in zip(low, index.size))
 
 
-def test_words_are_packed_in_planes():
-    seq = np.array([0, 1, 255, 256, 65_536, (1 << 24) - 1])
-    assert phrases.unpack(phrases.pack(seq)).tolist() == seq.tolist()
-
-
-def test_pair_filter_lets_frequent_pairs_pass(spark):
+def test_columns_are_packed_in_planes():
+    rng = np.random.default_rng(2)
+    for columns in ([np.array([0, 1, 255, 256, 1 << 40])], [rng.integers(0, 9, 50), np.zeros(50, np.int64)], [np.zeros(0, np.int64)]):
+        assert [c.tolist() for c in phrases.unpack(phrases.pack(*columns))] == [c.tolist() for c in columns]
+
+
+def test_dealt_phrases_are_summed():
+    rng = np.random.default_rng(4)
+    total, dealt = collections.Counter(), collections.defaultdict(list)
+    for _ in range(5):
+        grams = np.unique(rng.integers(0, 1200, (400, 3)) // 100, axis=0)
+        n = rng.integers(1, 4, len(grams))
+        total.update(dict(zip(map(tuple, grams.tolist()), n.tolist())))
+        for batch in phrases._dealt(list(grams.T), n, 3):
+            for part, data in zip(*(c.to_pylist() for c in batch.columns)):
+                dealt[part].append(data)
+    found = {}
+    for data in dealt.values():
+        table = phrases._summed(pa.table({"grams": pa.array(data, pa.binary())}), ["a", "b", "c"], 4)
+        rows = list(zip(*(c.to_pylist() for c in table.columns)))
+        assert not set(found) & {r[:3] for r in rows}
+        found |= {r[:3]: r[3] for r in rows}
+    assert found == {g: n for g, n in total.items() if n >= 4}
+
+
+def test_filter_lets_frequent_phrases_pass(spark):
     rng = np.random.default_rng(1)
     pairs = rng.integers(0, 5000, (3000, 2))
     frame = spark.createDataFrame(pairs.tolist(), "w1 long, w2 long")
     for most in (phrases.FILTER_BITS, 1 << 10):
-        packed = phrases.pair_filter(frame, most)
-        at = phrases.pair_bits(pairs[:, 0], pairs[:, 1], 8 * len(packed)).astype(np.int64)
+        packed = phrases.gram_filter(frame, ["w1", "w2"], most)
+        at = phrases.gram_bits([pairs[:, 0], pairs[:, 1]], 8 * len(packed)).astype(np.int64)
         assert np.unpackbits(packed, bitorder="little")[at].all()
-        other = phrases.pair_bits(pairs[:, 0] + 10_000, pairs[:, 1], 8 * len(packed)).astype(np.int64)
+        other = phrases.gram_bits([pairs[:, 0] + 10_000, pairs[:, 1]], 8 * len(packed)).astype(np.int64)
         assert np.unpackbits(packed, bitorder="little")[other].mean() < 0.15
