@@ -132,8 +132,10 @@ class Scorer:
         width = self.table.shape[1] - 1
         out = np.zeros((len(words), width + 1), np.float32)
         at = self.model.words.find(words)
-        out[at >= 0, :width] = self.model.words.rows[at[at >= 0]]
-        out[at >= 0, width] = 1
+        # a model that learned nothing has rows of no width
+        if (at >= 0).any():
+            out[at >= 0, :width] = self.model.words.rows[at[at >= 0]]
+            out[at >= 0, width] = 1
         left = np.flatnonzero(at < 0)
         for length in LENGTHS:
             texts = [f" {words[k]} " if length > 1 else words[k] for k in left.tolist()]
@@ -142,7 +144,8 @@ class Scorer:
             owner = np.repeat(np.arange(len(left)), sizes)[at >= 0]
             n = np.bincount(owner, minlength=len(left))
             sums = np.zeros((len(left), width))
-            np.add.at(sums, owner, self.model.grams[length].rows[at[at >= 0]])
+            if len(owner):
+                np.add.at(sums, owner, self.model.grams[length].rows[at[at >= 0]])
             some = n > 0
             out[left[some], :width] = sums[some] / n[some, None]
             out[left[some], width] = length >= 3
