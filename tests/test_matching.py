@@ -168,3 +168,29 @@ def test_long_lines_without_a_match_are_quick(spark):
     start = time.perf_counter()
     assert not df.select(align.matches_template(F.col("log"), F.col("template"))).first()[0]
     assert time.perf_counter() - start < 5
+
+
+def test_templates_that_share_every_token(spark):
+    """Each token stands in 20 templates or more, but a line tries only those of its own pair."""
+    templates = [f"go a{i} b{j} {W} end" for i in range(20) for j in range(20)]
+    known = D.add_templates(D.empty_dictionary(spark), spark.createDataFrame([(t,) for t in templates], "template string"))
+    index = D.index_dictionary(known)
+    lines = [(n, f"go a{n % 20} b{n // 20} x{n} end") for n in range(400)]
+    frame = spark.createDataFrame(lines, "_line_id bigint, _text string")
+    for small in (True, False):
+        assert D._tried(frame, index, small).count() == 400
+        found = D.best_templates(frame.select(F.col("_text").alias("Content")), index, small=small).collect()
+        assert {(r.Content, r.template) for r in found} == {(t, f"go a{n % 20} b{n // 20} {W} end") for n, t in lines}
+
+
+def test_shuffled_search_against_brute_force(spark):
+    for strict, covers in ((True, strict_match), (False, relaxed_match)):
+        templates, lines = random_case(11)
+        lines |= {t.replace(W, "a") for t in templates} | {"", "a", "b c"}
+        known = D.add_templates(D.empty_dictionary(spark), spark.createDataFrame([(t,) for t in sorted(templates)], "template string"))
+        rows = {r.template_id: r.template.split() for r in known.collect()}
+        frame = spark.createDataFrame([(t,) for t in sorted(lines)], "Content string")
+        for small in (True, False):
+            found = D.best_templates(frame, D.index_dictionary(known, strict), small=small).collect()
+            expected = {t: best(rows, t.split(), covers) for t in lines}
+            assert {r.Content: r.template_id for r in found} == {t: n for t, n in expected.items() if n is not None}
