@@ -193,3 +193,21 @@ def test_counters_are_observed(spark, model, tmp_path):
     seen = Observation()
     assert raw.read_raw_log(spark, str(tmp_path), "Apache", observed=seen).count() == 2
     assert seen.get == {"n_lines": 3, "n_dropped": 1}
+
+
+def test_tags_follow_the_hashed_features_on_odd_lines(spark, model):
+    """Lines are scored in Arrow batches; the features and weights are those of Spark's hashes."""
+    odd = [*LOG, None, "", "  (Ä5ö)  ", "İ٠ 😀 a b  c", "open file 3", "| |", *(f"open {i} closed x{i}" for i in range(1200))]
+    frame = lines(spark, odd)
+    plain = finer_tokens(tagger_tokens(F.trim("Content")))
+    weights = dict(zip(model.hashes, model.weights))
+    single = frame.where("Content NOT LIKE '%  %'").select("LineId", plain.alias("t"), tagging.token_features(plain).alias("f"))
+    expected = {
+        r.LineId: [int(sum((weights.get(h, 0.0) for h in f), model.intercept) > 0) for f in r.f] for r in single.collect()
+    }
+    tagged = tagging.tag_lines(frame, model)
+    found = {r.LineId: r.tokens and [t.tag for t in r.tokens] for r in tagged.collect()}
+    assert {k: found[k] for k in expected} == expected and len(found) == len(odd)
+    assert found[len(LOG)] is None and found[len(LOG) + 1] is not None
+    # far too many expressions per token before: nothing of the score is left to lambdas
+    assert "ArrowEvalPython" in tagged._jdf.queryExecution().toString()
