@@ -9,19 +9,22 @@ are compared.  The best of all blocks are merged.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import METRICS, common_length
 from ..functions.text import words
+from ..session import materialize
 from .scale import lookup_join
 
 #: References, and asking texts, of a block at most about; and the bytes of either.
 REFERENCE_ROWS, ASKING_ROWS, BLOCK_BYTES = 2_000, 20_000, 8 << 20
+#: Edit distances to references of so many words of 64 characters are taken of whole batches of texts, all pairs.
+FEW_WORDS, BATCH_TEXTS, BATCH_CHARS = 256, 4_096, 512
 
 
 def pair_distance(pairs: DataFrame, left: str, right: str, metric: str) -> DataFrame:
@@ -49,6 +52,52 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def edit_distances(texts: list[str], others: list[str]) -> np.ndarray:
+    """Levenshtein distances, a row per text and a column per other: a character of all texts at a time.
+
+    As :func:`edit_distance`, in the bits of 64-bit numbers; what moves up or down at the end of one is carried on.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    codes = np.frombuffer("".join([texts[k] for k in order]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, codes = np.unique(codes, return_inverse=True)
+    numbers = {chr(c): k for k, c in enumerate(alphabet.tolist())}
+    longest = int(sizes.max(initial=0))
+    letters = np.zeros((len(texts), longest), np.intp)
+    letters[np.arange(longest) < sizes[order][:, None]] = codes
+    letters = np.ascontiguousarray(letters.T)
+    # the longest texts come first, so those with a character at some place are a prefix
+    reached = np.searchsorted(-sizes[order], -np.arange(longest)).tolist()
+    out = np.empty((len(texts), len(others)), np.int64)
+    one = np.uint64(1)
+    for column, other in enumerate(others):
+        if not other:
+            out[:, column] = sizes
+            continue
+        tops = [np.uint64(min(63, len(other) - 1 - start)) for start in range(0, len(other), 64)]
+        same = np.zeros((len(tops), len(numbers)), np.uint64)
+        for k, c in enumerate(other):
+            if c in numbers:
+                same[k // 64, numbers[c]] |= np.uint64(1 << k % 64)
+        more, less = (np.full((len(tops), len(texts)), v, np.uint64) for v in ((1 << 64) - 1, 0))
+        distance = np.full(len(texts), len(other), np.int64)
+        for place, count in zip(letters, reached):
+            up, down = one, np.uint64(0)
+            for word, top in enumerate(tops):
+                p, m, hit = more[word, :count], less[word, :count], same[word].take(place[:count])
+                x = hit | m
+                hit |= down
+                d = (((hit & p) + p) ^ p) | hit
+                rises, falls = m | ~(d | p), p & d
+                moved, fallen = rises << one | up, falls << one | down
+                up, down = rises >> top & one, falls >> top & one
+                less[word, :count] = moved & x
+                more[word, :count] = fallen | ~(x | moved)
+            distance[:count] += up.astype(np.int64) - down.astype(np.int64)
+        out[order, column] = distance
+    return out
+
+
 class References:
     """Texts of one block in order of preference, with the places of their features."""
 
@@ -61,6 +110,7 @@ class References:
             for feature, n in bag.items():
                 rows_of.setdefault(feature, []).append((row, n))
         self.places = {f: np.array(p, np.int64).T for f, p in rows_of.items()}
+        self.few = metric == "levenshtein" and sum(len(t) // 64 + 1 for t in texts) <= FEW_WORDS
 
     def features(self, text: str, split: list[str]) -> list[str]:
         if self.metric in ("jaccard", "lcs"):
@@ -110,6 +160,23 @@ class References:
             left -= n
         return shared
 
+    def nearest_of_all(self, texts: list[str], split: list, k: int, within: float) -> Iterator[tuple[int, float, int]]:
+        """(place of the text, distance, row) of the ``k`` best of each text, best first."""
+        for start in range(0, len(texts), BATCH_TEXTS):
+            some = range(start, min(start + BATCH_TEXTS, len(texts)))
+            short = [n for n in some if len(texts[n]) <= BATCH_CHARS] if self.few else []
+            if short:
+                longer = np.maximum(self.sizes, np.array([[len(texts[n])] for n in short]))
+                distances = edit_distances([texts[n] for n in short], self.texts) / np.maximum(longer, 1)
+                order = np.argsort(distances, axis=1, kind="stable")[:, :k]
+                distances = np.take_along_axis(distances, order, axis=1)
+                for n, near, rows in zip(short, distances.tolist(), order.tolist()):
+                    yield from ((n, d, row) for d, row in zip(near, rows) if d <= within)
+            done = set(short)
+            for n in some:
+                if n not in done:
+                    yield from ((n, d, row) for d, row in self.nearest(texts[n], split[n], k, within))
+
     def nearest(self, text: str, split: list[str], k: int, within: float) -> list[tuple[float, int]]:
         """(distance, row) of the ``k`` best that are no farther than ``within``; ties go to the earlier row."""
         size = self.size(text, split)
@@ -155,19 +222,24 @@ def nearest(
     keys = [*block] or ["_all"]
     if not block:
         left, right = (df.withColumn("_all", F.lit(0)) for df in (left, right))
-    asking = left.select(*keys, "x").where(F.col("x").isNotNull()).distinct()
+    # stored, since it is counted before it is dealt
+    asking = materialize(left.select(*keys, "x").where(F.col("x").isNotNull()).distinct())
     known = right.where(F.col("y").isNotNull()).groupBy(*keys, "y").agg(F.min(tie).alias("_tie"))
 
     def parts(df: DataFrame, text: str, rows: int, name: str) -> DataFrame:
         by_bytes = F.sum(F.octet_length(text)) / F.lit(BLOCK_BYTES)
         return df.groupBy(*keys).agg(F.ceil(F.greatest(F.count("*") / F.lit(rows), by_bytes, F.lit(1))).cast("int").alias(name))
 
+    def split(text: str) -> Column:
+        return words(F.col(text)) if metric in ("jaccard", "lcs") else F.lit(None).cast("array<string>")
+
     # one row per block
-    sizes = parts(asking, "x", asking_rows, "_parts").join(parts(known, "y", reference_rows, "_chunks"), keys)
+    sizes = materialize(parts(asking, "x", asking_rows, "_parts").join(parts(known, "y", reference_rows, "_chunks"), keys))
+    one_chunk = sizes.where("_chunks > 1").isEmpty()
     asking = lookup_join(asking, sizes, keys, "inner").select(
         *keys,
         "x",
-        words(F.col("x")).alias("x_words"),
+        split("x").alias("x_words"),
         F.pmod(F.xxhash64("x"), F.col("_parts")).cast("int").alias("_part"),
         F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"),
     )
@@ -176,27 +248,34 @@ def nearest(
         *(F.col(c).alias(f"_of_{c}") for c in keys),
         "y",
         "_tie",
-        words(F.col("y")).alias("y_words"),
+        split("y").alias("y_words"),
         F.pmod(F.xxhash64("y"), F.col("_chunks")).cast("int").alias("_at_chunk"),
         F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_at_part"),
     )
     named = (F.col(f"_of_{c}").alias(c) for c in keys)
-    schema = known.select(*named, F.lit("").alias("x"), "y", "_tie", F.lit(0.0).alias("distance")).schema
+    schema = known.select(*named, F.lit("").alias("x"), "y", "_tie", F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).schema
 
     def best(asked: pa.Table, offered: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if asked.num_rows and offered.num_rows:
             ties, texts = offered.column("_tie").to_pylist(), offered.column("y").to_pylist()
             order = sorted(range(len(texts)), key=lambda r: (ties[r].encode() if isinstance(ties[r], str) else ties[r], texts[r].encode()))
-            split = offered.column("y_words").to_pylist()
-            found = References(metric, [texts[r] for r in order], [split[r] for r in order])
-            for row, (x, x_words) in enumerate(zip(asked.column("x").to_pylist(), asked.column("x_words").to_pylist())):
-                out += [(row, order[r], d) for d, r in found.nearest(x, x_words, k, within)]
-        rows, places = (pa.array([r[c] for r in out], pa.int64()) for c in (0, 1))
-        columns = [asked.column(c).take(rows) for c in (*keys, "x")] + [offered.column(c).take(places) for c in ("y", "_tie")]
-        return pa.table([*columns, pa.array([d for *_, d in out], pa.float64())], [*keys, "x", "y", "_tie", "distance"])
+            y_words = offered.column("y_words").to_pylist()
+            found = References(metric, [texts[r] for r in order], [y_words[r] for r in order])
+            asking_words = asked.column("x_words").to_pylist()
+            out = [(n, order[r], d) for n, d, r in found.nearest_of_all(asked.column("x").to_pylist(), asking_words, k, within)]
+        rows, places = (np.array([r[c] for r in out], np.int64) for c in (0, 1))
+        # a text's references stand together, best first
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        rank = np.arange(1, len(rows) + 1) - np.repeat(starts, np.diff(starts, append=len(rows)))
+        columns = [asked.column(c).take(pa.array(rows)) for c in (*keys, "x")] + [offered.column(c).take(pa.array(places)) for c in ("y", "_tie")]
+        columns += [pa.array([d for *_, d in out], pa.float64()), pa.array(rank, pa.int32())]
+        return pa.table(columns, [*keys, "x", "y", "_tie", "distance", "rank"])
 
     offered = known.groupBy(*(f"_of_{c}" for c in keys), "_at_chunk", "_at_part")
     found = asking.groupBy(*keys, "_chunk", "_part").cogroup(offered).applyInArrow(best, schema)
-    rank = F.row_number().over(Window.partitionBy(*keys, "x").orderBy("distance", "_tie", "y"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*block, "x", "y", "distance", "rank")
+    if not one_chunk:
+        # else a text has met all its references in one place
+        rank = F.row_number().over(Window.partitionBy(*keys, "x").orderBy("distance", "_tie", "y"))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select(*block, "x", "y", "distance", "rank")

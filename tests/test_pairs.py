@@ -139,3 +139,14 @@ def test_lines_of_20000_words(spark, small):
     assert {(r.Content.split()[-1] + str(len(r.Content) > 100), r.template) for r in found} == {
         ("lineTrue", templates[0]), ("lineTrue", templates[3]), ("cFalse", templates[1]), ("endFalse", templates[2])
     }
+
+
+def test_edit_distances_of_batches():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé\U0001F600") for _ in range(n)) for n in (0, 1, 5, 63, 64, 65, 130, 200, 5)]
+    others = ["".join(rng.choice("abcx") for _ in range(n)) for n in (0, 1, 63, 64, 65, 128, 129)]
+    assert pairs.edit_distances(texts, others).tolist() == [[pairs.edit_distance(a, b) for b in others] for a in texts]
+    found = pairs.References("levenshtein", others, [None] * len(others))
+    assert found.few
+    single = [(n, d, row) for n, text in enumerate(texts) for d, row in found.nearest(text, None, 3, 0.9)]
+    assert sorted(found.nearest_of_all(texts, [None] * len(texts), 3, 0.9), key=lambda r: r[0]) == single
