@@ -44,6 +44,9 @@ class LineFormat:
     headers: tuple[Header, ...]
     #: A pattern for the same lines that never goes back; None where the format is too free for one.
     guard: str | None
+    #: The regex without going back over a header and what follows it: where it matches, its groups are those of the
+    #: regex, for they are the first that it tries.  None where there is no guard.
+    first: str | None
 
     @property
     def names(self) -> list[str]:
@@ -52,22 +55,34 @@ class LineFormat:
 
 def compile_format(log_format: str) -> LineFormat:
     """Turn a format into a regex with numbered groups; runs of blanks match any white space."""
-    regex, headers, open_groups, n_groups = "^", [], [], 0
+    regex, first, headers, open_groups, n_groups = "^", "^", [], [], 0
+    is_open = False
     for name, escaped, blanks, other in re.findall(r"<([^<>]+)>|(\\.)|( +)|(.)", log_format):
         if name:
             n_groups += 1
             headers.append(Header(name, n_groups, open_groups[-1] if open_groups else 0))
-            regex += "(.*?)"
+            if not open_groups:
+                first += ")" * is_open + "(?>"
+                is_open = True
+            piece = "(.*?)"
         elif blanks:
-            regex += r"\s+"
+            piece = r"\s+"
         else:
             if other == "(":
                 n_groups += 1
                 open_groups.append(n_groups)
             elif other == ")":
                 open_groups.pop()
-            regex += escaped or other
-    return LineFormat(regex + "$", n_groups, tuple(headers), linear_guard(log_format))
+            piece = escaped or other
+        regex += piece
+        first += piece
+    # the last header runs as far as what follows it demands, or to the end
+    last = first.rfind("(?>")
+    first = first[:last] + first[last + 3 :] if is_open else first
+    if is_open and first.endswith("(.*?)"):
+        first = first[:-2] + ")"
+    guard = linear_guard(log_format)
+    return LineFormat(regex + "$", n_groups, tuple(headers), guard, None if guard is None else first + "$")
 
 
 _HEADER = "<>"

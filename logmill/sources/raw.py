@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.formats import LOG_FORMATS, LineFormat, compile_format
-from ..functions.align import captures, matches
+from ..functions.align import captures, matches, packed_captures, unpacked_captures
 from ..operators.scale import is_small, running_offsets, with_sequence
 from ..session import materialize
 
@@ -37,14 +37,24 @@ def _stripped(line: Column) -> Column:
 
 
 def _is_match(line: Column, fmt: LineFormat) -> Column:
-    """Decided without going back where the format allows it; a line feed is the one thing a header cannot hold."""
-    line = _stripped(line)
+    """Of a stripped line, decided without going back where the format allows it; a line feed is the one thing a header cannot hold."""
     exact = matches(line, F.lit(fmt.regex))
     if fmt.guard is None:
         return exact
     return F.when(F.contains(line, F.lit("\n")), exact).otherwise(matches(line, F.lit(fmt.guard)))
 
 
+def _captured(line: Column, fmt: LineFormat) -> Column:
+    """The list of a line's match, its groups; empty or NULL without one.
+
+    Most lines match at the first try (``_first``).  Others are decided on by the guard before the regex goes back.
+    """
+    exact = F.when(_is_match(line, fmt), F.array(captures(line, F.lit(fmt.regex), F.lit(fmt.n_groups))))
+    if fmt.first is None:
+        return exact
+    return F.coalesce(unpacked_captures(F.col("_first")), exact)
+
+
 def _headers(groups: Column, fmt: LineFormat) -> list[Column]:
     def value(header):
         text = F.element_at(groups, header.group)
@@ -64,23 +74,27 @@ def header_parse(df: DataFrame, fmt: str, column: str = "value", observed: str |
     """
     line_format = _format(fmt)
     kept = [c for c in df.columns if c != column]
-    line = _stripped(F.col(column))
-    groups = captures(line, F.lit(line_format.regex), F.lit(line_format.n_groups))
-    if observed is None:
-        passed = df.where(_is_match(F.col(column), line_format))
+    lines = df.select(*kept, _stripped(F.col(column)).alias("_stripped"))
+    line = F.col("_stripped")
+    if not line_format.n_groups:
+        passed = lines.withColumn("_groups", F.when(_is_match(line, line_format), F.array(F.array().cast("array<string>"))))
     else:
-        counts = (F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("_passed")).alias("n_dropped"))
-        passed = df.withColumn("_passed", _is_match(F.col(column), line_format)).observe(observed, *counts).where("_passed")
-    return (
-        passed
-        .select(*kept, groups.alias("_groups"))
-        .select(*kept, *_headers(F.col("_groups"), line_format))
-    )
+        # in steps, since an expression used twice is computed twice
+        if line_format.first is not None:
+            lines = lines.withColumn("_first", packed_captures(line, line_format.first, line_format.n_groups))
+        passed = lines.withColumn("_groups", _captured(line, line_format))
+    # a filter on the match itself, or on a list that may be empty, would be moved before the match and repeat it
+    passed = passed.select(*kept, "_stripped", F.explode_outer("_groups").alias("_groups"))
+    if observed is not None:
+        dropped = F.col("_stripped").isNotNull() & F.col("_groups").isNull()
+        passed = passed.observe(observed, F.count(F.lit(1)).alias("n_lines"), F.count_if(dropped).alias("n_dropped"))
+    passed = passed.where("_groups IS NOT NULL")
+    return passed.select(*kept, *_headers(F.col("_groups"), line_format))
 
 
 def unmatched_count(df: DataFrame, fmt: str, column: str = "value") -> DataFrame:
     """How many lines there are, and how many :func:`header_parse` drops."""
-    unmatched = ~_is_match(F.col(column), _format(fmt))
+    unmatched = ~_is_match(_stripped(F.col(column)), _format(fmt))
     return df.agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(unmatched).alias("n_dropped")
     )

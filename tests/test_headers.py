@@ -66,3 +66,42 @@ def test_line_numbers_after_limit(spark, tmp_path, monkeypatch):
     rows = raw.read_raw_log(spark, str(path), "Apache", limit=1000).orderBy("LineId").collect()
     assert [r.Content for r in rows] == [f"line {k}" for k in range(1000) if k % 3]
     assert [r.LineId for r in rows] == list(range(1, len(rows) + 1))
+
+
+@pytest.mark.parametrize("system", sorted(LOG_FORMATS))
+def test_first_try_has_the_groups_of_the_lazy_regex(system):
+    fmt = compile_format(LOG_FORMATS[system])
+    lazy, first = re.compile(fmt.regex, re.ASCII), re.compile(fmt.first, re.ASCII)
+    tried = 0
+    for line in glue_lines(LOG_FORMATS[system], random.Random(system), 1500):
+        if found := first.search(line):
+            assert found.groups() == lazy.search(line).groups(), line
+            tried += 1
+    assert tried > 2
+
+
+def test_headers_and_counts_are_those_of_the_lazy_regex(spark):
+    from pyspark.sql import Observation
+
+    for system in ("HDFS", "Linux", "Mac", "Apache"):
+        fmt = compile_format(LOG_FORMATS[system])
+        lines = list(glue_lines(LOG_FORMATS[system], random.Random(system), 300))
+        lines = [None, "", *lines, *(x + "\x01y" for x in lines[:30]), *(f"\x02{x}" for x in lines[:30]), *(x + "\ny" for x in lines[:30]), *(f"  {x}\n" for x in lines[:30])]
+        df = spark.createDataFrame(list(enumerate(lines)), "id long, value string")
+        seen = Observation()
+        found = {r.id: tuple(r[h.name] for h in fmt.headers) for r in raw.header_parse(df, system, observed=seen).collect()}
+        assert found == {r.id: tuple(r[h.name] for h in fmt.headers) for r in raw.header_parse(df, system).collect()}
+        lazy = re.compile(fmt.regex, re.ASCII)
+        expected = {}
+        for k, line in enumerate(lines):
+            match = lazy.search(line.strip(raw._BLANKS)) if line is not None else None
+            if match:
+                expected[k] = tuple(match[h.group] or "" if not h.optional or match[h.optional] else None for h in fmt.headers)
+        assert found == expected
+        assert seen.get == {"n_lines": len(lines), "n_dropped": sum(x is not None for x in lines) - len(expected)}
+
+
+def test_lines_are_matched_once(spark):
+    df = spark.createDataFrame([("a b c d e: f",)], "value string")
+    plan = raw.header_parse(df.withColumn("value", F.concat("value", F.lit("!"))), "HDFS")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(compile_format(LOG_FORMATS["HDFS"]).first) == 1 and plan.count("concat(value") == 1
