@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..operators import clusters, sampling
 from ..plans import fixtures
+from ..session import materialize
 from ..sources.raw import head_fraction, limit_lines
 from . import sql
 from .core import query
@@ -143,7 +144,10 @@ _POOL = "pool_lines AS (SELECT DISTINCT log, label FROM lines)"
 
 def _checked(picks, pool, *by):
     """Size of each sample, its distinct lines, and whether all of them come from the pool."""
-    known = pool.select("log", "label", F.lit(True).alias("_known")).distinct()
+    picks = materialize(picks)  # at most a few hundred rows
+    # only lines that were picked are looked for in the pool
+    wanted = pool.select("log", "label").join(F.broadcast(picks.select("log", "label").distinct()), ["log", "label"], "left_semi")
+    known = wanted.distinct().withColumn("_known", F.lit(True))
     joined = picks.join(known, ["log", "label"], "left")
     return joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),

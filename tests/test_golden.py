@@ -237,3 +237,65 @@ def test_unseen_rows(spark):
     seen = spark.createDataFrame([("a",), ("a",)], ["t"])
     assert joins.unseen_rows(df, seen).collect()[0].gt == "b"
     assert joins.seen_rows(df, seen).count() == 1
+
+
+def test_clusters_beyond_the_head_of_the_vocabulary(spark, monkeypatch):
+    """The same keys, however few words the head has; nulls, repeats and lines of few words included."""
+    from logmill.operators import clusters
+
+    rng = random.Random(3)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)] + ["to", "the", "Mon", "é" * 3]
+    lines = [" ".join(rng.choice(words[: rng.randrange(4, 64)]) for _ in range(rng.randrange(0, 7))) for _ in range(300)]
+    rows = [(line + rng.choice(["", ".", "#"]), rng.choice("ab")) for line in lines] + [(None, "a"), ("to the", "b"), ("waa", None)]
+    df = spark.createDataFrame(rows, "log string, label string")
+
+    def found():
+        keyed = sorted(map(repr, clusters.cluster_lines(df).collect()))
+        return keyed, sorted(map(repr, clusters.topk_tokens(clusters.nonempty_clean(df)).collect()))
+
+    whole = found()
+    clean = {r.log: r.clean for r in clusters.nonempty_clean(df).collect()}
+    counts = Counter(w for line, _ in set(rows) if line in clean for w in clean[line].split() if len(w) > 2 and w not in ("the", "Mon"))
+    expected = {
+        line: " ".join(sorted(sorted({w for w in text.split() if w in counts}, key=lambda w: (-counts[w], w))[:3])) for line, text in clean.items()
+    }
+    assert {r.log: r.coarse for r in clusters.cluster_lines(df).collect()} == expected
+    for name, value in (("HEAD_WORDS", 0), ("HEAD_WORDS", 7), ("HEAD_BYTES", 60), ("HEAD_WORD_BYTES", 5)):
+        with monkeypatch.context() as patch:
+            patch.setattr(clusters, name, value)
+            assert found() == whole, name
+
+
+def test_correction_in_steps_is_that_in_one_pass(spark):
+    """Constants, digits and words with a wildcard in turn, and merges only where there is a place for one."""
+    from logmill.functions import patterns
+
+    rng = random.Random(11)
+    pieces = ["<*>", "12", "3", "True", "null", "a", "é٣", "x<*>y", "/a/<*>", "/", ".", ":", "#", '"', "'", " ", "  ", ",", "@", "<", "*>", "user", "1 b"]
+    rows = [(k, "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14)))) for k in range(1500)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id long, s string")
+
+    def one_pass(col, merges, constants=(), ignore_case=False, paths=False):
+        text_ = text.normalize_ws(col)
+        if paths:
+            text_ = F.regexp_replace(text_, patterns.whole_token(f"(?:/[^/{correct._PATH}]+)++", correct._PATH), "<*>")
+        variables = [f"{patterns.DIGIT}++", patterns.wild_piece(f"/{correct._TOKEN}")]
+        constants = sorted({c.lower() for c in constants})
+        if constants:
+            variables.insert(0, f"(?{'iu' if ignore_case else ''}:{'|'.join(patterns.quote(c) for c in constants)})")
+        text_ = F.regexp_replace(text_, patterns.whole_token("|".join(variables), correct._TOKEN), "<*>")
+        for pattern, replacement in merges:
+            text_ = F.regexp_replace(text_, pattern, replacement)
+        return text_
+
+    forms = [
+        dict(merges=correct._METRIC_MERGES),
+        dict(merges=correct._PARSE_MERGES, constants=("true", "null", "user", "1 b"), paths=True),
+        dict(merges=correct._LEGACY_MERGES, constants=("true", "null"), ignore_case=True, paths=True),
+        dict(merges=correct._ORACLE_MERGES, constants=("true", "a"), ignore_case=True, paths=True),
+    ]
+    for form in forms:
+        found = df.select("id", "s", correct.correct_template(F.col("s"), **form).alias("a"), one_pass(F.col("s"), **form).alias("b")).collect()
+        assert [(r.s, r.a) for r in found] == [(r.s, r.b) for r in found]
+    plan = df.select(correct.correct_template_metric(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan  # texts without a wildcard pass the merges by
