@@ -24,6 +24,8 @@ END_ID = 2
 DIMENSIONS = 3
 BITS = 16
 SEED = 9
+#: Documents that a task encodes at once.
+ENCODE_ROWS = 500
 
 ENCODED = "uid long, doc_id long, curve long, n long, ids binary"
 PLACED = "uid long, _part int, n long, inside long"
@@ -67,9 +69,16 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = ENCODE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, since their texts, pieces and ids are all held at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str | None) -> Iterator[pa.RecordBatch]:
     encoder, table = Encoder(vocabulary), projection()
-    for batch in batches:
+    for batch in _sliced(batches):
         encoded = list(encoder(batch.column("text").to_pylist()))
         means = np.zeros((len(encoded), table.shape[1]))
         for k, ids in enumerate(encoded):

@@ -840,3 +840,21 @@ def test_stages_keep_columns(spark, awkward, empty):
             if name != "packing":
                 assert docs.columns == start.columns
         assert (docs.count() > 0) == (start is awkward)
+
+
+def test_packing_encodes_few_documents_at_once(monkeypatch):
+    held = []
+
+    class Counting(packing.Encoder):
+        def __call__(self, texts):
+            held.append(len(texts))
+            return super().__call__(texts)
+
+    monkeypatch.setattr(packing, "Encoder", Counting)
+    n = 2 * packing.ENCODE_ROWS + 3
+    batch = packing.pa.RecordBatch.from_pydict({"uid": list(range(n)), "doc_id": list(range(n)), "text": [f"Text {k}." * (k % 3) for k in range(n)]})
+    found = list(packing._encode(iter([batch]), None))
+    assert max(held) <= packing.ENCODE_ROWS and sum(held) == n
+    ids = [i for b in found for i in b.column("ids").to_pylist()]
+    assert ids == list(packing.Encoder(None)(batch.column("text").to_pylist()))
+    assert [u for b in found for u in b.column("uid").to_pylist()] == list(range(n))
