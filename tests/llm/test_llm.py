@@ -858,3 +858,39 @@ def test_packing_encodes_few_documents_at_once(monkeypatch):
     ids = [i for b in found for i in b.column("ids").to_pylist()]
     assert ids == list(packing.Encoder(None)(batch.column("text").to_pylist()))
     assert [u for b in found for u in b.column("uid").to_pylist()] == list(range(n))
+
+
+def test_near_texts_look_at_few_pairs_of_unlike_copies(spark, monkeypatch):
+    """Copies of one text that are near each other, but not near enough: pairs do not grow with their square."""
+    rng = random.Random(3)
+    words = [f"w{rng.getrandbits(40)}" for _ in range(150)]
+    texts = []
+    for _ in range(80):
+        copy = list(words)
+        for k in rng.sample(range(5, 145), 3):
+            copy[k] = f"n{rng.getrandbits(40)}"
+        texts.append(" ".join(copy))
+    seen, linked = [], near_text._linked
+
+    def counting(pairs, *args):
+        seen.append(pairs.count())
+        return linked(pairs, *args)
+
+    monkeypatch.setattr(near_text, "_linked", counting)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_text.near_duplicates(frame).collect()}
+    assert [found[k] for k in range(len(texts))] == plain.near_groups(texts)
+    assert sum(seen) < 10 * len(texts)
+
+
+def test_likely_pairs_lose_no_similar_pair():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 6000, np.uint64)
+    sets = [np.unique(pool[:n][rng.random(n) > gone]) for n in (20, 125, 130, 140, 400, 4000, 6000) for gone in (0, 0.02, 0.05, 0.1, 0.1, 0.2, 0.3)]
+    sizes, labels = np.array([len(s) for s in sets]), np.arange(len(sets))
+    x, y, _ = near_text.likely_pairs([near_text.parities(s) for s in sets], None, sizes, labels, 0.8)
+    met = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if near_text.similar(sets[a], sets[b])}
+    assert alike <= met and len(met) == len(x) < 1.5 * len(alike)
+    kept = near_text.forest(np.array([0, 1, 0, 3]), np.array([1, 2, 2, 4]), np.array([5, 1, 2, 0]), np.array([7, 8, 9, 4, 4]))
+    assert kept.tolist() == [1, 2]
