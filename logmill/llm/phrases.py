@@ -356,11 +356,11 @@ def count_phrases(
     words = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     words = stored(numbered(words, [F.desc("n"), F.col("lang"), F.col("word")], "gid"), "phrase-words")
     known = attach(held, words.select("lang", "word", "gid"), ["lang", "word"], "inner")
-    known = stored(known.groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("known")), "phrase-known")
-    coded = attach(shards.select("shard", "seq"), known, ["shard"], "inner")
+    known = known.groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("known"))
+    # a shard's words stay where they are gathered, and its sequence comes there, whatever the size of either
+    coded = shards.select("shard", "seq").hint("merge").join(known, "shard")
     coded = stored(coded.select("known", "seq").mapInArrow(_code, CODED), "phrase-coded")
-    for done in (shards, known):
-        discard(done)
+    discard(shards)
     # a shard has no more phrases of a length than words
     parts = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // PART_GRAMS)
     phrases = words.select(F.col("gid").cast("string").alias("key"), F.lit(1).alias("len"), F.col("n").alias("f"))

@@ -133,3 +133,18 @@ def test_filter_lets_frequent_phrases_pass(spark):
         assert np.unpackbits(packed, bitorder="little")[at].all()
         other = phrases.gram_bits([pairs[:, 0] + 10_000, pairs[:, 1]], 8 * len(packed)).astype(np.int64)
         assert np.unpackbits(packed, bitorder="little")[other].mean() < 0.15
+
+
+def test_shards_meet_their_words_by_one_plan(spark, monkeypatch):
+    """Lists of words are gathered where they meet their shard, and neither side is sent to all tasks while it is small."""
+    plans, keep = {}, phrases.stored
+
+    def recording(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(phrases, "stored", recording)
+    frame = spark.createDataFrame([(k, "a b c d " * 9, "en") for k in range(5)], "doc_id long, text string, lang string")
+    assert phrases.mine_phrases(frame, shard_words=20).count() > 0
+    assert "phrase-known" not in plans
+    assert "SortMergeJoin [shard" in plans["phrase-coded"] and plans["phrase-coded"].count("Exchange hashpartitioning(shard") == 2
