@@ -17,6 +17,8 @@ import numpy as np
 
 #: Letters whose lower case and composition are their own affair, and marks that the pattern splits from letters.
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Pieces, between spaces, of nothing but such letters in lower case.
+LOWER = re.compile(r"(?<![^ ])[a-zß-öø-ÿ]+(?![^ ])")
 LATIN_1 = re.compile(r"[\x00-\xff]*")
 MARKS = ".,;:!?#$%&*()[]{}=+/-"
 #: Marks that mostly stand behind a word, and those behind what is neither letter, digit nor white space, which may join.
@@ -87,8 +89,9 @@ class Encoder:
         self.memo = Memo(memo_bytes)
 
     def _learn(self, pieces: set[str]) -> None:
-        memo, cut, plain, odd = self.memo, {}, set(), []
-        for piece in pieces:
+        # most pieces are words already
+        memo, cut, plain, odd = self.memo, {}, set(LOWER.findall(" ".join(pieces))), []
+        for piece in pieces.difference(plain):
             if piece.isalpha():
                 head, tail = piece, ""
             else:

@@ -24,6 +24,8 @@ END_ID = 2
 DIMENSIONS = 3
 BITS = 16
 SEED = 9
+#: Bits of a coordinate in a sum over token ids.
+FIELD = 21
 #: Documents that a task encodes at once.
 ENCODE_ROWS = 500
 
@@ -40,6 +42,15 @@ def projection(dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
     return (2 * signs - 1).astype(np.float32)
 
 
+def projected(ids: np.ndarray, codes: np.ndarray, dimensions: int) -> np.ndarray:
+    """Mean direction of token ids; ``codes`` has a field of ``FIELD`` bits for each coordinate, 1 where it is positive."""
+    positive = np.zeros(dimensions, np.int64)
+    for start in range(0, len(ids), 1 << FIELD - 1):
+        total = int(codes[ids[start : start + (1 << FIELD - 1)]].sum())
+        positive += [total >> FIELD * k & (1 << FIELD) - 1 for k in range(dimensions)]
+    return (2 * positive - len(ids)) / len(ids)
+
+
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Places on the Hilbert curve of integer points (one per row, ``bits`` per coordinate)."""
     x = points.astype(np.int64).T.copy()
@@ -78,12 +89,13 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = ENCODE_ROWS) -> Itera
 
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str | None) -> Iterator[pa.RecordBatch]:
     encoder, table = Encoder(vocabulary), projection()
+    codes = ((table > 0).astype(np.int64) << np.arange(0, FIELD * table.shape[1], FIELD)).sum(axis=1)
     for batch in _sliced(batches):
         encoded = list(encoder(batch.column("text").to_pylist()))
         means = np.zeros((len(encoded), table.shape[1]))
         for k, ids in enumerate(encoded):
             if ids:
-                means[k] = table[np.frombuffer(ids, np.uint16)].mean(axis=0, dtype=np.float64)
+                means[k] = projected(np.frombuffer(ids, np.uint16), codes, table.shape[1])
         points = np.clip((means + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.int64)
         yield pa.RecordBatch.from_pydict(
             {

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logmill.llm import (
+    encoding,
     language,
     mixing,
     near_text,
@@ -860,6 +861,15 @@ def test_packing_encodes_few_documents_at_once(monkeypatch):
     assert [u for b in found for u in b.column("uid").to_pylist()] == list(range(n))
 
 
+def test_encoder_at_the_edges_of_words(library):
+    words = ["straße", "ÿß", "Straße", "x×y", "a÷b", "µm", "ªº", "ab\tcd", "ab\x85cd", "ab\u00a0cd", "Éa", "naïve.", "naïve", "ab..", "ﬁn", "ı"]
+    texts = [" ".join(words), " ".join(words[::-1]), *words, " a  b ", "straße straße. STRASSE"]
+    found = list(Encoder(None)(texts))
+    assert [np.frombuffer(f, np.uint16).tolist() if f else [] for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    # whole lower-case words are told by one pattern, so that only the others are looked at one by one
+    assert encoding.LOWER.findall("straße ab\tcd Éa naïve. naïve x×y  ÿ") == ["straße", "naïve", "ÿ"]
+
+
 def test_near_texts_look_at_few_pairs_of_unlike_copies(spark, monkeypatch):
     """Copies of one text that are near each other, but not near enough: pairs do not grow with their square."""
     rng = random.Random(3)
@@ -894,3 +904,15 @@ def test_likely_pairs_lose_no_similar_pair():
     assert alike <= met and len(met) == len(x) < 1.5 * len(alike)
     kept = near_text.forest(np.array([0, 1, 0, 3]), np.array([1, 2, 2, 4]), np.array([5, 1, 2, 0]), np.array([7, 8, 9, 4, 4]))
     assert kept.tolist() == [1, 2]
+
+
+def test_projection_by_one_sum():
+    """All coordinates are summed as one number, in parts that cannot overflow."""
+    table = packing.projection()
+    codes = ((table > 0).astype(np.int64) << np.arange(0, 3 * packing.FIELD, packing.FIELD)).sum(axis=1)
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 777, (1 << 20) + 5):
+        ids = rng.integers(0, 1 << 16, n).astype(np.uint16)
+        assert (packing.projected(ids, codes, 3) == table[ids].mean(axis=0, dtype=np.float64)).all()
+    same = np.full(3 << 20, np.flatnonzero((table > 0).all(axis=1))[0], np.uint16)
+    assert packing.projected(same, codes, 3).tolist() == [1, 1, 1]
