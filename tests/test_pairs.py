@@ -108,6 +108,57 @@ def test_related_templates_go_as_deep_as_any(spark):
     assert D.related_templates(frame, D.empty_dictionary(spark)).count() == 0
 
 
+def test_related_lines_go_down_the_tree_once_per_mask(spark, monkeypatch):
+    sizes, store = [], D.materialize
+
+    def counted(df):
+        kept = store(df)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(D, "materialize", counted)
+    templates = ["user <*> did login from <*>", "user <*> did <*>", "order <*>", "<*> broke"]
+    known = D.add_templates(D.empty_dictionary(spark), spark.createDataFrame([(t,) for t in templates], "template string"))
+    lines = [f"user {k} did {'login' if k % 2 else 'view'} from {k * 7}" for k in range(900)] + [f"order {k}" for k in range(300)]
+    del sizes[:]
+    found = D.related_templates(spark.createDataFrame([(t,) for t in lines], "Content string"), known).collect()
+    of = {r.template: r.template_id for r in known.collect()}
+    expected = []
+    for line in lines:
+        if line.startswith("order"):
+            expected.append((line, of["order <*>"], "order <*>", 2))
+        elif "login" in line:
+            expected.append((line, of[templates[0]], templates[0], 6))
+        else:
+            expected.append((line, of[templates[1]], templates[1], 4))
+    assert sorted(map(tuple, found)) == sorted(expected)
+    # three masks, each at two nodes of a level at most; before, all 1,200 lines were stored at every level
+    assert max(sizes) <= 10
+
+
+@pytest.mark.parametrize("places, rows", [(32, 100_000), (2, 100_000), (32, 4), (0, 100_000)])
+def test_related_templates_whatever_is_masked(spark, monkeypatch, places, rows):
+    monkeypatch.setattr(D, "_MASKED", places)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", rows)
+    dictionary = [(1, "a <*> b c", "a <*> b c"), (1, "a <*> b c", "a <*> b c"), (None, "a x b", "a x b"), (4, None, "<*> x d"), (5, "lost", None), (6, "", "")]
+    known = spark.createDataFrame(dictionary, D.DICTIONARY_SCHEMA)
+    lines = ["a x b c", "a x b e", "a x b e", "a <*> b c", "<*> x y", "z x d", "z", "c z", "", "a", None]
+    found = D.related_templates(spark.createDataFrame([(t,) for t in lines], "Content string"), known).collect()
+    expected = set()
+    for line in filter(None, lines):
+        tokens, depths = line.split(), []
+        for n, (_, _, text) in enumerate(dictionary):
+            depth = 0
+            for t, w in zip((text or "").split(), tokens):
+                if t not in (w, "<*>"):
+                    break
+                depth += 1
+            depths.append((depth, n))
+        expected |= {(line, n, depth) for depth, n in depths if depth == max(depths)[0] > 0}
+    rows = [(line, *dictionary[n][:2], depth) for line, n, depth in expected]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, rows))
+
+
 def test_merge_against_all_pairs(spark):
     rng = random.Random(9)
     shape = lambda: "go " + " ".join(rng.choice("abcdef") for _ in range(rng.choice([4, 4, 9])))
