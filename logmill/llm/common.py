@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import running_offsets
-from ..session import materialize, scratch_path
+from ..session import discard, materialize, scratch_path  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -38,14 +38,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a stored table that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def stored_bytes(df: DataFrame) -> int:
     """Size of a stored table as Spark's file listing has it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logmill.functions.align import tags_to_template
+from logmill.functions.correct import correct_template_parse
 from logmill.functions.text import finer_tokens, fine_tokens, tagger_tokens
 from logmill.operators import dictionary as D
 from logmill.operators import tagging
@@ -16,6 +18,7 @@ from logmill.streaming.online import (
     parse_stream,
     read_raw_log_stream,
 )
+from .disk import prose, stored_bytes
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +62,25 @@ def test_batch_does_not_depend_on_partitioning(spark, model):
     assert by_content(once) == by_content(again)
 
 
+@pytest.mark.parametrize("rules", [False, True])
+def test_batch_keeps_few_copies_of_the_texts(spark, model, rules):
+    plain = tagging.fit_tagger(spark.createDataFrame([("plain text", "plain text")], "log string, template string"))
+    contents = prose(1500)
+    before = stored_bytes(spark)
+    parsed = parse_batch(lines(spark, contents), plain if rules else model).lines
+    assert parsed.where("template_id IS NOT NULL").count() == len(contents)
+    assert stored_bytes(spark) - before < 4 * sum(map(len, contents))
+
+
+def test_induced_templates_are_those_of_the_tags(spark, model):
+    odd = ["", " ", None, "open file 7 in /tmp/d7", "a 1 2", "x12ms", "closed by user5 after 7 ms", "<*> 3", "é\u00a0 9", "= 5 ="]
+    df = lines(spark, odd)
+    tagged = tagging.tag_lines(df, model).select("LineId", correct_template_parse(tags_to_template(F.col("tokens"))).alias("template"))
+    induced = tagging.induce_templates(df, model)
+    assert induced.columns == ["LineId", "Content", "template", "valid"]
+    assert sorted(map(tuple, induced.select("LineId", "template").collect())) == sorted(map(tuple, tagged.collect()))
+
+
 def test_known_templates_keep_their_id(spark, model):
     known = D.add_templates(
         D.empty_dictionary(spark),
