@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from logmill.functions import align
 from logmill.operators import dictionary as D
+from logmill.operators import scale
+from .disk import prose, stored_bytes
 
 W = "<*>"
 
@@ -194,3 +196,34 @@ def test_shuffled_search_against_brute_force(spark):
             found = D.best_templates(frame, D.index_dictionary(known, strict), small=small).collect()
             expected = {t: best(rows, t.split(), covers) for t in lines}
             assert {r.Content: r.template_id for r in found} == {t: n for t, n in expected.items() if n is not None}
+
+
+def test_rare_keys_in_large_dictionaries(spark, monkeypatch):
+    """All templates share their longest pair of neighbours; a line tries those that share its rarest one."""
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 10)
+    templates = [f"a b {W} commonword neighbourword {W} x{i} y{i} {W}" for i in range(60)]
+    known = D.add_templates(D.empty_dictionary(spark), spark.createDataFrame([(t,) for t in templates], "template string"))
+    index = D.index_dictionary(known)
+    texts = [f"a b c commonword neighbourword d x{i} y{i} e" for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "_line_id bigint, _text string")
+    assert D._tried(frame, index, False).count() == 60
+    found = D.best_templates(frame.select(F.col("_text").alias("Content")), index, small=False).collect()
+    assert {(r.Content, r.template) for r in found} == set(zip(texts, templates))
+
+
+def test_matching_keeps_few_copies_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(D, "is_small", lambda df: False)
+    contents = prose(1500)
+    cut = [" ".join(W if i % 3 == 2 else w for i, w in enumerate(t.split())) for t in contents]
+    before = stored_bytes(spark)
+    known = D.add_templates(D.empty_dictionary(spark), spark.createDataFrame([(t,) for t in cut], "template string"))
+    found = D.match_dictionary(spark.createDataFrame([(t,) for t in contents], "Content string"), D.index_dictionary(known))
+    assert {(r.Content, r.template) for r in found.collect()} == set(zip(contents, cut))
+    assert stored_bytes(spark) - before < 4 * sum(map(len, contents))
+
+
+def test_key_filter_keeps_all_keys(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "key")
+    found = scale.key_filter(keys, "key")(spark.range(3000).withColumnRenamed("id", "number"), "number")
+    kept = {r.number for r in found.collect()}
+    assert kept >= set(range(0, 3000, 3)) and len(kept) < 1200
