@@ -1,14 +1,25 @@
 """What queries leave in the shared folder."""
 
+import contextlib
 import os
 import random
-from urllib.parse import urlparse
 
-from logmill.session import shared_dir
+from logmill import session
 
 
-def stored_bytes(spark):
-    folder = urlparse(shared_dir(spark)).path
+@contextlib.contextmanager
+def own_folder(spark, monkeypatch, path):
+    """A shared folder that no other test writes to."""
+    was = spark.sparkContext.getCheckpointDir()
+    with monkeypatch.context() as patch:
+        patch.setattr(session, "shared_dir", lambda spark: str(path))
+        spark.sparkContext.setCheckpointDir(str(path))
+        yield
+    if was:
+        spark.sparkContext.setCheckpointDir(os.path.dirname(was))
+
+
+def stored_bytes(folder):
     return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
 
 

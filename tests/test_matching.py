@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logmill.functions import align
 from logmill.operators import dictionary as D
 from logmill.operators import scale
-from .disk import prose, stored_bytes
+from .disk import own_folder, prose, stored_bytes
 
 W = "<*>"
 
@@ -211,15 +211,15 @@ def test_rare_keys_in_large_dictionaries(spark, monkeypatch):
     assert {(r.Content, r.template) for r in found} == set(zip(texts, templates))
 
 
-def test_matching_keeps_few_copies_of_the_texts(spark, monkeypatch):
+def test_matching_keeps_few_copies_of_the_texts(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(D, "is_small", lambda df: False)
     contents = prose(1500)
     cut = [" ".join(W if i % 3 == 2 else w for i, w in enumerate(t.split())) for t in contents]
-    before = stored_bytes(spark)
-    known = D.add_templates(D.empty_dictionary(spark), spark.createDataFrame([(t,) for t in cut], "template string"))
-    found = D.match_dictionary(spark.createDataFrame([(t,) for t in contents], "Content string"), D.index_dictionary(known))
-    assert {(r.Content, r.template) for r in found.collect()} == set(zip(contents, cut))
-    assert stored_bytes(spark) - before < 4 * sum(map(len, contents))
+    with own_folder(spark, monkeypatch, tmp_path):
+        known = D.add_templates(D.empty_dictionary(spark), spark.createDataFrame([(t,) for t in cut], "template string"))
+        found = D.match_dictionary(spark.createDataFrame([(t,) for t in contents], "Content string"), D.index_dictionary(known))
+        assert {(r.Content, r.template) for r in found.collect()} == set(zip(contents, cut))
+    assert 0 < stored_bytes(tmp_path) < 4 * sum(map(len, contents))
 
 
 def test_key_filter_keeps_all_keys(spark):

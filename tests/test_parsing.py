@@ -18,7 +18,7 @@ from logmill.streaming.online import (
     parse_stream,
     read_raw_log_stream,
 )
-from .disk import prose, stored_bytes
+from .disk import own_folder, prose, stored_bytes
 
 
 @pytest.fixture(scope="module")
@@ -63,13 +63,13 @@ def test_batch_does_not_depend_on_partitioning(spark, model):
 
 
 @pytest.mark.parametrize("rules", [False, True])
-def test_batch_keeps_few_copies_of_the_texts(spark, model, rules):
+def test_batch_keeps_few_copies_of_the_texts(spark, model, rules, monkeypatch, tmp_path):
     plain = tagging.fit_tagger(spark.createDataFrame([("plain text", "plain text")], "log string, template string"))
     contents = prose(1500)
-    before = stored_bytes(spark)
-    parsed = parse_batch(lines(spark, contents), plain if rules else model).lines
-    assert parsed.where("template_id IS NOT NULL").count() == len(contents)
-    assert stored_bytes(spark) - before < 4 * sum(map(len, contents))
+    with own_folder(spark, monkeypatch, tmp_path):
+        parsed = parse_batch(lines(spark, contents), plain if rules else model).lines
+        assert parsed.where("template_id IS NOT NULL").count() == len(contents)
+    assert 0 < stored_bytes(tmp_path) < 4 * sum(map(len, contents))
 
 
 def test_induced_templates_are_those_of_the_tags(spark, model):
